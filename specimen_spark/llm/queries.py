@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, quality, toxicity
+from . import exact_dedup, fingerprints, packing, quality, toxicity, wrappers
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op1_html_extraction": wrappers.op1_html_extraction,
+    "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
