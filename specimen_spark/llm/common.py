@@ -45,3 +45,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder once and reads it back: its lineage ends there, as in cut().
+
+    Unlike a checkpoint, it is computed once even where no shuffle precedes it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that take at most so many bytes in all are broadcast to pick rows; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def pick(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is among ids (one column of that name, one row per id)."""
+    if 16 * ids.count() <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, "left_semi")

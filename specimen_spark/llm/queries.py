@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, packing, quality, toxicity, wrappers
+from . import exact_dedup, fingerprints, near_dedup, packing, quality, toxicity, wrappers
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_html_extraction": wrappers.op1_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
