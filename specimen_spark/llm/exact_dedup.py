@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, table
+from .common import BROADCAST_BYTES, body, store, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -84,9 +84,15 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a row with a larger doc_id has; all columns stay."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """docs without the rows whose text a row with a larger doc_id has; all columns stay.
+
+    The rows to drop are known by id and digest, so a doc_id that comes with several texts only
+    loses the copies.  Texts are not shuffled while the dropped ids are proven few enough to send.
+    """
+    gone = store(exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
+    few = 96 * gone.count() <= BROADCAST_BYTES
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == gone["_sha"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, pick, store, table
+from .common import BROADCAST_BYTES, body, pick, store, table
 from .components import components
 from .features import MIX_A, MIX_B, mix, word_hashes
 
@@ -192,8 +192,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class of near duplicates, in all its columns; rows without an id stay."""
-    gone = near_classes(docs, threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = store(near_classes(docs, threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = 16 * gone.count() <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, near_dedup, packing, quality, toxicity, wrappers
+import corpus_pipeline
+
+from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, toxicity, wrappers
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op1_html_extraction": wrappers.op1_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_mixing": mixing.SQL,
     "op5_fingerprints": fingerprints.SQL,
 }
