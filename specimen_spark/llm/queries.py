@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, toxicity, wrappers
+from . import exact_dedup, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, repeats, toxicity, wrappers
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_html_extraction": wrappers.op1_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,
+    "op8_repeats": repeats.op8_repeats,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
