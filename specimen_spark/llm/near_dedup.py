@@ -125,7 +125,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", body().alias("text")).mapInPandas(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pairs (a, b) with the weighted Jaccard similarity of their documents' shingles.
 
     Texts are only read for ids in a pair, and shuffled once for each side of the pairs.
@@ -155,33 +155,31 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     empty.  doc_id should be unique: rows that share one are in one class; a row with a null
     doc_id belongs to the class of its copies, or to none (null).
 
-    Candidates: in each bucket of a band every document is compared with the bucket's smallest
-    id.  Documents of a bucket that these links leave in different components are then compared
-    with each other as well, except where the triangle inequality over the distances to the
-    smallest id rules a link out.  No link that shares a band is lost, and a bucket full of copies
-    of one text costs one comparison per copy.
+    Candidates: in each bucket of a band every document is compared with the bucket's hub, the one
+    with most company over all its buckets, so a bucket of variants of one text costs one
+    comparison per document.  Documents of a bucket that these links leave in different components
+    are then joined on the rarest of their shingles (rare_pairs), which loses no link.
     """
     all_rows = store(sketch(docs), "sketch")
     known = all_rows.where("doc_id is not null")
     reps = store(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
     members = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    heads = store(members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n")), "heads")
-    shared = store(members.join(heads, "bucket"), "shared")
-    long_enough = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    stars = shared.where((F.col("rep") != F.col("head")) & long_enough(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = store(verified(store(stars, "stars"), docs, threshold), "tested")
+    sizes = store(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = store(members.join(sizes, "bucket"), "shared")
+    company = store(shared.groupBy("rep").agg(F.sum("size").alias("company")), "company")
+    hub = F.max(F.struct("company", F.negative("rep").alias("r"), "n"))
+    hubs = store(shared.join(company, "rep").groupBy("bucket").agg(hub.alias("h")).select("bucket", F.negative("h.r").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    stars = shared.join(hubs, "bucket").where((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n")))
+    stars = store(stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "stars")
+    tested = store(verified(stars, docs, threshold), "tested")
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(links)
 
-    # members of a bucket that are still apart
+    # documents that share a bucket with another component
     placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = store(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "apart")
-    far = tested.select(F.col("a").alias("head"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("d"))
-    left = store(placed.where("rep <> head").join(apart, "bucket", "left_semi").join(far, ["head", "rep"], "left").select("bucket", "rep", "n", "component", "d"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-    rest = rest.where(long_enough(F.col("x.n"), F.col("y.n")) & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - threshold + 1e-9, F.lit(True)))
-    rest = store(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    left = store(placed.join(apart, "bucket", "left_semi").select("rep", "n", "component").distinct(), "left")
+    rest = store(rare_pairs(left, docs, threshold).join(tested, ["a", "b"], "left_anti"), "rest")
     more = store(verified(rest, docs, threshold).where(F.col("similarity") >= threshold).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -190,6 +188,40 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return all_rows.join(classes, ["k1", "k2"], "left").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
+def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of rows (rep, n, component) that can be similar, of different components.
+
+    A shingle's k-th occurrence is a token, so multisets are sets of tokens.  Two sets can only be
+    similar if they share one of the rarest tokens of each: among the shorter's n - o + 1 rarest,
+    o being the overlap that the threshold asks of two such sets, and among the longer's.  What
+    a token's place in both orders leaves room for prunes further.
+    """
+    texts = pick(docs.select(F.col("doc_id").alias("rep"), body().alias("text")), rows.select("rep"), "rep")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part, made = batch.iloc[at : at + 200], []
+                for text in part["text"]:
+                    own, counts = bag(text)
+                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    made.append(mix(np.repeat(own, counts) + nth.astype(np.uint64) * MIX_B).view(np.int64))
+                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), [len(m) for m in made]), "token": np.concatenate(made)})
+
+    tokens = store(texts.mapInPandas(run, "rep long, token long"), "tokens")
+    often = store(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    order = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    placed = order.join(rows, "rep").select("rep", "n", "component", "t", F.posexplode(F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - (F.col("n") - F.size("t"))).cast("int"))).alias("i", "x"))
+    # tokens of one document alone come first in its order, and join nothing
+    placed = store(placed.select("rep", "n", "component", F.col("x.token").alias("token"), (F.col("n") - F.size("t") + F.col("i")).alias("at")), "placed")
+    ask = threshold / (1 + threshold)
+    x, y = placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(2 * ask) * F.col("n"))).alias("x"), placed.alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.ceil(F.lit(ask) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & (F.col("x.n") >= F.lit(threshold) * F.col("y.n")) & room
+    return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class of near duplicates, in all its columns; rows without an id stay."""
     gone = store(near_classes(docs, threshold).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")

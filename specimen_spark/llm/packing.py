@@ -187,9 +187,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for batch in batches:
             for doc, total, blocks, rest in zip(batch["doc_id"].astype("Int64"), batch["doc_tokens"], batch["blocks"], batch["rest"], strict=True):
                 packer.add(None if doc is pd.NA else doc, total, list(blocks), rest)
-            yield _frame(packer)
+            if packer.rows:
+                yield _frame(packer)
         packer.close()
-        yield _frame(packer)
+        if packer.rows:
+            yield _frame(packer)
 
     def _frame(packer: Packer) -> pd.DataFrame:
         made, packer.rows = pd.DataFrame(packer.rows, columns=COLUMNS), []

@@ -345,7 +345,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     except RecursionError:
                         continue
         part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"host": list(known), "part": part, "wrapper": [json.dumps(w, separators=(",", ":")) for w in known.values()]})
+        if known:
+            yield pd.DataFrame({"host": list(known), "part": [part] * len(known), "wrapper": [json.dumps(w, separators=(",", ":")) for w in known.values()]})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
