@@ -1,4 +1,9 @@
 """The registered queries over the driver's tables, and their SQL twins."""
 
+from . import lists, pairwise
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (lists, pairwise):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
