@@ -9,7 +9,9 @@ ids) is shuffled with it.
 
 from __future__ import annotations
 
+import base64
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -23,28 +25,41 @@ from .common import body, fresh_path, table
 
 LENGTH = 1024
 BITS = 10
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 #: Outside these characters, engines may disagree on what a letter or a space is.
-_PLAIN = re.compile("[\n -~¡-ɏ–—‘-„€]*")
+_PLAIN = re.compile("[\t\n -~\u00a1-\u024f\u2013\u2014\u2018-\u201e\u20ac]*")
+_LETTER, _DIGIT = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The vocabulary's pattern for plain characters; words are tried first, which changes no match.
+_PIECES = re.compile(rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts as little-endian unsigned 16-bit bytes, without special tokens, then id 0.
 
-    A byte-level BPE merges within the pieces that its pattern cuts, so the ids of a piece are
-    kept and looked up again.  Texts with unusual characters go through the tokenizer as a whole.
+    The ids are those of `tokenizers`.  A byte-level BPE merges within the pieces that its pattern
+    cuts, so for plain characters the ids of a piece are worked out once, by the same vocabulary's
+    rank file, and kept.  Texts with other characters go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
-        import regex
+    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 400_000):
+        super().__init__()
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.find, self.most, self.known = regex.compile(pattern).findall, most, {}
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks, self.most = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        made = self[piece] = array("H", self.ranks.encode_ordinary(piece)).tobytes()
+        return made
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -52,14 +67,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text):
             return self.whole(text) + b"\0\0"
-        known, found = self.known, self.find(text)
-        if new := [p for p in set(found) if p not in known]:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(found))
-            for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = np.array(made.ids, "<u2").tobytes()
-        return b"".join(map(known.__getitem__, found)) + b"\0\0"
+        return b"".join(map(self.__getitem__, _PIECES.findall(text))) + b"\0\0"
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -102,13 +110,17 @@ def ids_crc32(raw: bytes) -> int:
     return crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes())
 
 
-def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, doc_tokens, Hilbert key, CRCs of whole blocks of 1024 ids, and the remaining ids."""
+def encoded(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, doc_tokens, Hilbert key, CRCs of whole blocks of 1024 ids, and the remaining ids.
+
+    folder: where the tokenizer's files lie; those installed with public_tokenizers by default.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = Encoder(tokenizer or public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+        at = public_tokenizers.path if folder is None else lambda name: f"{folder}/{name}"
+        encode = Encoder(at(TOKENIZER), at(RANKS), public_tokenizers.PATTERN)
         for batch in batches:
             raw = [encode(t) for t in batch["text"]]
             whole = [len(r) // (2 * LENGTH) for r in raw]
@@ -169,7 +181,7 @@ class Packer:
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequences hold 1024 ids; the last ones of each range of the curve hold a power of two.  A null
@@ -179,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "packing")
-    encoded(docs, tokenizer).write.option("compression", "zstd").parquet(path)
+    encoded(docs, folder).write.option("compression", "zstd").parquet(path)
     kept = spark.read.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
