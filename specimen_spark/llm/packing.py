@@ -42,18 +42,16 @@ class Encoder(dict):
     rank file, and kept.  Texts with other characters go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 200_000):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit in 16 bits")
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
         self.ranks, self.most = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), most
+        self.path, self.tokenizer = path, None
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
@@ -62,6 +60,11 @@ class Encoder(dict):
         return made
 
     def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
@@ -121,14 +124,16 @@ def encoded(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
         at = public_tokenizers.path if folder is None else lambda name: f"{folder}/{name}"
         encode = Encoder(at(TOKENIZER), at(RANKS), public_tokenizers.PATTERN)
-        for batch in batches:
-            raw = [encode(t) for t in batch["text"]]
-            whole = [len(r) // (2 * LENGTH) for r in raw]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "doc_tokens": [len(r) // 2 for r in raw], "curve": curve_keys([np.frombuffer(r, "<u2") for r in raw]),
-                "blocks": [[ids_crc32(r[2 * LENGTH * i : 2 * LENGTH * (i + 1)]) for i in range(n)] for r, n in zip(raw, whole, strict=True)],
-                "rest": [r[2 * LENGTH * n :] for r, n in zip(raw, whole, strict=True)],
-            })
+        for whole_batch in batches:
+            for at_row in range(0, len(whole_batch), 500):
+                batch = whole_batch.iloc[at_row : at_row + 500]
+                raw = [encode(t) for t in batch["text"]]
+                whole = [len(r) // (2 * LENGTH) for r in raw]
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].to_numpy(), "doc_tokens": [len(r) // 2 for r in raw], "curve": curve_keys([np.frombuffer(r, "<u2") for r in raw]),
+                    "blocks": [[ids_crc32(r[2 * LENGTH * i : 2 * LENGTH * (i + 1)]) for i in range(n)] for r, n in zip(raw, whole, strict=True)],
+                    "rest": [r[2 * LENGTH * n :] for r, n in zip(raw, whole, strict=True)],
+                })
 
     return docs.select("doc_id", body().alias("text")).mapInPandas(run, "doc_id long, doc_tokens long, curve long, blocks array<long>, rest binary")
 
