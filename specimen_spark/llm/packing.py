@@ -42,7 +42,7 @@ class Encoder(dict):
     rank file, and kept.  Texts with other characters go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 200_000):
+    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 300_000):
         super().__init__()
         import tiktoken
 
