@@ -19,6 +19,7 @@ one, by their own hash, and combined within each task, so that no task gathers t
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,7 +153,7 @@ def repeated_ranges(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, first, last): strings, by where they start, that a document with a smaller id has too."""
     shared = shared_ranks(docs, parts)
     with_ranks = docs.join(shared.hint("merge"), "doc_id").select("doc_id", "text", "ranks")
-    schema = "part int, settled boolean, rank binary, doc binary, first binary, size binary, bytes binary"
+    schema = "part int, settled boolean, rank binary, doc binary, places binary, first binary, size binary, bytes binary"
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []  # rank, surroundings' hash, doc, first string, length, bytes
@@ -191,34 +192,55 @@ def repeated_ranges(docs: DataFrame, parts: int) -> DataFrame:
             return
         key, around, doc, begin, length, raw = (np.concatenate(x) for x in zip(*held, strict=True))
         own = mix(key * MIX_A + around)
-        least = _first_of(own, doc)
-        settled = doc > least
         offset = np.concatenate([[0], np.cumsum(length)[:-1]])
-        # of equal surroundings in one document, one is enough to ask with; the others ask as well,
-        # as their verdict may depend on documents elsewhere
-        for done, which in ((True, np.flatnonzero(settled)), (False, np.flatnonzero(~settled))):
-            order, bounds = _deal(mix(doc[which].astype(np.uint64)) if done else mix(key[which]), parts)
-            for p in np.flatnonzero(np.diff(bounds)):
-                w = which[order[bounds[p] : bounds[p + 1]]]
-                if done:
-                    part_raw = b""
-                else:
-                    at = np.repeat(offset[w] - np.concatenate([[0], np.cumsum(length[w])[:-1]]), length[w]) + np.arange(length[w].sum())
-                    part_raw = raw[at].tobytes()
-                yield pd.DataFrame({"part": [int(p)], "settled": [done], "rank": [b"" if done else key[w].tobytes()], "doc": [doc[w].tobytes()], "first": [begin[w].astype(np.int32).tobytes()], "size": [length[w].astype(np.uint8).tobytes()], "bytes": [part_raw]})
+        settled = doc > _first_of(own, doc)
+        w = np.flatnonzero(settled)
+        order, bounds = _deal(mix(doc[w].astype(np.uint64)), parts)
+        for p in np.flatnonzero(np.diff(bounds)):
+            k = w[order[bounds[p] : bounds[p + 1]]]
+            yield pd.DataFrame({"part": [int(p)], "settled": [True], "rank": [b""], "doc": [doc[k].tobytes()], "places": [b""], "first": [begin[k].astype(np.int32).tobytes()], "size": [length[k].astype(np.uint8).tobytes()], "bytes": [b""]})
+        # what is left of equal surroundings lies in one document and asks once, for all its places
+        w = np.flatnonzero(~settled)
+        w = w[np.argsort(own[w], kind="stable")]
+        head = np.flatnonzero(np.concatenate([[True], own[w][1:] != own[w][:-1]]))
+        places = np.diff(np.append(head, len(w)))
+        order, bounds = _deal(mix(key[w[head]]), parts)
+        for p in np.flatnonzero(np.diff(bounds)):
+            h = order[bounds[p] : bounds[p + 1]]
+            k = w[head[h]]
+            every = w[np.repeat(head[h] - np.concatenate([[0], np.cumsum(places[h])[:-1]]), places[h]) + np.arange(places[h].sum())]
+            # a string that stands alone is known by its rank
+            size = np.where((key[k] & ONE) == ONE, 0, length[k])
+            at = np.repeat(offset[k] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            yield pd.DataFrame({"part": [int(p)], "settled": [False], "rank": [key[k].tobytes()], "doc": [doc[k].tobytes()], "places": [places[h].astype(np.int32).tobytes()], "first": [begin[every].astype(np.int32).tobytes()], "size": [size.astype(np.uint8).tobytes()], "bytes": [zlib.compress(raw[at].tobytes(), 1)]})
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         done, asked = rows[rows["settled"]], rows[~rows["settled"]]
         read = lambda r, c, kind: np.frombuffer(b"".join(r[c]), kind)
-        out = [(read(done, "doc", np.int64), read(done, "first", np.int32).astype(np.int64), read(done, "first", np.int32).astype(np.int64) + read(done, "size", np.uint8) - LEAST)]
-        key, doc, begin, length, raw = read(asked, "rank", np.uint64), read(asked, "doc", np.int64), read(asked, "first", np.int32).astype(np.int64), read(asked, "size", np.uint8).astype(np.int64), read(asked, "bytes", np.uint8)
-        if len(key):
-            offset = np.concatenate([[0], np.cumsum(length)[:-1]])
-            order = np.argsort(key, kind="stable")
-            bounds = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            # whole ranks, about 20 000 positions at a time
+        first, size = read(done, "first", np.int32).astype(np.int64), read(done, "size", np.uint8)
+        out = [(read(done, "doc", np.int64), first, first + size - LEAST)]
+        key, doc, length = read(asked, "rank", np.uint64), read(asked, "doc", np.int64), read(asked, "size", np.uint8).astype(np.int64)
+        places, begin = read(asked, "places", np.int32).astype(np.int64), read(asked, "first", np.int32).astype(np.int64)
+        raw = np.frombuffer(b"".join(map(zlib.decompress, asked["bytes"])), np.uint8)
+        at_place = np.concatenate([[0], np.cumsum(places)])[: len(places)].astype(np.int64)
+
+        def answer(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            """Strings lo to hi of the surroundings `who` are repeats, at each of their places."""
+            n = places[who]
+            at = begin[np.repeat(at_place[who] - np.concatenate([[0], np.cumsum(n)])[: len(n)], n) + np.arange(n.sum())]
+            out.append((np.repeat(doc[who], n), at + np.repeat(lo, n), at + np.repeat(hi, n)))
+
+        alone = np.flatnonzero(length == 0)
+        if len(alone):
+            again = alone[_first_of(key[alone], doc[alone]) < doc[alone]]
+            answer(again, np.zeros(len(again), np.int64), np.zeros(len(again), np.int64))
+        offset = np.concatenate([[0], np.cumsum(length)])[: len(length)]
+        order = np.flatnonzero(length)
+        order = order[np.argsort(key[order], kind="stable")]
+        if len(order):
+            # whole ranks, about 20 000 surroundings at a time
             cuts = [0]
-            for b in bounds[1:]:
+            for b in np.flatnonzero(key[order][1:] != key[order][:-1]) + 1:
                 if b - cuts[-1] >= 20_000:
                     cuts.append(int(b))
             for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -235,7 +257,7 @@ def repeated_ranges(docs: DataFrame, parts: int) -> DataFrame:
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]) if len(row) else np.zeros(0, bool)
                 begins = np.flatnonzero(new)
                 ends = np.append(begins[1:], len(row)) - 1 if len(row) else begins
-                out.append((doc[w][row[begins]], begin[w][row[begins]] + col[begins], begin[w][row[ends]] + col[ends]))
+                answer(w[row[begins]], col[begins], col[ends])
         d, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"doc_id": d, "first": a, "last": b})
 
