@@ -40,6 +40,8 @@ def buckets(text: str) -> list[np.ndarray]:
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights: words, pairs and n-grams count a third each."""
     parts = buckets(text)
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     weights = np.bincount(inverse, np.concatenate([np.full(len(x), 1 / len(x)) for x in parts]))
     return at.astype(np.int32), (weights / len(parts)).astype(np.float32)
@@ -59,6 +61,8 @@ def train_embeddings(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarr
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(rows)):
             at, weight = rows[i]
+            if not len(at):
+                continue
             hidden = weight @ vectors[at]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
@@ -106,15 +110,16 @@ def scorer(model: tuple[np.ndarray, float]):
     scores, bias = model
 
     def scored(texts: pd.Series) -> np.ndarray:
-        z = np.array([np.mean([scores[x].mean(dtype=np.float64) for x in buckets(t)]) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))
+        found = [[scores[x].mean(dtype=np.float64) for x in buckets(t)] for t in texts]
+        z = np.array([np.mean(x) if x else -np.inf for x in found])
+        return 1 / (1 + np.exp(-np.clip(z + bias, -700, 700)))
 
     return scored
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score (0 to 1) of every row, from its whole text; a text without words
-    is scored by its marks alone.
+    is scored by its marks alone, an empty one gets 0.
 
     Other columns are ignored, null texts count as empty, repeated rows are scored each.
     """

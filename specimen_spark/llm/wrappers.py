@@ -36,6 +36,7 @@ BESIDE = re.compile(
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -67,9 +68,8 @@ def parse(html: str) -> Node:
     stack, at, end = [root], 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
-        if m is None:  # an unfinished tag or a quote without its end
-            close = html.find(">", at)
-            m = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>").match(html, at) if close >= 0 else None
+        if m[0] == "<" and html[at + 1 : at + 2].strip("/").isalpha():  # a quote without its end, or no end at all
+            m = _LOOSE.match(html, at)
             if m is None:
                 break
         at = m.end()
