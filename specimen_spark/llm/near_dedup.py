@@ -104,8 +104,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
                 bags, keys = [], []
                 for text in part["text"]:
                     w = words_of(text)
