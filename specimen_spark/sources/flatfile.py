@@ -7,11 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import complement
+from .readers import whole_files
 
 
 def read_flatfile(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, locus_id, name, accession, gi, sections (array of name and value), origin; one row per //."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    return parse_flatfile(whole_files(spark, path))
+
+
+def parse_flatfile(files: DataFrame) -> DataFrame:
+    """The same from file and text."""
     loci = files.select("file", F.posexplode(F.split("text", r"(?m)^//[^\n]*\n?")).alias("locus_id", "t")).where("trim(t) <> ''")
     found = F.regexp_extract_all("t", F.lit(r"(?m)^([A-Z][^\n]*(?:\n(?![A-Z])[^\n]*)*)"), F.lit(1))
     sections = F.transform(found, lambda s: F.struct(F.regexp_extract(s, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_replace(s, r"^\S+", "")).alias("value")))

@@ -32,16 +32,24 @@ def _body(record: Column) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_fasta(whole_files(spark, path))
+
+
+def parse_fasta(files: DataFrame) -> DataFrame:
     """FASTA: blank and # lines dropped, `_` in names as a space, U as T; unnamed records get a name."""
-    rows = whole_files(spark, path).select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
+    rows = files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
     name = F.trim(F.translate(F.regexp_extract("r", r"^[^\n]*", 0), "_", " "))
     seq = F.translate(_body(F.col("r")), "Uu", "Tt")
     return rows.select("file", F.col("ord").cast("long").alias("ord"), F.when(name == "", "No name specified in file").otherwise(name).alias("title"), seq.alias("seq"))
 
 
 def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_sequences(whole_files(spark, path))
+
+
+def parse_sequences(files: DataFrame) -> DataFrame:
     """`#sequences` dumps: FASTA-like, with ^commands that set the cell's locus, name and state."""
-    rows = whole_files(spark, path).select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
+    rows = files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
     command = lambda name: F.nullif(F.trim(F.regexp_extract("r", rf"\n[ \t]*\^\w+\.{name}[ \t]+([^\n]*)", 1)), F.lit(""))
     return rows.select(
         "file", F.col("ord").cast("long").alias("ord"), F.trim(F.regexp_extract("r", r"^[^\n]*", 0)).alias("title"), _body(F.col("r")).alias("seq"),
@@ -62,9 +70,13 @@ def _numbered(rows: DataFrame, order: list) -> DataFrame:
 
 
 def read_mega(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_mega(whole_files(spark, path))
+
+
+def parse_mega(files: DataFrame) -> DataFrame:
     """MEGA: `#name data` lines, a name that comes again goes on; quoted comments dropped; ordered by name."""
     text = F.regexp_replace(F.regexp_replace("text", r'"[^"]*"', ""), r"(?is)^\s*#mega\b.*?\btitle\b[^\n]*", "")
-    rows = whole_files(spark, path).where(F.col("text").rlike(r"(?i)^\s*#mega\b"))
+    rows = files.where(F.col("text").rlike(r"(?i)^\s*#mega\b"))
     chunks = rows.select("file", F.posexplode(F.filter(F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*#"), lambda x, i: i > 0)).alias("n", "r"))
     lines = chunks.select("file", "n", F.translate(F.regexp_extract("r", r"^(\S+)", 1), "_", " ").alias("name"), F.regexp_replace(F.regexp_replace("r", r"^\S+", ""), r"\s", "").alias("data"))
     return _numbered(_interleaved(lines), ["name"])
@@ -75,13 +87,17 @@ def _groups(data: Column) -> Column:
 
 
 def read_nexus(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    return parse_nexus(whole_files(spark, path))
+
+
+def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sequences, charsets) of Nexus files: DATA or CHARACTERS blocks, interleaved or not; SETS.
 
     Bracketed comments are dropped, alternatives in parentheses kept in brackets, the file's own gap
     and missing symbols become - and ?.  Character sets: name, pos (null, or 0-3 from CODONPOSSET),
     from, to, stride.  A number that stands alone is an interval of one position.
     """
-    files = whole_files(spark, path).where(F.col("text").rlike(r"(?i)^\s*#nexus")).withColumn("text", F.regexp_replace("text", r"\[[^\]]*\]", ""))
+    files = files.where(F.col("text").rlike(r"(?i)^\s*#nexus")).withColumn("text", F.regexp_replace("text", r"\[[^\]]*\]", ""))
     matrix = F.regexp_extract("text", r"(?is)\bbegin\s+(?:data|characters)\s*;.*?\bmatrix\b(.*?);", 1)
     symbol = lambda word, default: F.coalesce(F.nullif(F.regexp_extract("text", rf"(?is)\bformat\b[^;]*\b{word}\s*=\s*([^\s;])", 1), F.lit("")), F.lit(default))
     rows = files.select("file", symbol("gap", "-").alias("gap"), symbol("missing", "?").alias("missing"), F.posexplode(F.split(matrix, "\n")).alias("n", "line")).where("trim(line) <> ''")
@@ -106,12 +122,16 @@ def read_nexus(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
 
 
 def read_tnt(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return parse_tnt(whole_files(spark, path))
+
+
+def parse_tnt(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sequences, charsets, problems) of TNT files: xread with an optional quoted title, xgroup.
 
     Problems are files whose number of taxa or of characters isn't what they say.
     """
     head = r"(?is)\bxread\s+(?:'[^']*'\s*)?(\d+)\s+(\d+)\s*(.*?);"
-    files = whole_files(spark, path).where(F.col("text").rlike(r"(?i)\bxread\b"))
+    files = files.where(F.col("text").rlike(r"(?i)\bxread\b"))
     parts = files.select("file", *[F.regexp_extract("text", head, k).alias(n) for k, n in ((1, "nchar"), (2, "ntax"), (3, "m"))])
     rows = parts.select("file", F.posexplode(F.split("m", "\n")).alias("n", "line")).where("trim(line) <> '' and not trim(line) like '&%'")
     lines = rows.select("file", "n", F.translate(F.regexp_extract("line", r"^\s*(\S+)", 1), "_", " ").alias("name"), _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*\S+", ""), r"\s", "")).alias("data"))
@@ -150,12 +170,16 @@ def file_format() -> Column:
 
 def read_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files of any of the formats: file, format, ord, title, seq."""
-    kinds = whole_files(spark, path).select("file", file_format().alias("format"))
-    every = read_fasta(spark, path)
-    found = {"fasta": every, "nexus": read_nexus(spark, path)[0], "tnt": read_tnt(spark, path)[0], "mega": read_mega(spark, path), "sequences": read_sequences(spark, path).select("file", "ord", "title", "seq")}
+    return parse_any(whole_files(spark, path))
+
+
+def parse_any(files: DataFrame) -> DataFrame:
+    files = files.withColumn("format", file_format())
+    of = lambda kind: files.where(F.col("format") == kind)
+    found = {"fasta": parse_fasta(of("fasta")), "nexus": parse_nexus(of("nexus"))[0], "tnt": parse_tnt(of("tnt"))[0], "mega": parse_mega(of("mega")), "sequences": parse_sequences(of("sequences"))}
     out = None
     for kind, df in found.items():
-        part = df.join(kinds.where(F.col("format") == kind), "file").select("file", "format", "ord", "title", "seq")
+        part = df.select("file", F.lit(kind).alias("format"), "ord", "title", "seq")
         out = part if out is None else out.unionByName(part)
     return out
 
