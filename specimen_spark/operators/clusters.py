@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _store(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder; without one (tests), in Spark's own checkpoint folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import store
 
 
 def clusters(sequences: DataFrame, pairs: DataFrame, threshold: float = 0.03, rounds: int = 40) -> DataFrame:
     """(ord, cluster): connected components of pairs within the threshold; a cluster is its smallest ord."""
     near = pairs.where(F.col("bucket") <= int(round(threshold * 100_000)))
-    both = _store(near.select(F.col("a").alias("ord"), F.col("b").alias("to")).unionByName(near.select(F.col("b").alias("ord"), F.col("a").alias("to"))))
-    state = _store(sequences.select("ord", F.col("ord").alias("cluster")))
+    both = store(near.select(F.col("a").alias("ord"), F.col("b").alias("to")).unionByName(near.select(F.col("b").alias("ord"), F.col("a").alias("to"))))
+    state = store(sequences.select("ord", F.col("ord").alias("cluster")))
     for _ in range(rounds):
         low = both.join(state.select(F.col("ord").alias("to"), F.col("cluster").alias("c")), "to").groupBy("ord").agg(F.min("c").alias("c"))
         step = state.join(low, "ord", "left").select("ord", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        step = _store(step)
+        step = store(step)
         jump = step.select(F.col("ord").alias("cluster"), F.col("cluster").alias("c"))
-        state = _store(step.join(jump, "cluster", "left").select("ord", F.coalesce("c", "cluster").alias("cluster"), "old"))
+        state = store(step.join(jump, "cluster", "left").select("ord", F.coalesce("c", "cluster").alias("cluster"), "old"))
         if state.where("cluster <> old").isEmpty():
             return state.select("ord", "cluster")
         state = state.select("ord", "cluster")

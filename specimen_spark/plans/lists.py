@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import consensus, lists, summaries, windows
+from ..operators.storage import numbered
 from . import fixtures as X
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -102,9 +103,7 @@ _ORDER = {
 for _kind, _sql in _ORDER.items():
 
     def _sorted(spark, d, kind=_kind):
-        from pyspark.sql import Window as W
-
-        return X.sequences(spark, d).select(F.row_number().over(W.orderBy(*lists.order_of(kind))).alias("place"), "ord")
+        return numbered(X.sequences(spark, d), lists.order_of(kind)).select("place", "ord")
 
     query(f"sort_by_{_kind}", X.sql(f"SELECT row_number() OVER (ORDER BY {_sql}) AS place, ord FROM s"))(_sorted)
 

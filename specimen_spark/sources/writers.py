@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.grid import charset_ranges, concatenate, taxonsets
+from ..operators.storage import numbered
 
 _GAPS = ("_", "-")
 
@@ -61,10 +62,11 @@ def _blocks(df: DataFrame, name: str, every: int) -> DataFrame:
     return rows.select(F.col("block").cast("long").alias("block"), "ord", F.concat(F.rpad(F.col(name), 33, " "), chunk, F.lit(" ["), F.length(chunk).cast("string"), F.lit(":"), (F.col("at") + 1).cast("string"), F.lit("-"), (F.col("at") + F.length(chunk)).cast("string"), F.lit("]")).alias("line"))
 
 
-def _framed(lines: DataFrame, head: str, foot: str, path: str) -> None:
+def _framed(lines: DataFrame, head: str, foot: str, path: str, more: DataFrame | None = None) -> None:
     spark = lines.sparkSession
     ends = spark.createDataFrame([(-1, 0, head), (1 << 40, 0, foot)], "block long, ord long, line string")
-    _write(lines.select("block", F.col("ord").cast("long").alias("ord"), "line").unionByName(ends), path, "block", "ord")
+    every = lines.select("block", F.col("ord").cast("long").alias("ord"), "line").unionByName(ends)
+    _write(every if more is None else every.unionByName(more), path, "block", "ord")
 
 
 def write_nexus(df: DataFrame, path: str, interleave_at: int = 80) -> None:
@@ -76,18 +78,20 @@ def write_nexus(df: DataFrame, path: str, interleave_at: int = 80) -> None:
     _framed(_blocks(rows, "name", interleave_at), head, "\n;\n\nEND;", path)
 
 
-def _set_lines(grid: DataFrame) -> list[str]:
-    """SETS of the concatenation; as many lines as loci and taxon sets."""
-    taxa = grid.select("taxon").distinct().withColumn("k", F.row_number().over(W.orderBy("taxon")))
-    sets = taxonsets(grid).join(taxa, "taxon").groupBy("taxonset").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), " ").alias("ks")).orderBy("taxonset")
-    ranges = charset_ranges(grid).orderBy("locus")
-    return [f"\tTAXSET {r['taxonset']} = {r['ks']};" for r in sets.collect()] + [f"\tCHARSET {r['locus']} = {r['first']}-{r['last']};" for r in ranges.collect()]
+def _set_lines(grid: DataFrame, rows: DataFrame) -> DataFrame:
+    """SETS of the concatenation as lines after its matrix (block, ord, line)."""
+    taxa = rows.select("taxon", F.col("ord").alias("k"))
+    sets = taxonsets(grid).join(taxa, "taxon").groupBy("taxonset").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), " ").alias("ks"))
+    sets = sets.select(F.concat(F.lit("\tTAXSET "), "taxonset", F.lit(" = "), "ks", F.lit(";")).alias("line"), F.lit(1).alias("kind"))
+    ranges = charset_ranges(grid).select(F.concat(F.lit("\tCHARSET "), "locus", F.lit(" = "), "first", F.lit("-"), "last", F.lit(";")).alias("line"), F.lit(2).alias("kind"))
+    return sets.unionByName(ranges).select(F.lit(1 << 41).alias("block"), F.row_number().over(W.orderBy("kind", "line")).cast("long").alias("ord"), "line")
 
 
 def write_supermatrix_nexus(grid: DataFrame, path: str, mode: str = "single", interleave_at: int = 1000, allow_cancelled: bool = False) -> None:
     """The concatenation with its SETS; mode: single (a line per taxon), interleaved, blocks, naked."""
     live = refuse_cancelled(grid, allow_cancelled)
-    rows = unique_names(concatenate(live).withColumn("ord", F.row_number().over(W.orderBy("taxon"))), F.regexp_replace("taxon", r"[^\w.]+", "_")).withColumn("seq", F.translate("seq", *_GAPS))
+    rows = numbered(concatenate(live), [F.col("taxon")], "ord")
+    rows = unique_names(rows, F.regexp_replace("taxon", r"[^\w.]+", "_")).withColumn("seq", F.translate("seq", *_GAPS))
     n, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
     if mode in ("interleaved", "blocks"):
         lines = _blocks(rows, "name", interleave_at)
@@ -95,8 +99,11 @@ def write_supermatrix_nexus(grid: DataFrame, path: str, mode: str = "single", in
         lines = rows.select(F.lit(0).cast("long").alias("block"), "ord", F.concat(F.rpad("name", 33, " "), "seq").alias("line"))
     flag = " INTERLEAVE" if mode in ("interleaved", "blocks") else ""
     head = f"#NEXUS\n\nBEGIN DATA;\n\tDIMENSIONS NTAX={n} NCHAR={longest};\n\tFORMAT DATATYPE=DNA MISSING=? GAP=-{flag};\n\tMATRIX"
-    foot = "\n;\n\nEND;" + ("" if mode == "naked" else "\n\nBEGIN SETS;\n" + "\n".join(_set_lines(live)) + "\nEND;")
-    _framed(lines, head, foot, path)
+    more = None
+    if mode != "naked":
+        ends = live.sparkSession.createDataFrame([(1 << 41, -1, "\nBEGIN SETS;"), (1 << 42, 0, "END;")], "block long, ord long, line string")
+        more = _set_lines(live, rows).unionByName(ends)
+    _framed(lines, head, "\n;\n\nEND;", path, more)
 
 
 def write_tnt(df: DataFrame, path: str, title: str = "sequences", groups: list[tuple[str, int, int]] | None = None) -> None:
@@ -112,7 +119,7 @@ def write_tnt(df: DataFrame, path: str, title: str = "sequences", groups: list[t
 
 def write_supermatrix_tnt(grid: DataFrame, path: str, allow_cancelled: bool = False) -> None:
     live = refuse_cancelled(grid, allow_cancelled)
-    rows = concatenate(live).withColumn("ord", F.row_number().over(W.orderBy("taxon"))).withColumnRenamed("taxon", "title")
+    rows = numbered(concatenate(live), [F.col("taxon")], "ord").withColumnRenamed("taxon", "title")
     groups = [(r["locus"], r["first"] - 1, r["last"] - 1) for r in charset_ranges(live).orderBy("locus").collect()]
     write_tnt(rows, path, "concatenation", groups)
 
