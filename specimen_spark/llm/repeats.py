@@ -272,6 +272,19 @@ def removed_mask(n: int, first: np.ndarray, last: np.ndarray, least: int = LEAST
     return np.cumsum(change[:-1]) > 0
 
 
+def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document's ranges, those that cover neighbouring bytes made one."""
+    for batch in batches:
+        firsts, lasts = [], []
+        for a, b in zip(batch["first"], batch["last"], strict=True):
+            order = np.argsort(a, kind="stable")
+            a, b = np.asarray(a)[order], np.maximum.accumulate(np.asarray(b)[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1] + LEAST]))
+            firsts.append(a[new])
+            lasts.append(b[np.append(new[1:], len(b)) - 1])
+        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "first": firsts, "last": lasts})
+
+
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept_text, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
@@ -285,7 +298,8 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", body().alias("text"))
     ranges = repeated_ranges(rows.where("doc_id is not null"), parts)
-    ranges = store(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("doc_id", F.col("r.first").alias("first"), F.col("r.last").alias("last")), "ranges")
+    ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("doc_id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+    ranges = store(ranges.mapInPandas(merged, "doc_id long, first array<long>, last array<long>"), "ranges")
     size = ranges.agg(F.coalesce(F.sum(F.lit(64) + 16 * F.size("first")), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges, "doc_id", "left")
 
