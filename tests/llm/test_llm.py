@@ -150,6 +150,40 @@ def test_counts_cover_all_rows(docs, texts):
     assert total == sum(len(t.split()) for t in texts.values())
 
 
+@pytest.mark.parametrize("most", [0, 30, 100_000])
+def test_words_have_likelihoods_of_their_own(spark, most):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(x)}e" for x in rng.zipf(1.3, 60) % 5000)) for i in range(60)] + [(60, "a\u3000b\x1cc"), (61, None), (None, "w1e w2e"), (None, "w1e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = lm_scoring.word_counts(df).cache()
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    assert {r["w"]: r["n"] for r in counted.collect()} == counts and len(counts) > lm_scoring.FREQUENT + 50
+    model = lm_scoring.fit(df, counted)
+    words = lm_scoring.vocabulary(counted, model[0], most)
+    classes, near = lm_scoring.Words(model[0]), lm_scoring.context_classes()
+    sizes = defaultdict(list)
+    for w, n in counts.items():
+        sizes[classes[w]].append(n)
+
+    def brute(text):
+        total = 0.0
+        for w, cell in zip(text.split(), lm_scoring.cells(text, classes, near), strict=True):
+            n = sizes[classes[w]]
+            total += float(model[1][cell]) + (0.0 if w in model[0] else np.log((counts[w] + 0.5) / (sum(n) + 0.5 * (len(n) + 1))))
+        return total
+
+    rare = next(w for w in sorted(counts) if counts[w] == 1 and w not in model[0] and len(w) == 6)
+    junk = next(f"w{i}e" for i in range(5000, 9999) if f"w{i}e" not in counts and classes[f"w{i}e"] == classes[rare])
+    new = spark.createDataFrame([(100, f"w1e {rare} w1e"), (101, f"w1e {junk} w1e")], "doc_id long, text string")
+    got = lm_scoring.score_words(df.unionByName(new), model, words).collect()
+    assert len(got) == len(rows) + 2
+    found = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    for i, t in [*rows[:-2], (100, f"w1e {rare} w1e"), (101, f"w1e {junk} w1e")]:
+        assert found[i]["n_tokens"] == len((t or "").split()) and abs(found[i]["log_likelihood"] - brute(t or "")) < 1e-3
+    assert found[61]["mean_log_likelihood"] is None
+    assert abs(found[100]["log_likelihood"] - found[101]["log_likelihood"] - np.log(3)) < 1e-3
+
+
 # 5 fingerprints
 
 
