@@ -37,7 +37,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that names are never found within values or longer names.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
 
 
 class Node:
@@ -160,17 +161,20 @@ def _fold(items: list[list]) -> list[list]:
         else:
             for between in out[k + 1 :]:
                 between[1] |= 1
-            letters, pages = out[k][3] + item[3], max(out[k][2], item[2])
-            out[k] = merge(out[k], item)
-            out[k][1:4] = [out[k][1] | 2, pages, letters]
+            out[k] = merge(out[k], item, True)
+            out[k][1] |= 2
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """Aligns two wrapper nodes of one signature."""
-    flags, pages, letters = a[1] | b[1], a[2] + b[2], a[3] + b[3]
+def merge(a: list, b: list, same_page: bool = False) -> list:
+    """Aligns two wrapper nodes of one signature.
+
+    Nodes of one page count as one page, and their differing texts are the constant of all of them:
+    only what differs between pages is a slot.
+    """
+    flags, pages, letters = a[1] | b[1], max(a[2], b[2]) if same_page else a[2] + b[2], a[3] + b[3]
     if a[0] == "#":
-        return ["#", flags, pages, letters, a[4] if a[4] == b[4] else None]
+        return ["#", flags, pages, letters, a[4] if a[4] == b[4] else crc32(f"{a[4]} {b[4]}".encode()) if same_page else None]
     left, right = a[4], b[4]
     where = {item[0]: i for i, item in enumerate(right)}
     out: list[list] = []
@@ -182,7 +186,7 @@ def merge(a: list, b: list) -> list:
             continue
         # what only the right side has before its match is optional and keeps its place
         out += [[x[0], x[1] | 1, *x[2:]] for x in right[done:j] if all(x[0] != y[0] for y in left)]
-        out.append(merge(item, right[j]))
+        out.append(merge(item, right[j], same_page))
         done = max(done, j + 1)
     out += [[x[0], x[1] | 1, *x[2:]] for x in right[done:] if all(x[0] != y[0] for y in left)]
     return [a[0], flags, pages, letters, out]
@@ -192,15 +196,17 @@ def main_path(wrapper: list) -> list[str]:
     """Signatures from the page down to the element that holds the main text.
 
     An article or main element wins; else the way goes down while one child that isn't beside
-    the text holds most of the letters in slots.
+    the text holds most of the letters in slots.  Where nothing differs between pages, all letters
+    count.
     """
     best: tuple[int, list[str]] = (0, [])
+    every = False
 
     def letters(node: list) -> int:
         if node[1] & 4:
             return 0
         if node[0] == "#":
-            return node[3] if node[4] is None or node[2] < 3 else 0
+            return node[3] if every or node[4] is None or node[2] < 3 else 0
         return sum(letters(c) for c in node[4])
 
     def named(node: list, path: list[str]) -> None:
@@ -209,8 +215,7 @@ def main_path(wrapper: list) -> list[str]:
             if child[0] == "#" or child[1] & 4:
                 continue
             here = [*path, child[0]]
-            tag = re.split(r"[.@]", child[0])[0]
-            if tag in ("article", "main") or child[0].endswith("@main"):
+            if _holds_main(child[0]):
                 found = letters(child)
                 # an article inside a main element is the closer fit
                 if found > best[0] or (found and 2 * found >= best[0] and here[: len(best[1])] == best[1]):
@@ -218,6 +223,11 @@ def main_path(wrapper: list) -> list[str]:
             named(child, here)
 
     named(wrapper, [])
+    if not best[0]:
+        every = True
+        named(wrapper, [])
+        every = False
+        every = not letters(wrapper)
     if best[0]:
         return best[1]
     path, node = [], wrapper
@@ -231,12 +241,19 @@ def main_path(wrapper: list) -> list[str]:
         node = top
 
 
+def _holds_main(sig: str) -> bool:
+    return re.split(r"[.@]", sig)[0] in ("article", "main") or sig.endswith("@main")
+
+
 def _constants(node: list, path: tuple, out: set, slots: bool) -> None:
+    """Texts that each of 5 or more pages has; what an article or main element holds isn't among them."""
     for child in node[4]:
+        if child[1] & 1:
+            continue
         if child[0] == "#":
-            if child[4] is not None and child[2] >= 5 and slots and not child[1] & 1:
+            if child[4] is not None and child[2] >= 5 and slots:
                 out.add((path, child[4]))
-        else:
+        elif not _holds_main(child[0]):
             _constants(child, (*path, child[0]), out, slots)
 
 
@@ -253,7 +270,8 @@ class Extractor:
         for sig in self.path:
             node = next(c for c in node[4] if c[0] == sig)
         self.constants: set = set()
-        _constants(node, (), self.constants, _has_slot(node))
+        if not any(map(_holds_main, self.path)):
+            _constants(node, (), self.constants, _has_slot(node))
 
     def roots(self, page: Node) -> list[Node]:
         found = [page]

@@ -81,6 +81,38 @@ def test_wrapper_is_union_free():
     assert flags == {"p": 2, "h2": 1, "table": 1}
 
 
+def extracted(pages):
+    wrapper = None
+    for p in pages:
+        own = wrappers.skeleton(wrappers.parse(p))
+        wrapper = own if wrapper is None else wrappers.merge(wrapper, own)
+    return [wrappers.Extractor(wrapper).text(wrappers.parse(p)) for p in pages]
+
+
+def test_constant_texts_of_articles_are_kept():
+    got = extracted([f"<body><article><h1>T{i}</h1><p>own {i}</p>{'<h2>Conclusion</h2>' if i % 20 == 0 else ''}<p>more {i}</p></article></body>" for i in range(100)])
+    assert all(("Conclusion" in t) == (i % 20 == 0) for i, t in enumerate(got))
+    cells = "<tr>" + '<td class="yes">Yes</td>' * 5 + "</tr>"
+    for outer in ("article", "div"):
+        assert extracted([f"<{outer}><h1>Only</h1><p>one</p><p>two</p><table>{cells}</table></{outer}>"])[0].count("Yes") == 5
+        for copies in (4, 5, 9):
+            assert set(extracted([f"<{outer}><h1>Head</h1><p>one</p><p>two</p></{outer}>"] * copies)) == {"Head\none\ntwo"}
+    assert set(extracted(["<div><h4>Top</h4></div><article><p>one</p></article>"] * 6)) == {"one"}
+
+
+def test_constant_texts_elsewhere():
+    got = extracted([f"<body><div><h5>Every page</h5><p>own text {i}</p>{'<div><h2>Conclusion</h2></div>' if i < 6 else ''}</div></body>" for i in range(20)])
+    assert got == [f"own text {i}" + ("\nConclusion" if i < 6 else "") for i in range(20)]
+
+
+def test_attribute_names_are_anchored():
+    for attributes in ('title="a hidden class=ad here"', "data-id=sidebar", 'alt="style=\'display:none\'"', "x-hidden", "data-role='banner' lang=en"):
+        assert not wrappers.parse(f"<p {attributes}>text</p>").children[0].beside
+    for attributes in ("hidden", 'title="x" CLASS = "big ad"', "id=sidebar", "data-x='1'class='ads'", "style='display: none'", 'aria-hidden="true"'):
+        assert wrappers.parse(f"<p {attributes}>text</p>").children[0].beside
+    assert wrappers.parse("<p title=\"it's hidden>text</p>").children[0].beside is False
+
+
 def test_deep_nesting(spark):
     df = spark.createDataFrame([(1, "http://a/", "<div>" * 5000 + "deep" + "</div>" * 5000)], "page_id long, url string, html string")
     assert wrappers.extract(df).first()["text"] == "deep"
