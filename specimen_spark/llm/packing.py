@@ -10,6 +10,7 @@ ids) is shuffled with it.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,14 +36,17 @@ _PIECES = re.compile(rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 16-bit bytes, without special tokens, then id 0.
+    """Ids of texts as little-endian unsigned 16-bit bytes, with no special tokens added, then id 0.
+
+    added: whether the tokenizer's added tokens ("<|endoftext|>") keep their own ids where a text
+    holds them, as is the tokenizer's default; else they are cut like any text.
 
     The ids are those of `tokenizers`.  A byte-level BPE merges within the pieces that its pattern
     cuts, so for plain characters the ids of a piece are worked out once, by the same vocabulary's
     rank file, and kept.  Texts with other characters go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, ranks_path: str, pattern: str, most: int = 300_000, added: bool = False):
         super().__init__()
         import tiktoken
 
@@ -51,7 +55,11 @@ class Encoder(dict):
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.ranks, self.most = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), most
-        self.path, self.tokenizer = path, None
+        self.path, self.tokenizer, self.added = path, None, None
+        if added:
+            with open(path, encoding="utf-8") as file:
+                contents = [re.escape(t["content"]) for t in json.load(file)["added_tokens"]]
+            self.added = re.compile("|".join(contents)) if contents else None
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
@@ -64,11 +72,12 @@ class Encoder(dict):
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
+            if self.added is None:
+                self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self.added is not None and self.added.search(text):
             return self.whole(text) + b"\0\0"
         return b"".join(map(self.__getitem__, _PIECES.findall(text))) + b"\0\0"
 
@@ -113,17 +122,18 @@ def ids_crc32(raw: bytes) -> int:
     return crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes())
 
 
-def encoded(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, folder: str | None = None, added: bool = False) -> DataFrame:
     """doc_id, doc_tokens, Hilbert key, CRCs of whole blocks of 1024 ids, and the remaining ids.
 
     folder: where the tokenizer's files lie; those installed with public_tokenizers by default.
+    added: see Encoder.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
         at = public_tokenizers.path if folder is None else lambda name: f"{folder}/{name}"
-        encode = Encoder(at(TOKENIZER), at(RANKS), public_tokenizers.PATTERN)
+        encode = Encoder(at(TOKENIZER), at(RANKS), public_tokenizers.PATTERN, added=added)
         for whole_batch in batches:
             for at_row in range(0, len(whole_batch), 500):
                 batch = whole_batch.iloc[at_row : at_row + 500]
@@ -186,17 +196,17 @@ class Packer:
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, folder: str | None = None, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequences hold 1024 ids; the last ones of each range of the curve hold a power of two.  A null
     or empty text is the id 0 alone.  Rows with equal doc_id are packed each; a null doc_id stays
     null.  No documents give no pieces.  Ids are computed once and kept, with the curve's keys, in
-    the shared folder, as sorting by range reads its input twice.
+    the shared folder, as sorting by range reads its input twice.  added: see Encoder.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "packing")
-    encoded(docs, folder).write.option("compression", "zstd").parquet(path)
+    encoded(docs, folder, added).write.option("compression", "zstd").parquet(path)
     kept = spark.read.parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,4 +229,4 @@ def pack(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)

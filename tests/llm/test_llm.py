@@ -260,6 +260,25 @@ def test_encoder_gives_the_tokenizers_ids():
         assert e(t)[:-2] == want
 
 
+def test_op6_gives_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tok = Tokenizer.from_file(P.path(packing.TOKENIZER))
+    assert 50256 in tok.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    rows = [(i, t) for i, t in enumerate([x[1] for x in EDGE] + ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>\n\u6f22", "<|endoftext", "plain"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for packed in (packing.op6_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, df, SF)):
+        got = packed.collect()
+        for r in got:
+            ids = [*tok.encode(rows[r["doc_id"]][1] or "", add_special_tokens=False).ids, 0]
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        assert {r["doc_id"] for r in got} == set(range(len(rows)))
+
+
 def test_hilbert_key_visits_neighbours():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = packing.hilbert_key(g, 3)
