@@ -158,7 +158,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Candidates: in each bucket of a band every document is compared with the bucket's hub, the one
     with most company over all its buckets, so a bucket of variants of one text costs one
     comparison per document.  Documents of a bucket that these links leave in different components
-    are then joined on the rarest of their shingles (rare_pairs), which loses no link.
+    are then joined on the rarest of their shingles (rare_pairs), which loses no link among them.
+    A link is lost where its two documents share no bucket, (1 - s**5)**25 of pairs of similarity s
+    (5e-5 at 0.8), unless other links or other company in their buckets join them.
     """
     all_rows = store(sketch(docs), "sketch")
     known = all_rows.where("doc_id is not null")
@@ -169,7 +171,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     company = store(shared.groupBy("rep").agg(F.sum("size").alias("company")), "company")
     hub = F.max(F.struct("company", F.negative("rep").alias("r"), "n"))
     hubs = store(shared.join(company, "rep").groupBy("bucket").agg(hub.alias("h")).select("bucket", F.negative("h.r").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-    stars = shared.join(hubs, "bucket").where((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n")))
+    stars = shared.join(hubs, "bucket").where((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n") - 1e-9))
     stars = store(stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "stars")
     tested = store(verified(stars, docs, threshold), "tested")
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
@@ -211,14 +213,14 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     tokens = store(texts.mapInPandas(run, "rep long, token long"), "tokens")
     often = store(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     order = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    placed = order.join(rows, "rep").select("rep", "n", "component", "t", F.posexplode(F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - (F.col("n") - F.size("t"))).cast("int"))).alias("i", "x"))
+    placed = order.join(rows, "rep").select("rep", "n", "component", "t", F.posexplode(F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("t"))).cast("int"))).alias("i", "x"))
     # tokens of one document alone come first in its order, and join nothing
     placed = store(placed.select("rep", "n", "component", F.col("x.token").alias("token"), (F.col("n") - F.size("t") + F.col("i")).alias("at")), "placed")
     ask = threshold / (1 + threshold)
-    x, y = placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(2 * ask) * F.col("n"))).alias("x"), placed.alias("y")
+    x, y = placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(2 * ask) * F.col("n") - 1e-9)).alias("x"), placed.alias("y")
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.ceil(F.lit(ask) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & (F.col("x.n") >= F.lit(threshold) * F.col("y.n")) & room
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & smaller & (F.col("x.n") >= F.lit(threshold) * F.col("y.n") - 1e-9) & room
     return x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 

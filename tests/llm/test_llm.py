@@ -421,6 +421,23 @@ def test_many_variants_of_one_text(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_ties_at_the_threshold_are_joined(spark):
+    rows, want = [], set()
+    for k, n in enumerate((63, 117, 126, 135, 234)):
+        own, common = n // 9, [f"c{n}x{i}" for i in range(n - n // 9 + 4)]
+        for side in (0, 1):
+            rows.append((2 * k + side, " ".join([f"o{n}s{side}x{i}" for i in range(own)] + common)))
+        want.add((2 * k, 2 * k + 1))
+    # a third text shares a part with the first two and is no link of either
+    rows.append((100, " ".join([f"h{i}" for i in range(40)] + [f"c63x{i}" for i in range(40)])))
+    bags = {d: near_dedup.bag(t) for d, t in rows}
+    brute = {(a, b) for a in bags for b in bags if a < b and near_dedup.weighted_jaccard(bags[a], bags[b]) >= 0.8}
+    assert brute == want and all(near_dedup.weighted_jaccard(bags[a], bags[b]) == 0.8 for a, b in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = spark.createDataFrame([(d, int(bags[d][1].sum()), d) for d in bags], "rep long, n long, component long")
+    assert {(r["a"], r["b"]) for r in near_dedup.rare_pairs(left, docs, 0.8).collect()} >= want
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(0), []
     for _ in range(40):
