@@ -45,21 +45,39 @@ def congeneric(spark, d):
     return valid(spark, d, scope="inter_congeneric").select("a", "b", "overlap", "dist")
 
 
-@query("k2p_distances", X.sql(f"""SELECT a, b, overlap, CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN round(greatest(0.0, -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q)), 6) END AS dist
+SQL_K2P = X.sql(f"""SELECT a, b, overlap, CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN round(greatest(0.0, -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q)), 6) END AS dist
   FROM (SELECT a, b, overlap, ts / n AS p, tv / n AS q FROM (SELECT x.ord AS a, y.ord AS b, sum(CASE WHEN x.m > 0 AND y.m > 0 THEN 1 ELSE 0 END)::INTEGER AS overlap,
       sum(CASE WHEN (x.p OR x.y) AND (y.p OR y.y) THEN 1 ELSE 0 END)::DOUBLE AS n, sum(CASE WHEN (x.p AND y.y) OR (x.y AND y.p) THEN 1 ELSE 0 END)::DOUBLE AS tv,
       sum(CASE WHEN ((x.p AND y.p) OR (x.y AND y.y)) AND x.m <> y.m THEN 1 ELSE 0 END)::DOUBLE AS ts
-    FROM c x JOIN c y ON x.pos = y.pos AND x.ord < y.ord AND x.species = y.species GROUP BY 1, 2) WHERE overlap >= {X.MIN_OVERLAP} AND n > 0)""", X.SQL_CHARS))
-def k2p(spark, d):
-    got = valid(spark, d, scope="intra", method="k2p", valid_only=False).where(F.col("overlap") >= X.MIN_OVERLAP)
+    FROM c x JOIN c y ON x.pos = y.pos AND x.ord < y.ord AND x.species = y.species GROUP BY 1, 2) WHERE overlap >= {X.MIN_OVERLAP} AND n > 0)""", X.SQL_CHARS)
+#: The same over all pairs.
+SAME_SPECIES = " AND x.species = y.species"
+
+
+@query("k2p_distances", SQL_K2P)
+def k2p(spark, d, scope="intra"):
+    got = valid(spark, d, scope=scope, method="k2p", valid_only=False).where(F.col("overlap") >= X.MIN_OVERLAP)
     return got.select("a", "b", "overlap", F.round("dist", 6).alias("dist"))
 
 
-@query("transversion_distances", X.sql(f"""SELECT a, b, overlap, tv / overlap AS dist FROM (SELECT x.ord AS a, y.ord AS b,
+@query("k2p_distances_all", SQL_K2P.replace(SAME_SPECIES, ""))
+def k2p_all(spark, d):
+    return k2p(spark, d, "all")
+
+
+SQL_TRANSVERSIONS = X.sql(f"""SELECT a, b, overlap, tv / overlap AS dist FROM (SELECT x.ord AS a, y.ord AS b,
     sum(CASE WHEN ((x.p OR x.y) AND (y.p OR y.y)) THEN 1 ELSE 0 END + CASE WHEN (x.i AND (y.m > 0 OR y.i)) OR (y.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap,
-    sum(CASE WHEN (x.p AND y.y) OR (x.y AND y.p) THEN 1 ELSE 0 END)::DOUBLE AS tv FROM c x JOIN c y ON x.pos = y.pos AND x.ord < y.ord AND x.species = y.species GROUP BY 1, 2) WHERE overlap >= {X.MIN_OVERLAP}""", X.SQL_CHARS))
-def transversions(spark, d):
-    return valid(spark, d, scope="intra", method="transversions").select("a", "b", "overlap", "dist")
+    sum(CASE WHEN (x.p AND y.y) OR (x.y AND y.p) THEN 1 ELSE 0 END)::DOUBLE AS tv FROM c x JOIN c y ON x.pos = y.pos AND x.ord < y.ord AND x.species = y.species GROUP BY 1, 2) WHERE overlap >= {X.MIN_OVERLAP}""", X.SQL_CHARS)
+
+
+@query("transversion_distances", SQL_TRANSVERSIONS)
+def transversions(spark, d, scope="intra"):
+    return valid(spark, d, scope=scope, method="transversions").select("a", "b", "overlap", "dist")
+
+
+@query("transversion_distances_all", SQL_TRANSVERSIONS.replace(SAME_SPECIES, ""))
+def transversions_all(spark, d):
+    return transversions(spark, d, "all")
 
 
 @query("overlap_report", X.sql("""SELECT x.ord AS a, y.ord AS b, x.species AS species, sum(CASE WHEN (x.m > 0 AND y.m > 0) OR (x.i AND (y.m > 0 OR y.i)) OR (y.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap

@@ -23,6 +23,12 @@ def tidy(rows):
     return Counter(tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["k2p_distances", "transversion_distances"])
+def test_methods_reach_all_pairs(spark, name):
+    assert "species" not in plans.ORACLE_SQL[f"{name}_all"].split("FROM c x JOIN c y")[1]
+    assert plans.QUERIES[f"{name}_all"](spark, SF).count() > plans.QUERIES[name](spark, SF).count()
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
