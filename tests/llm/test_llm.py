@@ -357,17 +357,44 @@ def brute_repeats(texts):
     for d in sorted(texts):
         b = texts[d].encode()
         hits = [i for i in range(len(b) - 49) if seen.setdefault(b[i : i + 50], d) < d]
-        gone = repeats.removed_mask(len(b), np.array(hits, np.int64), np.array(hits, np.int64)) if hits else np.zeros(len(b), bool)
+        gone = np.zeros(len(b), bool)
+        for i in hits:
+            gone[i : i + 50] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         out[d] = (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_repeats(docs, texts, hot, monkeypatch):
+def repeats_of(df):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip_repeats(df).collect()}
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+@pytest.mark.parametrize("chunk", [8 << 20, 20_000])
+def test_repeats(docs, texts, hot, chunk, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    assert repeats_of(docs) == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_repeats_in_groups_of_copies_and_variants(spark, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.strip_repeats(docs).collect()}
-    assert got == brute_repeats(texts)
+    monkeypatch.setattr(repeats, "CHUNK", 5000)
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(1, 9))))
+    base, line = [word() for _ in range(120)], " ".join(word() for _ in range(12))
+    rows = {}
+    for d in range(60):
+        own = list(base)
+        for j in rng.choice(120, rng.integers(0, 4), replace=False):
+            own[j] = word()
+        rows[d] = " ".join(own)
+    rows |= {100 + d: " ".join(base) for d in range(30)}
+    rows |= {200 + d: f"{word()} {line}\n{word()} {word()} {line}{word()}" for d in range(40)}
+    rows |= {300: "ab" * 100, 301: "b" + "ab" * 40, 302: "a" * 49, 303: "a" * 50, 304: "a" * 120, 305: "\u6f22" * 40, 306: "x" + "\u6f22" * 20}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").orderBy(F.xxhash64("doc_id"))
+    assert repeats_of(df) == brute_repeats(rows)
 
 
 def test_repeats_edges(edge, empty):
