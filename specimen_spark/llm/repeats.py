@@ -7,9 +7,11 @@ about one position in eighteen is picked.  Ranks grow with the prefix, and what
 
 1. Whole texts: of byte-equal documents all but the first are repeats throughout and leave.
 2. 16 bytes: Spark deals the ranks of picked positions out by range; those of one document leave.
-3. up to 84 bytes: the survivors' surroundings, which hold all 50-byte strings that picked them.
+3. 33 bytes: every string that picked a position holds the 17 bytes before or behind the run as well,
+   so a position whose ranks of both are of one document leaves.
+4. up to 84 bytes: the survivors' surroundings, which hold all 50-byte strings that picked them.
    Of equal surroundings all but the first document's are repeats, together.
-4. 50 bytes: where a rank still has several surroundings, their 50-byte strings are ranked by
+5. 50 bytes: where a rank still has several surroundings, their 50-byte strings are ranked by
    pairs of ranks at growing offsets (8, 16, 32, 50) and each string's first document is found.
 
 Texts are written once, compressed, as chunks of a table bucketed by chunk; each later pass reads
@@ -22,7 +24,6 @@ string by string, by the string's own hash.  Surroundings and strings are compar
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import fresh_table, store, table, tidy, unzipped, zipped
 from .features import MIX_A, MIX_B, mix
 
 LEAST, SEED = 50, 16
 #: Strings that share a picked run lie within so many bytes around it.
 AROUND = 2 * LEAST - SEED
+#: A string of 50 bytes holds so many bytes before a run of 16 in it, or so many behind it.
+BESIDE = (LEAST - SEED) // 2
 #: A rank of more documents than this is dealt out string by string.
 HOT = 1000
 #: Bytes of text that are one chunk, that numpy works on at a time, and that make one part of the ranks.
@@ -46,14 +49,6 @@ CHUNK, SLICE, PART = 8 << 20, 1 << 18, 8 << 20
 SIX = np.uint64(63)
 
 
-def _zip(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.tobytes(), 1)
-
-
-def _unzip(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
-
-
 def _zip_sorted(a: np.ndarray) -> bytes:
     """Rising 64-bit numbers: their differences, byte by byte, so that equal high bytes lie together."""
     return zstandard.compress(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
@@ -93,16 +88,16 @@ def _double(x: np.ndarray, offset: int, a: np.uint64, b: np.uint64) -> np.ndarra
     return y
 
 
-def picked(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie one after the other: per picked position its rank (48 bits), and the first
-    and last string that picks it, strings being numbered by where they start.
+def picked(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts that lie one after the other: per picked position its rank (48 bits), the first and
+    the last string that picks it, and itself; strings are numbered by where they start.
 
     Of equal runs within a string either may be picked: their rank is one, and strings are compared
     as a whole.
     """
     n = len(raw) - LEAST + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     key = _double(eights(raw), 8, MIX_A, MIX_B)
     key ^= key >> np.uint64(29)
     key *= MIX_A
@@ -118,12 +113,12 @@ def picked(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     inside[_spread(np.maximum(cut - LEAST + 1, 0), np.minimum(cut, n) - np.maximum(cut - LEAST + 1, 0))] = False
     w = np.flatnonzero(inside)
     if not len(w):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     key = key[w]
     at = w + (((key & SIX).astype(np.int64) - w) & 63)
     change = np.flatnonzero(at[1:] != at[:-1]) + 1
     begin, end = np.concatenate([[0], change]), np.concatenate([change, [len(w)]]) - 1
-    return mix(key[begin] >> np.uint64(6)) >> np.uint64(16), w[begin], w[end]
+    return mix(key[begin] >> np.uint64(6)) >> np.uint64(16), w[begin], w[end], at[begin]
 
 
 def _lanes(x: np.ndarray) -> list[np.ndarray]:
@@ -191,7 +186,7 @@ def merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
 
 def _ranges(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
     d, a, b = merged(doc, first, last)
-    return _zip(np.concatenate([d, a, b]).astype(np.int64))
+    return zipped(np.concatenate([d, a, b]).astype(np.int64))
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -200,9 +195,10 @@ def chunked(docs: DataFrame) -> DataFrame:
     Each task writes its own chunks, so nothing is shuffled; a chunk has some MB of whole texts.
     """
     spark = docs.sparkSession
-    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_table("repeats")
     schema = "chunk long, ids array<long>, known array<boolean>, sizes array<long>, digests array<binary>, text binary"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -247,18 +243,19 @@ class Chunk:
             self.copy[np.asarray(r.copies, np.int64)] = True
         self.live = self.known & ~self.copy & (self.sizes >= LEAST)
 
-    def picks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def picks(self) -> tuple[np.ndarray, ...]:
+        """Rank, row, first and last string and place of each picked position."""
         found, at = [], 0
         starts = self.ends - self.sizes
         while at < len(self.sizes):
             to = max(at + 1, int(np.searchsorted(self.ends, starts[at] + SLICE, "right")))
             if self.live[at:to].any():
-                rank, first, last = picked(self.raw[starts[at] : self.ends[to - 1]], self.ends[at:to] - starts[at])
+                rank, first, last, place = picked(self.raw[starts[at] : self.ends[to - 1]], self.ends[at:to] - starts[at])
                 row = at + np.searchsorted(self.ends[at:to] - starts[at], first, "right")
                 keep = self.live[row]
-                found.append((rank[keep], row[keep], first[keep] + starts[at], last[keep] + starts[at]))
+                found.append((rank[keep], row[keep], *(x[keep] + starts[at] for x in (first, last, place))))
             at = to
-        return tuple(_joined([f[i] for f in found], kind) for i, kind in enumerate((np.uint64, np.int64, np.int64, np.int64)))
+        return tuple(_joined([f[i] for f in found], kind) for i, kind in enumerate((np.uint64, *[np.int64] * 4)))
 
 
 def ranks_of(rank: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,26 +272,75 @@ def part_of(rank: np.ndarray, parts: int) -> np.ndarray:
     return ((rank >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def shared_ranks(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
-    """(chunk, shared, hot): ranks of one document here that others have too, and ranks of very many."""
+def sorted_of(blobs) -> np.ndarray:
+    return np.sort(_joined([_unzip_sorted(b) for b in (blobs if blobs is not None else [])], np.uint64))
+
+
+def shared_by(rank: np.ndarray, row: np.ndarray, elsewhere) -> np.ndarray:
+    """Marks the ranks that several rows here have, or rows elsewhere too (`elsewhere`, as found by shared_ranks)."""
+    distinct, n = ranks_of(rank, row)
+    return ((n > 1) | np.isin(distinct, sorted_of(elsewhere)))[np.searchsorted(distinct, rank)]
+
 
+def extensions(chunk: Chunk, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of picked positions: the ranks of the run with what lies before it, and with what lies behind it.
+
+    Where no string of the position reaches so far, the rank is 0.
+    """
+    out = [np.zeros(len(place), np.uint64) for _ in range(2)]
+    for lo in range(0, len(place), 50_000):
+        s = slice(lo, lo + 50_000)
+        around = gather(chunk.raw, np.maximum(place[s] - BESIDE, 0), np.full(len(place[s]), LEAST))
+        wide = around.shape[1]
+        x = _double(_double(_double(eights(np.concatenate([around.ravel(), np.zeros(LEAST, np.uint8)])), 8, MIX_A, MIX_B), 16, MIX_A, MIX_B), BESIDE + SEED - 32, MIX_A, MIX_B)
+        at = np.arange(len(around)) * wide
+        # a place too near the start of the chunk has no string that reaches before it
+        shift = np.minimum(place[s], BESIDE)
+        for side, (values, valid) in enumerate(((x[at], first[s] <= place[s] - BESIDE), (x[at + shift], last[s] >= place[s] - BESIDE))):
+            out[side][s] = np.where(valid, (mix(values + np.uint64(side)) >> np.uint64(16)) | np.uint64(1), np.uint64(0))
+    return out[0], out[1]
+
+
+def candidates(r, chunk: Chunk) -> tuple[np.ndarray, ...]:
+    """Rank, row, first, last and place of the positions whose rank of 16 bytes several documents have."""
+    rank, row, first, last, place = chunk.picks()
+    k = shared_by(rank, row, r.shared)
+    return rank[k], row[k], first[k], last[k], place[k]
+
+
+def shared_ranks(rows: DataFrame, longer: bool, parts: int) -> DataFrame:
+    """(chunk, shared, hot): ranks of one document here that others have too, and ranks of very many.
+
+    The ranks are of 16 bytes, or of 33 for the positions whose ranks of 16 are shared.
+    """
+
+    def keys(r) -> tuple[np.ndarray, np.ndarray]:
+        chunk = Chunk(r)
+        if not longer:
+            return chunk.picks()[:2]
+        _, row, first, last, place = candidates(r, chunk)
+        rank, row = np.concatenate(extensions(chunk, first, last, place)), np.concatenate([row, row])
+        order = np.argsort(row, kind="stable")
+        order = order[rank[order] > 0]
+        return rank[order], row[order]
+
+    @tidy
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                rank, row, _, _ = Chunk(r).picks()
-                rank, n = ranks_of(rank, row)
+                rank, n = ranks_of(*keys(r))
                 bounds = np.searchsorted(part_of(rank, parts), np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(bounds))
                 cells = [(rank[a:b], n[a:b]) for a, b in zip(bounds[full], bounds[full + 1], strict=True)]
                 yield pd.DataFrame({
                     "part": full, "chunk": r.chunk, "ones": [_zip_sorted(k[c == 1]) for k, c in cells], "many": [_zip_sorted(k[c > 1]) for k, c in cells],
-                    "counts": [_zip(c[c > 1].astype(np.int32)) for k, c in cells],
+                    "counts": [zipped(c[c > 1].astype(np.int32)) for k, c in cells],
                 })
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         ones, many = [_unzip_sorted(x) for x in rows["ones"]], [_unzip_sorted(x) for x in rows["many"]]
         rank = np.concatenate(ones + many)
-        n = np.concatenate([np.ones(sum(map(len, ones)), np.int64), *[_unzip(x, np.int32) for x in rows["counts"]]]).astype(np.int64)
+        n = np.concatenate([np.ones(sum(map(len, ones)), np.int64), *[unzipped(x, np.int32) for x in rows["counts"]]]).astype(np.int64)
         every, place = np.unique(rank, return_inverse=True)
         total = np.bincount(place, n, len(every))[place]
         out, at_one, at_many = [], 0, sum(map(len, ones))
@@ -305,7 +351,6 @@ def shared_ranks(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
             out.append((chunk, _zip_sorted(a[mine > 1]), _zip_sorted(hot)))
         return pd.DataFrame(out, columns=["chunk", "shared", "hot"])
 
-    rows = chunks.join(copies, "chunk", "left").select("chunk", "ids", "known", "sizes", "text", "copies")
     found = rows.mapInPandas(emit, "part long, chunk long, ones binary, many binary, counts binary").groupBy("part").applyInPandas(settle, "chunk long, shared binary, hot binary")
     return found.groupBy("chunk").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
 
@@ -317,7 +362,9 @@ ASKED = "part long, chunk long, hot boolean, lane_a binary, lane_b binary, doc b
 
 def repeated_ranges(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
     """(chunk, ranges): strings, by row and where they start, that a document with a smaller id has too."""
-    shared = store(shared_ranks(chunks, copies, parts), "shared")
+    rows = chunks.join(copies, "chunk", "left").select("chunk", "ids", "known", "sizes", "text", "copies")
+    rows = rows.join(store(shared_ranks(rows, False, parts), "shared"), "chunk", "left")
+    longer = store(shared_ranks(rows, True, parts).select("chunk", F.col("shared").alias("longer")), "longer")
 
     def ask(chunk, hot: bool, to: np.ndarray, lanes, ids, size, raw, counts, place, first) -> Iterator[pd.DataFrame]:
         """Rows for each part: heads (to, lanes, ids, size, raw) with `counts` places each."""
@@ -328,21 +375,25 @@ def repeated_ranges(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFra
         for p in np.flatnonzero(np.diff(bounds)):
             h = order[bounds[p] : bounds[p + 1]]
             every = _spread(starts[h], counts[h])
-            body = b"" if hot else _zip(raw[h][np.arange(raw.shape[1])[None, :] < size[h][:, None]])
-            a, b = (_zip(x[h]) for x in lanes) if hot else (b"", b"")
-            out.append((int(p), chunk, hot, a, b, _zip(ids[h]), b"" if hot else _zip(size[h].astype(np.uint8)), body, _zip(counts[h].astype(np.int32)), _zip(place[every].astype(np.int32)), _zip(first[every].astype(np.int64)), b""))
+            body = b"" if hot else zipped(raw[h][np.arange(raw.shape[1])[None, :] < size[h][:, None]])
+            a, b = (zipped(x[h]) for x in lanes) if hot else (b"", b"")
+            out.append((int(p), chunk, hot, a, b, zipped(ids[h]), b"" if hot else zipped(size[h].astype(np.uint8)), body, zipped(counts[h].astype(np.int32)), zipped(place[every].astype(np.int32)), zipped(first[every].astype(np.int64)), b""))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ASKED.split(", ")])
 
+    @tidy
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 chunk = Chunk(r)
-                rank, row, first, last = chunk.picks()
-                distinct, n = ranks_of(rank, row)
-                read = lambda x: _joined([_unzip_sorted(b) for b in (x if x is not None else [])], np.uint64)
-                some = np.isin(distinct, read(r.shared)) | (n > 1)
-                k = some[np.searchsorted(distinct, rank)]
+                rank, row, first, last, place = candidates(r, chunk)
+                before, behind = extensions(chunk, first, last, place)
+                both = np.concatenate([before, behind])
+                order = np.argsort(np.tile(row, 2), kind="stable")
+                some = np.zeros(len(both), bool)
+                some[order] = shared_by(both[order], np.tile(row, 2)[order], r.longer)
+                some &= both > 0
+                k = some[: len(row)] | some[len(row) :]
                 rank, row, first, last = rank[k], row[k], first[k], last[k]
                 doc, length = chunk.ids[row], last - first + LEAST
                 done: list[tuple] = []
@@ -361,7 +412,7 @@ def repeated_ranges(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFra
                     heads = np.flatnonzero(edge[~again])
                     counts = np.diff(np.append(heads, len(w)))
                     head = w[heads]
-                    hot = np.isin(rank[head], read(r.hot))
+                    hot = np.isin(rank[head], sorted_of(r.hot))
                     cold = np.flatnonzero(~hot)
                     every = w[_spread(heads[cold], counts[cold])]
                     raw = gather(chunk.raw, first[head[cold]], length[head[cold]])
@@ -393,14 +444,14 @@ def repeated_ranges(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFra
                     yield pd.DataFrame([(r.chunk % parts, r.chunk, False, *[b""] * 8, ranges)], columns=[c.split()[0] for c in ASKED.split(", ")])
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = [(np.full(len(x) // 3, c), *x.reshape(3, -1)) for c, b in zip(rows["chunk"], rows["ranges"], strict=True) if len(b) for x in [_unzip(b, np.int64)]]
+        out: list[tuple] = [(np.full(len(x) // 3, c), *x.reshape(3, -1)) for c, b in zip(rows["chunk"], rows["ranges"], strict=True) if len(b) for x in [unzipped(b, np.int64)]]
         for hot in (False, True):
             asked = rows[(rows["hot"] == hot) & (rows["doc"].str.len() > 0)]
             if not len(asked):
                 continue
-            read = lambda c, kind: np.concatenate([_unzip(x, kind) for x in asked[c]])  # noqa: E731,B023
+            read = lambda c, kind: np.concatenate([unzipped(x, kind) for x in asked[c]])  # noqa: E731,B023
             doc, counts, place, first = read("doc", np.int64), read("places", np.int32).astype(np.int64), read("place", np.int32), read("first", np.int64)
-            chunk = np.repeat(asked["chunk"].to_numpy(), [len(_unzip(x, np.int64)) for x in asked["doc"]])
+            chunk = np.repeat(asked["chunk"].to_numpy(), [len(unzipped(x, np.int64)) for x in asked["doc"]])
             starts = np.concatenate([[0], np.cumsum(counts)])[: len(counts)]
 
             def answer(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
@@ -452,7 +503,7 @@ def repeated_ranges(chunks: DataFrame, copies: DataFrame, parts: int) -> DataFra
         cuts = np.split(order, starts[1:])
         return pd.DataFrame({"chunk": names, "ranges": [_ranges(d[k], a[k], b[k]) for k in cuts]})
 
-    rows = chunks.join(copies, "chunk", "left").join(shared, "chunk", "left").select("chunk", "ids", "known", "sizes", "text", "copies", "shared", "hot")
+    rows = rows.join(longer, "chunk", "left")
     found = rows.mapInPandas(emit, ASKED).groupBy("part").applyInPandas(settle, "chunk long, ranges binary")
     return found.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges"))
 
@@ -481,13 +532,14 @@ def strip_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     copies = store(later_copies(chunks), "copies")
     ranges = store(repeated_ranges(chunks, copies, parts), "ranges")
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 chunk = Chunk(r)
                 gone = np.zeros(len(chunk.raw), bool)
                 if r.ranges is not None:
-                    found = np.concatenate([_unzip(x, np.int64).reshape(3, -1) for x in r.ranges], axis=1)
+                    found = np.concatenate([unzipped(x, np.int64).reshape(3, -1) for x in r.ranges], axis=1)
                     gone = removed_mask(len(gone), found[1], found[2])
                 starts = chunk.ends - chunk.sizes
                 for i in np.flatnonzero(chunk.copy):
