@@ -8,12 +8,10 @@ appended.  Only digests and ids are ever shuffled, never texts.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, body, store, table
+from .common import BROADCAST_BYTES, body, fresh_table, store, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -30,38 +28,41 @@ class DigestIndex:
     """A table of digests, bucketed and sorted by digest, that grows batch by batch.
 
     A batch that repeats digests of the index adds nothing for them: the row that was there first
-    stays.  Within a batch the row with the largest doc_id stays.
+    stays.  Within a batch the row with the largest doc_id stays.  Without a name the index is an
+    intermediate of this session (see drop_intermediates).
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        self.name = name or fresh_table("digest_index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS")
+        described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+        self.buckets = int(described["Num Buckets"])
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def lacking(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index lacks, by an anti-join that reads its buckets in place."""
+        return groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+
     def append(self, groups: DataFrame) -> None:
-        """Adds the groups whose digest the index lacks."""
-        if self.exists():
-            known = self.read().select("text_sha256").hint("merge")
-            groups = groups.join(known, "text_sha256", "left_anti")
+        """Adds groups that the index lacks."""
         writer = groups.select("text_sha256", "keep_id", "group_size").repartition(self.buckets, "text_sha256").write
         writer.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name)
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Deduplicates a batch against the index and within itself, appends it and returns its new rows."""
-        hashed = digests(docs)
-        groups = group_digests(hashed)
-        if self.exists():
-            known = self.read().select("text_sha256").hint("merge")
-            groups = groups.join(known, "text_sha256", "left_anti")
-        self.append(groups)
-        winners = self.read().select(F.col("keep_id").alias("_keep"))
-        return docs.join(winners, docs["doc_id"].eqNullSafe(winners["_keep"]), "left_semi")
+        """Deduplicates a batch against the index and within itself, appends it and returns its new rows.
+
+        A batch that is added once more has no new rows; a doc_id that comes again with another text
+        is judged by its text.
+        """
+        new = store(self.lacking(group_digests(digests(docs))), "new_digests")
+        self.append(new)
+        new = new.select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+        same = docs["doc_id"].eqNullSafe(new["_keep"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == new["_sha"])
+        return docs.join(new, same, "left_semi")
 
 
 def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -72,15 +73,23 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     repeat both doc_id and text cannot be told apart and share their verdict.  Empty texts are
     equal to each other and to nulls.  An empty table gives no rows; other columns are ignored.
 
-    The index's files are read by path here: the join then shuffles both sides, and Spark splits
-    the partition of a text with very many copies at run time.
+    Rows are joined with the index in its buckets.  Texts with more copies than half a bucket's fair
+    share of rows are at most two for each bucket: these are broadcast, and their rows go to buckets
+    at random.
     """
     index = index or DigestIndex(docs.sparkSession)
     hashed = digests(docs)
-    index.append(group_digests(hashed))
-    where = index.spark.sql(f"DESCRIBE EXTENDED {index.name}").where("col_name = 'Location'").first()["data_type"]
-    groups = index.spark.read.schema(index.read().schema).parquet(where).hint("merge")
-    return hashed.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    index.append(index.lacking(group_digests(hashed)))
+    groups = index.read()
+    share = (groups.agg(F.sum("group_size")).first()[0] or 0) / (2 * index.buckets)
+    often = groups.where(F.col("group_size") > F.lit(share)).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
+    rows = hashed.join(F.broadcast(often), F.col("text_sha256") == F.col("_sha"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_sha").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))))
+    known = groups.select(F.col("text_sha256").alias("_own"), "keep_id", "group_size").hint("merge")
+    joined = rows.join(known, F.col("_key") == F.col("_own"), "left")
+    keep = F.when(F.col("_sha").isNull(), F.col("keep_id")).otherwise(F.col("_keep"))
+    size = F.when(F.col("_sha").isNull(), F.col("group_size")).otherwise(F.col("_size"))
+    return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
