@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, crc_mod, table
+from .common import body, crc_mod, table, tidy, unzipped, zipped
 from .features import MIX_A, MIX_B, mix, ngram_hashes, text_bytes, word_hashes
 
 BUCKETS = 1 << 17
@@ -47,9 +47,20 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (weights / len(parts)).astype(np.float32)
 
 
-def train_embeddings(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 0.3, seed: int = 7):
+def kept(features: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
+    """Features of a text, compressed: a sample of them is held by one task."""
+    return zipped(np.diff(features[0], prepend=np.int32(0))), zipped(features[1])
+
+
+def read(features: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unzipped(features[0], np.int32)), unzipped(features[1], np.float32)
+
+
+def train_embeddings(rows: list[tuple[bytes, bytes]], labels: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 0.3, seed: int = 7):
     """Bucket scores (log-odds each bucket adds to a mean) and bias, from SGD on vectors and softmax.
 
+    rows: features as `kept` gives them.
+
     A step on a document is scaled by the squared length of its weights, so that it moves the
     document's mean as far for a long text as for a short one.
     """
@@ -60,7 +71,7 @@ def train_embeddings(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarr
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(rows)):
-            at, weight = rows[i]
+            at, weight = read(rows[i])
             if not len(at):
                 continue
             hidden = weight @ vectors[at]
@@ -87,15 +98,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     sample = by_hash(0).unionByName(by_hash(1))  # a bounded number of rows, small enough to broadcast
     texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
 
+    @tidy
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [document_features(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["_y"], "at": [m[0].tobytes() for m in made], "weight": [m[1].tobytes() for m in made]})
+            made = [kept(document_features(t)) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["_y"], "at": [m[0] for m in made], "weight": [m[1] for m in made]})
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
-        made = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(rows["at"], rows["weight"], strict=True)]
-        scores, bias = train_embeddings(made, rows["y"].to_numpy(np.int64))
+        rows = rows.sort_values(["doc_id", "at", "weight"]).drop_duplicates("doc_id")
+        scores, bias = train_embeddings(list(zip(rows["at"], rows["weight"], strict=True)), rows["y"].to_numpy(np.int64))
         return pd.DataFrame({"scores": [scores.tobytes()], "bias": [bias]})
 
     ready = texts.mapInPandas(features, "doc_id long, y int, at binary, weight binary")
@@ -125,6 +136,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scored = scorer(shared.value)
         for batch in batches:
