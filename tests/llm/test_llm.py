@@ -74,11 +74,45 @@ def test_wrapper_extraction(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
-def test_wrapper_is_union_free():
-    a, b = (wrappers.skeleton(wrappers.parse(x)) for x in ("<div><p>a</p><p>b</p><h2>x</h2><p>c</p></div>", "<div><p>a</p><table><tr><td>1</td></tr></table></div>"))
-    node = wrappers.merge(a, b)[4][0]
-    flags = {c[0]: c[1] for c in node[4]}
-    assert flags == {"p": 2, "h2": 1, "table": 1}
+def flat(html, *others):
+    """The wrapper of pages, written as an expression."""
+    item = wrappers.skeleton(wrappers.parse(html))
+    for other in others:
+        item = wrappers.merge(item, wrappers.skeleton(wrappers.parse(other)))
+    item = wrappers.unwritten(wrappers.written(item))
+
+    def write(x):
+        if x.sig == "#":
+            inner = "slot" if x.own is None else "text"
+        elif x.sig[0] == "(":
+            inner = f"({' '.join(map(write, x.kids))})"
+        else:
+            inner = f"{x.sig}[{' '.join(map(write, x.kids))}]"
+        return inner + "+" * bool(x.flags & wrappers.REPEATED) + "?" * bool(x.flags & wrappers.OPTIONAL)
+
+    return " ".join(map(write, item.kids))
+
+
+def test_token_streams_are_aligned_in_order():
+    assert flat("<h2>a</h2><p>b</p>", "<h2>a</h2><p>c</p>") == "h2[text] p[slot]"
+    assert flat("<h2>a</h2><p>b</p>", "<p>b</p><h2>a</h2>") == "h2[text]? p[text] h2[text]?"
+    assert flat("<p>a</p><h2>b</h2>", "<p>a</p><p>x</p><h2>b</h2>") == "p[slot]+ h2[text]"
+    assert flat("<p>a</p><table><tr><td>1</table><h2>b</h2>", "<p>a</p><h2>b</h2>") == "p[text] table[tr[td[text]]]? h2[text]"
+    assert flat("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>") == "dl[(dt[slot] dd[slot])+]"
+    assert flat("<div><p>a</p><p>b</p><h2>x</h2><p>c</p></div>", "<div><p>a</p></div>") == "div[p[slot]+ h2[text]? p[text]?]"
+
+
+def test_wrappers_do_not_grow_with_equal_pages():
+    rng = np.random.default_rng(0)
+    one = lambda i: "<article><h1>t%d</h1>" % i + "".join(rng.choice(["<p>x%d</p>", "<h2>y%d</h2>", "<ul><li>a%d<li>b</ul>"]) % i for _ in range(8)) + "</article>"
+    pages = [one(i) for i in range(120)]
+    sizes = []
+    wrapper = None
+    for p in pages:
+        own = wrappers.skeleton(wrappers.parse(p))
+        wrapper = own if wrapper is None else wrappers.merge(wrapper, own)
+        sizes.append(len(wrappers.written(wrapper)))
+    assert max(sizes) < 20_000
 
 
 def extracted(pages):
@@ -86,7 +120,8 @@ def extracted(pages):
     for p in pages:
         own = wrappers.skeleton(wrappers.parse(p))
         wrapper = own if wrapper is None else wrappers.merge(wrapper, own)
-    return [wrappers.Extractor(wrapper).text(wrappers.parse(p)) for p in pages]
+    made = wrappers.Extractor(wrappers.unwritten(wrappers.written(wrapper)))
+    return [made.text(wrappers.parse(p)) for p in pages]
 
 
 def test_constant_texts_of_articles_are_kept():
@@ -100,9 +135,25 @@ def test_constant_texts_of_articles_are_kept():
     assert set(extracted(["<div><h4>Top</h4></div><article><p>one</p></article>"] * 6)) == {"one"}
 
 
-def test_constant_texts_elsewhere():
-    got = extracted([f"<body><div><h5>Every page</h5><p>own text {i}</p>{'<div><h2>Conclusion</h2></div>' if i < 6 else ''}</div></body>" for i in range(20)])
-    assert got == [f"own text {i}" + ("\nConclusion" if i < 6 else "") for i in range(20)]
+def test_texts_do_not_depend_on_the_number_of_pages():
+    one = lambda i: f"<body><div>Site name</div><ul><li><a>Home</a><li><a>About</a></ul><div><h1>Title {i}</h1><h2>Summary</h2><p>Body {i} one two three four</p><p>Sign our petition today!</p><p>more {i} words of it</p></div></body>"
+    for n in (2, 4, 6, 40):
+        assert extracted([one(i) for i in range(n)]) == [f"Title {i}\nSummary\nBody {i} one two three four\nSign our petition today!\nmore {i} words of it" for i in range(n)]
+    boxes = lambda i: f"<body><div>Site name</div><p>own text {i}</p><ul><li><a>Home</a><li><a>About</a></ul>{'<div><h2>Conclusion</h2></div>' if i < 6 else ''}</body>"
+    assert extracted([boxes(i) for i in range(20)]) == [f"own text {i}" + ("\nConclusion" if i < 6 else "") for i in range(20)]
+
+
+def test_names_of_what_stands_beside_an_article():
+    kept = ("legal", "side", "tags", "notice-board", "text", "download", "shared")
+    gone = ("ad", "ad-slot", "site-header", "cookie-notice", "comment-list", "nav_main", "SideBar", "related-posts", "x footer")
+    got = extracted([f"<article><p>own {i}</p>" + "".join(f'<div class="{c}">{c} {i}</div>' for c in kept + gone) + "</article>" for i in range(3)])
+    assert got == ["\n".join([f"own {i}", *[f"{c} {i}" for c in kept]]) for i in range(3)]
+
+
+def test_headers_are_left_out():
+    for outer in ("<article>{}</article>", "{}", "<div>{}</div>"):
+        got = extracted([outer.format(f"<header><p>Site {i}</p></header><h1>Head {i}</h1><p>text {i}</p>") for i in range(5)])
+        assert got == [f"Head {i}\ntext {i}" for i in range(5)]
 
 
 def test_attribute_names_are_anchored():
@@ -114,8 +165,9 @@ def test_attribute_names_are_anchored():
 
 
 def test_deep_nesting(spark):
-    df = spark.createDataFrame([(1, "http://a/", "<div>" * 5000 + "deep" + "</div>" * 5000)], "page_id long, url string, html string")
-    assert wrappers.extract(df).first()["text"] == "deep"
+    deep = lambda i: "<nav>menu</nav>" + "<div>" * 5000 + f"<p>deep {i}</p><p>two</p><ul class=menu><li>x</ul>" + "</div>" * 5000 + "<footer>f</footer>"
+    df = spark.createDataFrame([(i, "http://a/", deep(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.extract(df).collect()} == {f"deep {i}\ntwo" for i in range(3)}
 
 
 # 2 exact dedup
@@ -136,6 +188,22 @@ def test_index_grows(spark):
     assert sorted(r["doc_id"] for r in index.add(first).collect()) == [2, 3]
     assert sorted(r["doc_id"] for r in index.add(second).collect()) == [6]
     assert index.read().count() == 3
+    # a replay adds nothing, and a reused id is judged by its text
+    assert index.add(second).count() == 0 and index.add(first).count() == 0 and index.read().count() == 3
+    third = spark.createDataFrame([(1, "b"), (2, "new"), (None, "d"), (7, None)], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in index.add(third).collect()} == {(2, "new"), (None, "d"), (7, None)}
+    assert exact_dedup.DigestIndex(spark, index.name).add(third).count() == 0
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(third, index).collect()}
+    assert got == {(1, 2, False), (2, 2, True), (None, None, True), (7, 7, True)}
+
+
+def test_a_text_with_very_many_copies(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("int"))).alias("text"))
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()}
+    groups = defaultdict(list)
+    for r in df.collect():
+        groups[r["text"]].append(r["doc_id"])
+    assert got == {d: (max(g), len(g)) for g in groups.values() for d in g}
 
 
 # 3 mixing
@@ -336,12 +404,32 @@ def test_pu_risk_separates():
     toxic = [np.unique(np.append(rng.integers(100, 5000, 60), rng.integers(0, 10, 2))).astype(np.int32) for _ in range(300)]
     clean = [np.unique(rng.integers(100, 5000, 60)).astype(np.int32) for _ in range(2700)]
     rows, positive = toxic[:150] + toxic + clean, np.array([True] * 150 + [False] * 3000)
-    weights, bias = toxicity.train_pu(rows, positive, 0.1)
-    z = np.array([weights[r].sum() + bias for r in rows])
+    count = lambda some: np.bincount(np.concatenate(some), minlength=5000)
+    chosen = toxicity.screened(count(rows[:150]), 150, count(rows[150:]), 3000, 0.1)
+    assert set(chosen) >= set(range(10))
+    own = [np.flatnonzero(np.isin(chosen, r)) for r in rows]
+    weights, bias = toxicity.train_pu(own, positive, 0.1, len(chosen))
+    z = np.array([weights[r].sum() + bias for r in own])
     s = 1 / (1 + np.exp(-z))
     assert (s[150:450] >= 0.3).mean() > 0.9 and (s[450:] >= 0.3).mean() < 0.05
 
 
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
+    hits = ((got["predicted"] == 1) & (got["toxic"] == 1)).sum()
+    assert hits / got["predicted"].sum() >= 0.9 and hits / got["toxic"].sum() >= 0.85
+
+
+def test_bucket_counts_by_brute_force(edge):
+    confirmed = edge.where("doc_id in (1, 6)").select("doc_id", F.lit(True).alias("_p")).distinct()
+    in_p, in_all, p, n = toxicity.bucket_counts(edge, confirmed)
+    rows = [(r[0], toxicity.held(r[1] or "")) for r in EDGE]
+    assert (p, n) == (2, len(EDGE))
+    assert np.array_equal(in_all, np.bincount(np.concatenate([x for _, x in rows]), minlength=toxicity.BUCKETS))
+    assert np.array_equal(in_p, np.bincount(np.concatenate([x for d, x in rows if d in (1, 6)]), minlength=toxicity.BUCKETS))
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     scored = toxicity.score(edge, toxicity.fit(edge, labels)).collect()
