@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +43,18 @@ def barcodes(df: DataFrame, min_match: int = 1) -> DataFrame:
     one), and each row equal to it is counted; columns with fewer than min_match such rows become
     N, and N at the ends become gaps.  Species with one sequence keep it.
     """
-    rows = df.where("species is not null").select("species", "ord", F.posexplode(F.split("seq", "")).alias("pos", "ch"))
-    column = rows.groupBy("species", "pos").agg(F.array_sort(F.collect_list(F.struct("ord", "ch"))).alias("c"))
-
-    def step(acc: Column, x: Column) -> Column:
-        run, ch = acc["run"], x["ch"]
-        a, b = _mask(run), _mask(ch)
-        merged = (
-            F.when(run.isNull() | (run == "?"), ch).when(ch == "?", run)
-            .when((a > 0) & (b > 0), _code(a.bitwiseOR(b))).when(a > 0, run).when(b > 0, ch)
-            .when((run == "-") | (ch == "-"), F.lit("-")).otherwise(F.lit("_"))
-        )
-        return F.struct(merged.alias("run"), (acc["found"] + F.when(merged == ch, 1).otherwise(0)).alias("found"))
-
-    start = F.struct(F.lit(None).cast("string").alias("run"), F.lit(0).alias("found"))
-    folded = column.select("species", "pos", F.size("c").alias("n"), F.aggregate("c", start, step).alias("f"))
-    ch = F.when((F.col("n") > 1) & (F.col("f.found") < min_match), "N").otherwise(F.col("f.run"))
+    # a merged character only ever rises: missing, outer gap, inner gap, then more and more bases; so
+    # the running consensus at a row follows from where each base and gap came first
+    rows = df.where("species is not null").select("species", "ord", F.posexplode(F.split("seq", "")).alias("pos", "ch")).withColumn("m", _mask(F.col("ch")))
+    first = {b: F.min(F.when(F.col("m").bitwiseAND(F.lit(b)) > 0, F.col("ord"))) for b in (1, 2, 4, 8)}
+    ends = rows.groupBy("species", "pos").agg(F.count(F.lit(1)).alias("n"), F.bit_or("m").alias("all"), *[f.alias(f"b{b}") for b, f in first.items()], *[F.min(F.when(F.col("ch") == c, F.col("ord"))).alias(k) for k, c in (("g", "-"), ("o", "_"))])
+    seen = lambda c: F.col(c) <= F.col("ord")
+    run = reduce(lambda x, y: x + y, [F.when(seen(f"b{b}"), F.lit(b)).otherwise(F.lit(0)) for b in first])
+    state = F.when(run > 0, F.col("m") == run).when(seen("g"), F.col("ch") == "-").when(seen("o"), F.col("ch") == "_").otherwise(F.lit(True))
+    found = rows.join(ends, ["species", "pos"]).groupBy("species", "pos").agg(F.sum(state.cast("int")).alias("found"))
+    last = F.when(F.col("all") > 0, _code(F.col("all"))).when(F.col("g").isNotNull(), "-").when(F.col("o").isNotNull(), "_").otherwise("?")
+    folded = ends.join(found, ["species", "pos"]).select("species", "pos", "n", F.when((F.col("n") > 1) & (F.col("found") < min_match), "N").otherwise(last).alias("ch"))
+    ch = F.col("ch")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", ch.alias("ch")))), lambda x: x["ch"]), "")
     out = folded.groupBy("species").agg(F.max("n").alias("sequences"), text.alias("barcode"))
     head, tail = F.regexp_extract("barcode", "^N*", 0), F.regexp_extract("barcode", "N*$", 0)

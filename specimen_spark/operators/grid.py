@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lists import draw
 from .pairs import measured
+from .storage import numbered
 from ..functions.sequences import with_planes, words_needed
 
 
@@ -45,7 +47,7 @@ def grid_summary(grid: DataFrame) -> DataFrame:
 
 def grid_cells(grid: DataFrame) -> DataFrame:
     """Every taxon at every locus: lengths, N and gap counts, and a status."""
-    every = grid.select("taxon").distinct().crossJoin(F.broadcast(loci_of(grid).select("locus", "length")))
+    every = grid.select("taxon").distinct().crossJoin(loci_of(grid).select("locus", "length"))
     cells = every.join(grid, ["locus", "taxon"], "left")
     status = F.when(F.col("seq").isNull(), "no data").when(F.col("cancelled"), "excised").otherwise("ok")
     return cells.select("locus", "taxon", status.alias("status"), "actual_length", F.regexp_count("seq", F.lit("N")).alias("n_count"), F.regexp_count("seq", F.lit("-")).alias("indels"))
@@ -55,12 +57,40 @@ def concatenate(grid: DataFrame, mode: str = "complete") -> DataFrame:
     """taxon and its sequence over all loci by name; complete fills absent cells with `?`."""
     present = grid.where("not cancelled")
     if mode == "complete":
-        every = present.select("taxon").distinct().crossJoin(F.broadcast(loci_of(grid).select("locus", "length")))
+        every = present.select("taxon").distinct().crossJoin(loci_of(grid).select("locus", "length"))
         present = every.join(present.select("locus", "taxon", "seq"), ["locus", "taxon"], "left").withColumn("seq", F.coalesce("seq", F.expr("repeat('?', length)")))
     parts = F.array_sort(F.collect_list(F.struct("locus", "seq")))
     return present.groupBy("taxon").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
 
 
+def second_word(name: Column) -> Column:
+    """The word after the first, where a name begins with two; else null."""
+    return F.nullif(F.regexp_extract(name, r"^\w+\s+(\w+)\b", 1), F.lit(""))
+
+
+def rows_in_order(grid: DataFrame, kind: str = "taxon", reference: str | None = None) -> DataFrame:
+    """taxon, loci, combined_length and place (from 1): the grid's rows in an order.
+
+    kind: taxon; second (word of the name, names without one last); loci or length (most first).
+    The reference taxon comes first; ties are in order of the names.  Cancelled cells don't count.
+    """
+    rows = grid.select("taxon").distinct().join(grid_summary(grid), "taxon", "left").select("taxon", F.coalesce("loci", F.lit(0)).alias("loci"), F.coalesce("combined_length", F.lit(0)).alias("combined_length"))
+    keys = {"taxon": [], "second": [second_word(F.col("taxon")).asc_nulls_last()], "loci": [F.desc("loci")], "length": [F.desc("combined_length")]}[kind]
+    first = [] if reference is None else [F.when(F.col("taxon") == reference, 0).otherwise(1)]
+    return numbered(rows, [*first, *keys, F.col("taxon")])
+
+
+def grid_to_list(grid: DataFrame) -> DataFrame:
+    """ord (by name), title and seq: each taxon's concatenation."""
+    return numbered(concatenate(grid), [F.col("taxon")], "ord").select("ord", F.col("taxon").alias("title"), "seq")
+
+
+def locus_to_list(grid: DataFrame, locus: str) -> DataFrame:
+    """ord (by name), title and seq: the live cells of one locus."""
+    rows = grid.where((F.col("locus") == locus) & ~F.col("cancelled"))
+    return numbered(rows.select("taxon", "seq"), [F.col("taxon")], "ord").select("ord", F.col("taxon").alias("title"), "seq")
+
+
 def charset_ranges(grid: DataFrame) -> DataFrame:
     """First and last position of each locus in the concatenation."""
     w = W.orderBy("locus").rowsBetween(W.unboundedPreceding, 0)
@@ -82,10 +112,11 @@ def taxonsets(grid: DataFrame, lengths: tuple[int, ...] = LENGTHS, counts: tuple
 
 def cancel(grid: DataFrame, cells: DataFrame) -> DataFrame:
     """Toggles the cells (locus, taxon); a null locus means the whole row."""
-    marks = cells.select(F.col("locus").alias("_l"), F.col("taxon").alias("_t")).distinct().withColumn("_m", F.lit(True))
-    hit = (F.col("taxon") == F.col("_t")) & (F.col("_l").isNull() | (F.col("locus") == F.col("_l")))
-    toggled = grid.join(marks, hit, "left").withColumn("cancelled", F.when(F.col("_m"), ~F.col("cancelled")).otherwise(F.col("cancelled")))
-    return toggled.select(*grid.columns).distinct()
+    cells = cells.select("locus", "taxon").distinct()
+    one = cells.where("locus is not null").withColumn("_one", F.lit(True))
+    row = cells.where("locus is null").select("taxon", F.lit(True).alias("_row"))
+    marked = grid.join(one, ["locus", "taxon"], "left").join(row, "taxon", "left")
+    return marked.withColumn("cancelled", F.when(F.col("_one") | F.col("_row"), ~F.col("cancelled")).otherwise(F.col("cancelled"))).select(*grid.columns)
 
 
 def drop_locus(grid: DataFrame, locus: str) -> DataFrame:
@@ -122,12 +153,12 @@ def reference_distances(grid: DataFrame, taxon: str, method: str = "transversion
     """Per locus and taxon the distance to the reference taxon, with a status where there is none."""
     words = words_needed(grid)
     rows = with_planes(grid.select("locus", "taxon", "seq", "cancelled"), words).drop("seq")
-    ref = F.broadcast(rows.where((F.col("taxon") == taxon) & ~F.col("cancelled")))  # one row per locus
+    ref = rows.where((F.col("taxon") == taxon) & ~F.col("cancelled"))  # one row per locus
     got = measured(rows.where("not cancelled").alias("x").join(ref.alias("y"), F.col("x.locus") == F.col("y.locus")), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon"])
-    every = grid.select("taxon").distinct().crossJoin(F.broadcast(loci_of(grid).select("locus")))
+    every = grid.select("taxon").distinct().crossJoin(loci_of(grid).select("locus"))
     have = grid.select("locus", "taxon", "cancelled")
     refs = grid.where((F.col("taxon") == taxon) & ~F.col("cancelled")).select("locus", F.lit(True).alias("has_ref"))
-    out = every.join(have, ["locus", "taxon"], "left").join(F.broadcast(refs), "locus", "left").join(got, ["locus", "taxon"], "left")
+    out = every.join(have, ["locus", "taxon"], "left").join(refs, "locus", "left").join(got, ["locus", "taxon"], "left")
     status = (
         F.when(F.col("taxon") == taxon, "reference").when(F.col("cancelled").isNull(), "no data").when(F.col("cancelled"), "excised")
         .when(F.col("has_ref").isNull(), "no reference").when(F.col("dist").isNull(), "no overlap").otherwise("ok")
@@ -139,7 +170,7 @@ def normalise_distances(dists: DataFrame) -> DataFrame:
     """Distances of each locus scaled to [0, 1] over its valid cells."""
     ends = dists.groupBy("locus").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     scaled = F.coalesce(F.try_divide(F.col("dist") - F.col("lo"), F.col("hi") - F.col("lo")), F.when(F.col("dist").isNotNull(), F.lit(0.0)))
-    return dists.join(F.broadcast(ends), "locus").withColumn("scaled", scaled).drop("lo", "hi")
+    return dists.join(ends, "locus").withColumn("scaled", scaled).drop("lo", "hi")
 
 
 def taxon_scores(scaled: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -194,7 +225,7 @@ def correlation_influence(dists: DataFrame, top: int = 10) -> DataFrame:
     sums = _sums(terms)
     loci = F.broadcast(dists.agg(F.count_distinct("locus").alias("k")))
     whole = F.broadcast(sums.agg(F.sum(_r(*map(F.col, _SUMS))).alias("all_r")))
-    t = terms.join(F.broadcast(sums), ["l1", "l2"])
+    t = terms.join(sums, ["l1", "l2"])
     less = _r(F.col("n") - 1, F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"), F.col("sxx") - F.col("dx") * F.col("dx"), F.col("syy") - F.col("dy") * F.col("dy"), F.col("sxy") - F.col("dx") * F.col("dy"))
     change = t.select("taxon", F.explode(F.array("l1", "l2")).alias("locus"), (less - _r(*map(F.col, _SUMS))).alias("delta"))
     cells = change.groupBy("locus", "taxon").agg(F.sum("delta").alias("delta")).crossJoin(loci).crossJoin(whole)
@@ -207,13 +238,13 @@ def correlation_influence(dists: DataFrame, top: int = 10) -> DataFrame:
 def random_locus_groups(grid: DataFrame, size: int, replicates: int, delete: int = 0, protect: str | None = None, seed: int = 0) -> DataFrame:
     """replicate, locus and its group of `size` loci; `delete` random taxa per group leave, one stays."""
     loci = grid.select("locus").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    order = F.row_number().over(W.partitionBy("replicate").orderBy(F.xxhash64("locus", "replicate", F.lit(seed)), "locus"))
+    order = F.row_number().over(W.partitionBy("replicate").orderBy(draw(seed, "replicate", "locus"), "locus"))
     groups = loci.withColumn("group", F.floor((order - 1) / size))
-    cells = grid.join(F.broadcast(groups), "locus")
+    cells = grid.join(groups, "locus")
     if not delete:
         return cells
     taxa = cells.select("replicate", "group", "taxon").distinct()
     if protect is not None:
         taxa = taxa.where(F.col("taxon") != protect)
-    gone = taxa.withColumn("_r", F.row_number().over(W.partitionBy("replicate", "group").orderBy(F.xxhash64("taxon", "replicate", "group", F.lit(seed)), "taxon"))).where(F.col("_r") <= delete)
+    gone = taxa.withColumn("_r", F.row_number().over(W.partitionBy("replicate", "group").orderBy(draw(seed, "replicate", "group", "taxon"), "taxon"))).where(F.col("_r") <= delete)
     return cells.join(gone.drop("_r"), ["replicate", "group", "taxon"], "left_anti")

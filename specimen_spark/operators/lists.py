@@ -49,15 +49,27 @@ def contains_all(df: DataFrame, other: DataFrame) -> DataFrame:
     return drop_rows(other, df).agg(F.count(F.lit(1)).alias("missing")).withColumn("contains_all", F.col("missing") == 0)
 
 
+def equal_lists(df: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: whether both lists have the same rows (ord, title, seq), however often each occurs."""
+    count = lambda x, n: x.groupBy("ord", "title", "seq").agg(F.sum(F.lit(n)).alias("n"))
+    both = count(df, 1).unionByName(count(other, -1)).groupBy("ord", "title", "seq").agg(F.sum("n").alias("n"))
+    return both.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("different")).withColumn("equal", F.col("different") == 0)
+
+
 def append(df: DataFrame, other: DataFrame) -> DataFrame:
     """Both lists, the second after the first."""
     last = F.broadcast(df.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("_s")))
     return df.unionByName(other.crossJoin(last).withColumn("ord", F.col("ord") + F.col("_s")).drop("_s"))
 
 
+def draw(seed: int, *keys: str) -> Column:
+    """A hash that puts keys in a random order, the same on every engine that has MD5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
 def order_of(kind: str, seed: int = 0) -> list[Column]:
     """Sort columns: name, length, gi, family, ambiguous, random or random_in_species."""
-    shuffled = F.xxhash64(F.col("ord"), F.lit(seed))
+    shuffled = draw(seed, "ord")
     share = F.round(F.try_divide(F.col("ambiguous").cast("double"), F.col("length")), 6)
     return {
         "name": [F.col("warning"), F.lower(display_name()), F.col("ord")],
@@ -77,7 +89,7 @@ def sort_list(df: DataFrame, kind: str, seed: int = 0) -> DataFrame:
 def _draws(keys: DataFrame, key: str, k: int, replicates: int, seed: int) -> DataFrame:
     """k keys for each replicate, by a hash; only the k best of each partition are sorted."""
     reps = keys.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), key)
-    rank = F.row_number().over(W.partitionBy("replicate").orderBy(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), key))
+    rank = F.row_number().over(W.partitionBy("replicate").orderBy(draw(seed, "replicate", key), key))
     return reps.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 def store(df: DataFrame) -> DataFrame:
     """Writes df once to the cluster's shared folder (spark.checkpoint.dir) and reads it back.
 
-    Only where no such folder is set, as in tests, a local one is made.
+    Where no such folder is set, a local session, as in tests, makes one; a cluster has none to share.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{shared.rstrip('/')}/part-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/part-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,9 @@
 """The registered queries over the driver's tables, and their SQL twins."""
 
-from . import files, grids, lists, pairwise
+from . import exports, files, grids, lists, pairwise
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (lists, pairwise, grids, files):
+for _module in (lists, pairwise, grids, files, exports):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

@@ -127,6 +127,32 @@ def rename_taxa(spark, d):
     return grid.rename_taxa(X.grid(spark, d), mapping)[0].select("locus", "taxon", "ord")
 
 
+NAMED = "n AS MATERIALIZED (SELECT locus, regexp_replace(taxon, '^gi.[0-9]+. ', '') || ' ' || ord AS taxon, ord, seq, actual_length, cancelled FROM g)"
+_ORDERS = {"taxon": "", "second": "CASE WHEN regexp_matches(taxon, '^\\w+\\s+\\w+') THEN regexp_extract(taxon, '^\\w+\\s+(\\w+)', 1) END NULLS LAST,", "loci": "loci DESC,", "length": "combined_length DESC,"}
+
+
+def _named(spark, d):
+    return X.grid(spark, d).withColumn("taxon", F.concat(F.regexp_replace("taxon", "^gi.[0-9]+. ", ""), F.lit(" "), F.col("ord").cast("string")))
+
+
+for _kind, _keys in _ORDERS.items():
+
+    def _ordered(spark, d, kind=_kind):
+        return grid.rows_in_order(_named(spark, d), kind, "Apis secunda 1")
+
+    query(f"grid_rows_by_{_kind}", X.sql(f"SELECT *, row_number() OVER (ORDER BY CASE WHEN taxon = 'Apis secunda 1' THEN 0 ELSE 1 END, {_keys} taxon) AS place FROM (SELECT taxon, sum(CASE WHEN cancelled THEN 0 ELSE 1 END)::BIGINT AS loci, sum(CASE WHEN cancelled THEN 0 ELSE actual_length END)::BIGINT AS combined_length FROM n GROUP BY taxon)", *G, NAMED))(_ordered)
+
+
+@query("grid_to_list", X.sql("SELECT row_number() OVER (ORDER BY taxon) AS ord, taxon AS title, seq FROM (SELECT taxon, string_agg(coalesce(seq, repeat('?', 16)), '' ORDER BY locus) AS seq FROM (SELECT DISTINCT taxon FROM g WHERE NOT cancelled) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN (SELECT * FROM g WHERE NOT cancelled) USING (locus, taxon) GROUP BY taxon)", *G))
+def grid_to_list(spark, d):
+    return grid.grid_to_list(X.grid(spark, d))
+
+
+@query("locus_to_list", X.sql("SELECT row_number() OVER (ORDER BY taxon) AS ord, taxon AS title, seq FROM g WHERE locus = 'locus2' AND NOT cancelled", *G))
+def locus_to_list(spark, d):
+    return grid.locus_to_list(X.grid(spark, d), "locus2")
+
+
 SQL_CELLS = """gc AS MATERIALIZED (SELECT locus, taxon, q AS pos, (CASE ch WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'T' THEN 4 WHEN 'G' THEN 8 WHEN 'R' THEN 9 WHEN 'N' THEN 15 ELSE 0 END)::INTEGER AS m, ch = '-' AS i, ch IN ('A', 'G', 'R') AS p, ch IN ('C', 'T', 'Y') AS y
   FROM (SELECT locus, taxon, unnest(range(16)) AS q, substr(seq, unnest(range(16)) + 1, 1) AS ch FROM g WHERE NOT cancelled))"""
 
@@ -186,7 +212,8 @@ def correlation_influence(spark, d):
     return grid.correlation_influence(_ref(spark, d))
 
 
-@query("random_locus_groups")
+@query("random_locus_groups", X.sql(f"""SELECT replicate, "group", locus, taxon FROM ce WHERE (replicate, "group", taxon) NOT IN (SELECT (replicate, "group", taxon) FROM (SELECT *, row_number() OVER (PARTITION BY replicate, "group" ORDER BY md5('1|' || replicate || '|' || "group" || '|' || taxon), taxon) AS r FROM (SELECT DISTINCT replicate, "group", taxon FROM ce WHERE taxon <> {REF_SQL})) WHERE r <= 5)""", *G,
+  """gr AS (SELECT replicate, locus, floor((row_number() OVER (PARTITION BY replicate ORDER BY md5('1|' || replicate || '|' || locus), locus) - 1) / 2)::BIGINT AS "group" FROM (SELECT DISTINCT locus FROM g), (SELECT unnest(range(1, 4))::INTEGER AS replicate)), ce AS MATERIALIZED (SELECT * FROM g JOIN gr USING (locus))"""))
 def random_locus_groups(spark, d):
     return grid.random_locus_groups(X.grid(spark, d), 2, 3, 5, _reference(spark, d), 1).select("replicate", "group", "locus", "taxon")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import consensus, lists, summaries, windows
+from ..operators import consensus, lists, pairs, summaries, windows
 from ..operators.storage import numbered
 from . import fixtures as X
 
@@ -87,6 +87,18 @@ def contains_all(spark, d):
     return lists.contains_all(s.where("ord % 2 = 0"), s.where("ord % 7 = 0"))
 
 
+@query("equal_lists", X.sql("SELECT (SELECT count(*) FROM s WHERE ord % 7 = 0) * 2 AS different, false AS equal"))
+def equal_lists(spark, d):
+    s = X.sequences(spark, d)
+    return lists.equal_lists(s, s.withColumn("title", F.expr("if(ord % 7 = 0, concat(title, '!'), title)")))
+
+
+@query("valid_partner", X.sql("SELECT ord, species FROM s WHERE ord IN (SELECT q FROM mir WHERE species_q = species_m)", X.SQL_CHARS, X.SQL_PAIRS))
+def valid_partner(spark, d):
+    s = X.sequences(spark, d)
+    return lists.filter_with_valid_partner(s, pairs.pair_distances(s, min_overlap=X.MIN_OVERLAP, scope="intra")).select("ord", "species")
+
+
 @query("append_lists", X.sql("SELECT ord, title FROM s UNION ALL SELECT ord + (SELECT max(ord) + 1 FROM s), title FROM s WHERE species IS NOT NULL"))
 def append_lists(spark, d):
     s = X.sequences(spark, d).select("ord", "title", "species")
@@ -108,17 +120,22 @@ for _kind, _sql in _ORDER.items():
     query(f"sort_by_{_kind}", X.sql(f"SELECT row_number() OVER (ORDER BY {_sql}) AS place, ord FROM s"))(_sorted)
 
 
-@query("sort_random_in_species")
+@query("sort_random_in_species", X.sql("SELECT row_number() OVER (ORDER BY species NULLS LAST, md5('4|' || ord) DESC, ord) AS place, ord, species FROM s"))
 def sort_random(spark, d):
-    return lists.sort_list(X.sequences(spark, d), "random_in_species", 4).select("ord", "species")
+    return numbered(X.sequences(spark, d), lists.order_of("random_in_species", 4)).select("place", "ord", "species")
+
+
+@query("sort_random", X.sql("SELECT row_number() OVER (ORDER BY md5('4|' || ord), ord) AS place, ord FROM s"))
+def sort_random_all(spark, d):
+    return numbered(X.sequences(spark, d), lists.order_of("random", 4)).select("place", "ord")
 
 
-@query("sample_species")
+@query("sample_species", X.sql("SELECT replicate, species, ord FROM s JOIN (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY md5('1|' || replicate || '|' || species), species) AS r FROM (SELECT DISTINCT species FROM s WHERE species IS NOT NULL), (SELECT unnest(range(1, 5))::INTEGER AS replicate)) d USING (species) WHERE r <= 3"))
 def sample_species(spark, d):
     return lists.sample_species(X.sequences(spark, d), 3, 4, 1).select("replicate", "species", "ord")
 
 
-@query("sample_specimens")
+@query("sample_specimens", X.sql("SELECT replicate, ord FROM (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY md5('1|' || replicate || '|' || ord), ord) AS r FROM s, (SELECT unnest(range(1, 5))::INTEGER AS replicate)) WHERE r <= 20"))
 def sample_specimens(spark, d):
     return lists.sample_specimens(X.sequences(spark, d), 20, 4, 1).select("replicate", "ord")
 
@@ -148,7 +165,13 @@ def consensus_query(spark, d):
     return consensus.consensus(X.sequences(spark, d).where("species is not null"), "species")
 
 
-@query("barcodes")
+BARCODES = """rb AS (SELECT *, bit_or(m) OVER w AS run, bool_or(i) OVER w AS gap, bool_or(ch = '_') OVER w AS outer_gap FROM c WHERE species IS NOT NULL WINDOW w AS (PARTITION BY species, pos ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+cb AS (SELECT species, pos, count(*) AS n, sum(CASE WHEN run > 0 THEN (m = run)::INTEGER WHEN gap THEN i::INTEGER WHEN outer_gap THEN (ch = '_')::INTEGER ELSE 1 END) AS found,
+  CASE WHEN bit_or(m) > 0 THEN ['A','C','M','T','W','Y','H','G','R','S','V','K','D','B','N'][bit_or(m)] WHEN bool_or(i) THEN '-' WHEN bool_or(ch = '_') THEN '_' ELSE '?' END AS last FROM rb GROUP BY species, pos),
+tb AS (SELECT species, max(n) AS sequences, string_agg(CASE WHEN n > 1 AND found < 2 THEN 'N' ELSE last END, '' ORDER BY pos) AS b FROM cb GROUP BY species)"""
+
+
+@query("barcodes", X.sql("SELECT species, sequences, CASE WHEN sequences > 1 THEN repeat('-', length(regexp_extract(b, '^N*'))) || regexp_replace(regexp_replace(b, '^N+', ''), 'N+$', '') || CASE WHEN regexp_full_match(b, 'N*') THEN '' ELSE repeat('-', length(regexp_extract(b, 'N*$'))) END ELSE b END AS barcode FROM tb", X.SQL_CHARS, BARCODES))
 def barcodes(spark, d):
     return consensus.barcodes(X.sequences(spark, d), 2)
 

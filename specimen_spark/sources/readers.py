@@ -7,6 +7,7 @@ is its place in its file.  Columns: file, ord, title, seq (and overrides where a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -184,7 +185,19 @@ def parse_any(files: DataFrame) -> DataFrame:
     return out
 
 
+def unique_loci(files: DataFrame) -> DataFrame:
+    """file and locus: the file's name without its ending; a name that came before gets _2, _3, ... by file."""
+    names = files.select("file").distinct().withColumn("locus", locus_name(F.col("file")))
+    place = F.row_number().over(W.partitionBy("locus").orderBy("file"))
+    return names.withColumn("_k", place).select("file", F.when(F.col("_k") > 1, F.concat("locus", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("locus")).alias("locus"))
+
+
+def grid_of(rows: DataFrame) -> DataFrame:
+    """A grid with one locus for each file, from file, title, ord and seq; empty rows are left out."""
+    out = rows.join(unique_loci(rows), "file").select("locus", F.col("title").alias("taxon"), "ord", F.upper("seq").alias("seq"))
+    return out.withColumn("actual_length", F.regexp_count("seq", F.lit("[^_?]"))).withColumn("cancelled", F.lit(False)).where("actual_length > 0")
+
+
 def load_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """locus, taxon, ord, seq, actual_length, cancelled: one locus for each file."""
-    rows = read_any(spark, path).select(locus_name(F.col("file")).alias("locus"), F.col("title").alias("taxon"), "ord", F.upper("seq").alias("seq"))
-    return rows.withColumn("actual_length", F.regexp_count("seq", F.lit("[^_?]"))).withColumn("cancelled", F.lit(False)).where("actual_length > 0")
+    return grid_of(read_any(spark, path))

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.charsets import combine_intervals
 from ..operators.grid import charset_ranges, concatenate, taxonsets
 from ..operators.storage import numbered
+from .flatfile import with_minimum_species
 
 _GAPS = ("_", "-")
 
@@ -47,11 +49,18 @@ def write_fasta(df: DataFrame, path: str) -> None:
     _write(fasta_lines(df), path, "ord")
 
 
-def write_mega(df: DataFrame, path: str, title: str = "sequences") -> None:
+def mega_lines(df: DataFrame, title: str = "sequences") -> DataFrame:
     rows = unique_names(df, F.regexp_replace(F.translate("title", " ", "_"), r"[^\w.+*-]", "_"), 40)
     lines = rows.select(F.col("ord"), F.concat(F.lit("#"), "name", F.lit("\t"), F.translate("seq", *_GAPS)).alias("line"))
-    head = df.sparkSession.createDataFrame([(-1, f"#MEGA\nTITLE {title}\n")], "ord long, line string")
-    _write(head.unionByName(lines), path, "ord")
+    return _rows(df, [(-1, f"#MEGA\nTITLE {title}\n")], "ord long, line string").unionByName(lines)
+
+
+def write_mega(df: DataFrame, path: str, title: str = "sequences") -> None:
+    _write(mega_lines(df, title), path, "ord")
+
+
+def _rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _blocks(df: DataFrame, name: str, every: int) -> DataFrame:
@@ -62,20 +71,25 @@ def _blocks(df: DataFrame, name: str, every: int) -> DataFrame:
     return rows.select(F.col("block").cast("long").alias("block"), "ord", F.concat(F.rpad(F.col(name), 33, " "), chunk, F.lit(" ["), F.length(chunk).cast("string"), F.lit(":"), (F.col("at") + 1).cast("string"), F.lit("-"), (F.col("at") + F.length(chunk)).cast("string"), F.lit("]")).alias("line"))
 
 
-def _framed(lines: DataFrame, head: str, foot: str, path: str, more: DataFrame | None = None) -> None:
-    spark = lines.sparkSession
-    ends = spark.createDataFrame([(-1, 0, head), (1 << 40, 0, foot)], "block long, ord long, line string")
-    every = lines.select("block", F.col("ord").cast("long").alias("ord"), "line").unionByName(ends)
-    _write(every if more is None else every.unionByName(more), path, "block", "ord")
+def _framed(lines: DataFrame, head: str, foot: str, more: DataFrame | None = None) -> DataFrame:
+    every = lines.select("block", F.col("ord").cast("long").alias("ord"), "line").unionByName(_rows(lines, [(-1, 0, head), (1 << 40, 0, foot)], "block long, ord long, line string"))
+    return every if more is None else every.unionByName(more)
 
 
-def write_nexus(df: DataFrame, path: str, interleave_at: int = 80) -> None:
-    """A list as one interleaved DATA block, names unique and at most 32 characters."""
+def _size(rows: DataFrame) -> tuple[int, int]:
+    return tuple(rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first())
+
+
+def nexus_lines(df: DataFrame, interleave_at: int = 80) -> DataFrame:
+    """(block, ord, line) of a list as one interleaved DATA block, names unique and at most 32 characters."""
     rows = unique_names(df, F.regexp_replace("title", r"[^\w.]+", "_"), 32).withColumn("seq", F.translate("seq", *_GAPS))
     n, longest, plain = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0)), F.coalesce(F.min(F.col("seq").rlike("^[ACGTRYKMSWBDHVN?-]*$").cast("int")), F.lit(1))).first()
-    kind = "DNA" if plain else "STANDARD"
-    head = f"#NEXUS\n\nBEGIN DATA;\n\tDIMENSIONS NTAX={n} NCHAR={longest};\n\tFORMAT DATATYPE={kind} MISSING=? GAP=- INTERLEAVE;\n\tMATRIX"
-    _framed(_blocks(rows, "name", interleave_at), head, "\n;\n\nEND;", path)
+    head = f"#NEXUS\n\nBEGIN DATA;\n\tDIMENSIONS NTAX={n} NCHAR={longest};\n\tFORMAT DATATYPE={'DNA' if plain else 'STANDARD'} MISSING=? GAP=- INTERLEAVE;\n\tMATRIX"
+    return _framed(_blocks(rows, "name", interleave_at), head, "\n;\n\nEND;")
+
+
+def write_nexus(df: DataFrame, path: str, interleave_at: int = 80) -> None:
+    _write(nexus_lines(df, interleave_at), path, "block", "ord")
 
 
 def _set_lines(grid: DataFrame, rows: DataFrame) -> DataFrame:
@@ -84,59 +98,133 @@ def _set_lines(grid: DataFrame, rows: DataFrame) -> DataFrame:
     sets = taxonsets(grid).join(taxa, "taxon").groupBy("taxonset").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), " ").alias("ks"))
     sets = sets.select(F.concat(F.lit("\tTAXSET "), "taxonset", F.lit(" = "), "ks", F.lit(";")).alias("line"), F.lit(1).alias("kind"))
     ranges = charset_ranges(grid).select(F.concat(F.lit("\tCHARSET "), "locus", F.lit(" = "), "first", F.lit("-"), "last", F.lit(";")).alias("line"), F.lit(2).alias("kind"))
-    return sets.unionByName(ranges).select(F.lit(1 << 41).alias("block"), F.row_number().over(W.orderBy("kind", "line")).cast("long").alias("ord"), "line")
-
-
-def write_supermatrix_nexus(grid: DataFrame, path: str, mode: str = "single", interleave_at: int = 1000, allow_cancelled: bool = False) -> None:
-    """The concatenation with its SETS; mode: single (a line per taxon), interleaved, blocks, naked."""
+    return sets.unionByName(ranges).select(F.lit(1 << 42).alias("block"), F.row_number().over(W.orderBy("kind", "line")).cast("long").alias("ord"), "line")
+
+
+def codon_intervals(grid: DataFrame, positions: DataFrame) -> DataFrame:
+    """(locus, pos, from, to): codon positions (locus, pos 0 to 3, from, to) in the concatenation, merged.
+
+    Neighbouring intervals of one locus become one: those that follow each other, at pos 1 to 3 by 3.
+    """
+    ranges = charset_ranges(grid).select("locus", F.col("first").alias("_f"))
+    moved = positions.join(ranges, "locus").select(F.concat_ws("|", "locus", "pos").alias("name"), "pos", (F.col("from") + F.col("_f") - 1).alias("from"), (F.col("to") + F.col("_f") - 1).alias("to"))
+    plain = combine_intervals(moved.where("pos = 0").drop("pos"), 1)
+    coding = combine_intervals(moved.where("pos > 0").drop("pos"), 3)
+    return plain.unionByName(coding).select(F.split_part("name", F.lit("|"), F.lit(1)).alias("locus"), F.split_part("name", F.lit("|"), F.lit(2)).cast("int").alias("pos"), "from", "to")
+
+
+def _codon_lines(grid: DataFrame, positions: DataFrame) -> DataFrame:
+    """The CODONS block, before the SETS, and one set for each locus and position, after them."""
+    iv = codon_intervals(grid, positions)
+    label = F.when(F.col("pos") == 0, F.lit("N")).otherwise(F.col("pos").cast("string"))
+    text = F.when(F.col("from") == F.col("to"), F.col("from").cast("string")).otherwise(F.concat("from", F.lit("-"), "to", F.when(F.col("pos") > 0, F.lit("\\3")).otherwise(F.lit(""))))
+    listed = lambda *keys: iv.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", text.alias("t")))), lambda x: x["t"]), " ").alias("t"), F.first(label).alias("p"))
+    last = F.col("pos") == F.max("pos").over(W.partitionBy())
+    rows = listed("pos").select((F.col("pos") + 1).cast("long").alias("ord"), F.concat(F.lit("\t\t"), "p", F.lit(": "), "t", F.when(last, F.lit("")).otherwise(F.lit(","))).alias("line"))
+    codons = rows.unionByName(_rows(grid, [(0, "BEGIN CODONS;\n\tCODONPOSSET * CodonPositions ="), (9, "\t;\nEND;\n")], "ord long, line string")).withColumn("block", F.lit(1 << 41))
+    sets = listed("locus", "pos").select(F.concat(F.lit("\tCHARSET "), "locus", F.lit("_pos"), "p", F.lit(" = "), "t", F.lit(";")).alias("line"))
+    sets = sets.select(F.row_number().over(W.orderBy("line")).cast("long").alias("ord"), "line")
+    assumptions = sets.unionByName(_rows(grid, [(0, "\nBEGIN ASSUMPTIONS;"), (1 << 40, "END;")], "ord long, line string")).withColumn("block", F.lit(1 << 43))
+    return codons.unionByName(assumptions).select("block", "ord", "line")
+
+
+def supermatrix_nexus_lines(grid: DataFrame, mode: str = "single", interleave_at: int = 1000, allow_cancelled: bool = False, positions: DataFrame | None = None) -> DataFrame:
+    """(block, ord, line) of the concatenation with its SETS.
+
+    mode: single (a line per taxon), interleaved (by width), blocks (one for each locus), naked (no
+    SETS).  positions: codon positions (locus, pos 0 to 3, from, to), which add a CODONS and an
+    ASSUMPTIONS block.
+    """
     live = refuse_cancelled(grid, allow_cancelled)
     rows = numbered(concatenate(live), [F.col("taxon")], "ord")
     rows = unique_names(rows, F.regexp_replace("taxon", r"[^\w.]+", "_")).withColumn("seq", F.translate("seq", *_GAPS))
-    n, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
-    if mode in ("interleaved", "blocks"):
+    n, longest = _size(rows)
+    if mode == "interleaved":
         lines = _blocks(rows, "name", interleave_at)
+    elif mode == "blocks":
+        ranges = charset_ranges(live).withColumn("block", F.row_number().over(W.orderBy("locus")).cast("long"))
+        chunk = F.substring(F.col("seq"), F.col("first").cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))
+        lines = rows.crossJoin(ranges).select("block", "ord", F.concat(F.rpad("name", 33, " "), chunk, F.lit(" ["), "locus", F.lit("]")).alias("line"))
     else:
         lines = rows.select(F.lit(0).cast("long").alias("block"), "ord", F.concat(F.rpad("name", 33, " "), "seq").alias("line"))
     flag = " INTERLEAVE" if mode in ("interleaved", "blocks") else ""
     head = f"#NEXUS\n\nBEGIN DATA;\n\tDIMENSIONS NTAX={n} NCHAR={longest};\n\tFORMAT DATATYPE=DNA MISSING=? GAP=-{flag};\n\tMATRIX"
     more = None
     if mode != "naked":
-        ends = live.sparkSession.createDataFrame([(1 << 41, -1, "\nBEGIN SETS;"), (1 << 42, 0, "END;")], "block long, ord long, line string")
-        more = _set_lines(live, rows).unionByName(ends)
-    _framed(lines, head, "\n;\n\nEND;", path, more)
+        more = _set_lines(live, rows).unionByName(_rows(grid, [(1 << 42, -1, "\nBEGIN SETS;"), (1 << 42, 1 << 40, "END;")], "block long, ord long, line string"))
+        if positions is not None:
+            more = more.unionByName(_codon_lines(live, positions))
+    return _framed(lines, head, "\n;\n\nEND;", more)
 
 
-def write_tnt(df: DataFrame, path: str, title: str = "sequences", groups: list[tuple[str, int, int]] | None = None) -> None:
-    """A list for TNT; groups (name, first, last from 0): the first 32 in the body, the rest in the title."""
-    rows = unique_names(df, F.regexp_replace("title", r"[^\w.]+", "_")).withColumn("seq", F.translate("seq", *_GAPS))
-    n, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
-    text = [f"={i} ({name}) {a}.{b}" for i, (name, a, b) in enumerate(groups or [])]
-    more = f"\n@xgroup {' '.join(text[32:])};" if len(text) > 32 else ""
-    foot = ";\n" + ("xgroup\n" + "\n".join(text[:32]) + "\n;\n" if text else "") + "proc /;"
+def write_supermatrix_nexus(grid: DataFrame, path: str, mode: str = "single", interleave_at: int = 1000, allow_cancelled: bool = False, positions: DataFrame | None = None) -> None:
+    _write(supermatrix_nexus_lines(grid, mode, interleave_at, allow_cancelled, positions), path, "block", "ord")
+
+
+def _tnt(rows: DataFrame, title: str, groups: DataFrame | None, agroups: DataFrame | None) -> DataFrame:
+    """A TNT file; groups and agroups: (place, text), of which 32 each go into the body, the rest into the title."""
+    rows = rows.withColumn("seq", F.translate("seq", *_GAPS))
+    n, longest = _size(rows)
     lines = rows.select(F.lit(0).cast("long").alias("block"), "ord", F.concat("name", F.lit(" "), "seq").alias("line"))
-    _framed(lines, f"nstates dna;\nxread\n'{title}{more}'\n{longest} {n}", foot, path)
+    out = lines.select("block", F.col("ord").cast("long").alias("ord"), "line").unionByName(_rows(rows, [(-9, 0, f"nstates dna;\nxread\n'{title}"), (-1, 0, f"'\n{longest} {n}"), (1 << 40, 0, ";"), (1 << 43, 0, "proc /;")], "block long, ord long, line string"))
+    for i, (kind, found) in enumerate((("xgroup", groups), ("agroup", agroups))):
+        if found is None or found.isEmpty():
+            continue
+        line = F.concat(F.lit("="), "place", F.lit(" "), "text")
+        inner = found.select(F.when(F.col("place") < 32, F.lit((1 << 41) + i)).otherwise(F.lit(-8 + i)).alias("block"), F.col("place").cast("long").alias("ord"), line.alias("line"))
+        out = out.unionByName(inner).unionByName(_rows(rows, [((1 << 41) + i, -1, kind), ((1 << 41) + i, 1 << 40, ";")], "block long, ord long, line string"))
+        if not found.where("place >= 32").isEmpty():
+            out = out.unionByName(_rows(rows, [(-8 + i, -1, f"@{kind}"), (-8 + i, 1 << 40, ";")], "block long, ord long, line string"))
+    return out
 
 
-def write_supermatrix_tnt(grid: DataFrame, path: str, allow_cancelled: bool = False) -> None:
+def tnt_lines(df: DataFrame, title: str = "sequences", groups: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """(block, ord, line) of a list for TNT; groups: (name, first, last from 0)."""
+    rows = unique_names(df, F.regexp_replace("title", r"[^\w.]+", "_"))
+    found = _rows(df, [(i, f"({name}) {a}.{b}") for i, (name, a, b) in enumerate(groups or [])], "place int, text string") if groups else None
+    return _tnt(rows, title, found, None)
+
+
+def write_tnt(df: DataFrame, path: str, title: str = "sequences", groups: list[tuple[str, int, int]] | None = None) -> None:
+    _write(tnt_lines(df, title, groups), path, "block", "ord")
+
+
+def supermatrix_tnt_lines(grid: DataFrame, allow_cancelled: bool = False) -> DataFrame:
+    """(block, ord, line) of the concatenation for TNT, loci as xgroup, taxonsets (of taxa by place) as agroup."""
     live = refuse_cancelled(grid, allow_cancelled)
-    rows = numbered(concatenate(live), [F.col("taxon")], "ord").withColumnRenamed("taxon", "title")
-    groups = [(r["locus"], r["first"] - 1, r["last"] - 1) for r in charset_ranges(live).orderBy("locus").collect()]
-    write_tnt(rows, path, "concatenation", groups)
+    rows = numbered(concatenate(live), [F.col("taxon")], "ord")
+    named = unique_names(rows, F.regexp_replace("taxon", r"[^\w.]+", "_"))
+    groups = charset_ranges(live).select((F.row_number().over(W.orderBy("locus")) - 1).alias("place"), F.concat(F.lit("("), "locus", F.lit(") "), F.col("first") - 1, F.lit("."), F.col("last") - 1).alias("text"))
+    taxa = rows.select("taxon", (F.col("ord") - 1).alias("k"))
+    sets = taxonsets(live).join(taxa, "taxon").groupBy("taxonset").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), " ").alias("ks"))
+    agroups = sets.select((F.row_number().over(W.orderBy("taxonset")) - 1).alias("place"), F.concat(F.lit("("), "taxonset", F.lit(") "), "ks").alias("text"))
+    return _tnt(named, "concatenation", groups, agroups)
 
 
-def write_phylip(df: DataFrame, path: str) -> None:
+def write_supermatrix_tnt(grid: DataFrame, path: str, allow_cancelled: bool = False) -> None:
+    _write(supermatrix_tnt_lines(grid, allow_cancelled), path, "block", "ord")
+
+
+def phylip_lines(df: DataFrame) -> DataFrame:
     rows = unique_names(df, F.regexp_replace("title", r"[^\w]+", "_")).withColumn("seq", F.translate("seq", *_GAPS))
-    n, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
-    lines = rows.select(F.lit(0).cast("long").alias("block"), "ord", F.concat("name", F.lit(" "), "seq").alias("line"))
-    _framed(lines, f"{n} {longest}", "", path)
+    n, longest = _size(rows)
+    lines = rows.select(F.lit(0).cast("long").alias("block"), F.col("ord").cast("long").alias("ord"), F.concat("name", F.lit(" "), "seq").alias("line"))
+    return lines.unionByName(_rows(df, [(-1, 0, f"{n} {longest}")], "block long, ord long, line string"))
 
 
-def write_sequences(grid: DataFrame, path: str, prefix: str = "grid") -> None:
-    """Every cell with its locus, name and state, cancelled ones included."""
+def write_phylip(df: DataFrame, path: str) -> None:
+    _write(phylip_lines(df), path, "block", "ord")
+
+
+def sequences_lines(grid: DataFrame, prefix: str = "grid") -> DataFrame:
+    """(locus, ord, line): every cell with its locus, name and state, cancelled ones included."""
     state = F.when(F.col("cancelled"), F.lit(f"^{prefix}.cancelled\n")).otherwise(F.lit(""))
     line = F.concat(F.lit(">"), "taxon", F.lit(f"\n^{prefix}.colname "), "locus", F.lit(f"\n^{prefix}.seqname "), "taxon", F.lit("\n"), state, F.translate("seq", *_GAPS), F.lit("\n"))
-    head = grid.sparkSession.createDataFrame([("", -1, "#sequences\n")], "locus string, ord long, line string")
-    _write(head.unionByName(grid.select("locus", "ord", line.alias("line"))), path, "locus", "ord")
+    return _rows(grid, [("", -1, "#sequences\n")], "locus string, ord long, line string").unionByName(grid.select("locus", "ord", line.alias("line")))
+
+
+def write_sequences(grid: DataFrame, path: str, prefix: str = "grid") -> None:
+    _write(sequences_lines(grid, prefix), path, "locus", "ord")
 
 
 def grid_table(grid: DataFrame) -> DataFrame:
@@ -149,22 +237,45 @@ def write_grid_tsv(grid: DataFrame, path: str, allow_cancelled: bool = False) ->
     grid_table(refuse_cancelled(grid, allow_cancelled)).sort("taxon").write.mode("error").csv(path, sep="\t", header=True)
 
 
-def write_by_locus(grid: DataFrame, path: str, include_na: bool = False, allow_cancelled: bool = False) -> None:
-    """One folder per locus, in FASTA; absent cells as missing characters where asked for."""
+def by_locus_lines(grid: DataFrame, include_na: bool = False, allow_cancelled: bool = False) -> DataFrame:
+    """(locus, taxon, line): FASTA of each locus; absent cells as missing characters where asked for."""
     live = refuse_cancelled(grid, allow_cancelled)
     if include_na:
         loci = live.groupBy("locus").agg(F.min_by(F.length("seq"), "ord").alias("length"))
-        every = live.select("taxon").distinct().crossJoin(F.broadcast(loci))
+        every = live.select("taxon").distinct().crossJoin(loci)
         live = every.join(live.select("locus", "taxon", "seq"), ["locus", "taxon"], "left").withColumn("seq", F.coalesce("seq", F.expr("repeat('?', length)")))
     line = F.concat(F.lit(">"), F.translate("taxon", " ", "_"), F.lit("\n"), wrap(F.translate("seq", *_GAPS), 70))
-    live.select("locus", "taxon", line.alias("line")).repartitionByRange("locus", "taxon").sortWithinPartitions("locus", "taxon").select("locus", "line").write.mode("error").partitionBy("locus").text(path)
+    return live.select("locus", "taxon", line.alias("line"))
+
 
+def write_by_locus(grid: DataFrame, path: str, include_na: bool = False, allow_cancelled: bool = False) -> None:
+    """One folder per locus."""
+    lines = by_locus_lines(grid, include_na, allow_cancelled)
+    lines.repartitionByRange("locus", "taxon").sortWithinPartitions("locus", "taxon").select("locus", "line").write.mode("error").partitionBy("locus").text(path)
 
-def export_custom(df: DataFrame, path: str, style: str = "full", max_length: int = 0, two_lines: bool = True, by_family: bool = False) -> None:
-    """Names by style (full, species_gi, gi_species), cut and unique; one line or two; split by family."""
+
+def custom_lines(df: DataFrame, style: str = "full", max_length: int = 0, two_lines: bool = True, mark: str = ">", one_per_species: bool = False, head: str = "", foot: str = "") -> DataFrame:
+    """(family, ord, line): names by style (full, species_gi, gi_species), cut and unique, after `mark`.
+
+    one_per_species keeps the longest sequence of a species, of equal ones the first; unnamed rows
+    stay.  head and foot frame each family.
+    """
     names = {"full": F.col("title"), "species_gi": F.coalesce(F.concat_ws(" ", "species", "gi"), "title"), "gi_species": F.coalesce(F.concat_ws(" ", "gi", "species"), "title")}
+    if one_per_species:
+        size = F.length(F.regexp_replace("seq", "[_?-]", ""))
+        best = df.where("species is not null").groupBy("species").agg(F.max_by("ord", F.struct(size, -F.col("ord"))).alias("ord")).select("ord")
+        df = df.where("species is null").unionByName(df.where("species is not null").join(best, "ord", "left_semi"))
     rows = unique_names(df, names[style], max_length)
-    lines = rows.select("ord", F.coalesce("family", F.lit("none")).alias("family"), F.concat(F.lit(">") if two_lines else F.lit(""), "name", F.lit("\n" if two_lines else "\t"), F.translate("seq", *_GAPS)).alias("line")).sort("family", "ord")
+    lines = rows.select(F.coalesce("family", F.lit("none")).alias("family"), F.col("ord").cast("long").alias("ord"), F.concat(F.lit(mark), "name", F.lit("\n" if two_lines else "\t"), F.translate("seq", *_GAPS)).alias("line"))
+    for text, place in ((head, -1), (foot, 1 << 62)):
+        if text:
+            lines = lines.unionByName(lines.select("family").distinct().select("family", F.lit(place).cast("long").alias("ord"), F.lit(text).alias("line")))
+    return lines
+
+
+def export_custom(df: DataFrame, path: str, by_family: bool = False, **options) -> None:
+    """The lines of custom_lines, in one folder or one for each family."""
+    lines = custom_lines(df, **options).sort("family", "ord") if by_family else custom_lines(df.withColumn("family", F.lit(None).cast("string")), **options).sort("ord")
     out = lines.select("family", "line").write.mode("error").partitionBy("family") if by_family else lines.select("line").write.mode("error")
     out.text(path)
 
@@ -173,19 +284,38 @@ def write_window_stats(stats: DataFrame, path: str) -> None:
     stats.sort("start").write.mode("error").csv(path, header=True)
 
 
+def distance_lines(pairs: DataFrame) -> DataFrame:
+    """(dist, line), to be sorted."""
+    return pairs.select("dist", F.col("dist").cast("string").alias("line"))
+
+
 def write_distances(pairs: DataFrame, path: str) -> None:
-    pairs.select("dist").sort("dist").select(F.col("dist").cast("string").alias("line")).write.mode("error").text(path)
+    _write(distance_lines(pairs), path, "dist")
+
 
+def gene_lines(features: DataFrame, min_species: int = 0) -> DataFrame:
+    """(gene, line) of extracted features (gene, title, seq); genes of fewer species are left out.
 
-def write_features_by_gene(features: DataFrame, path: str) -> None:
-    """One folder per gene group (extracted features: gene, title, seq)."""
+    With a minimum, features need a species.
+    """
+    if min_species:
+        features = with_minimum_species(features, min_species)
     gene = F.regexp_replace("gene", r"[^a-zA-Z0-9_().]", "_").alias("gene")
-    features.select(gene, F.concat(F.lit(">"), F.translate("title", " ", "_"), F.lit("\n"), wrap(F.col("seq"), 70)).alias("line")).sort("gene", "line").write.mode("error").partitionBy("gene").text(path)
+    return features.select(gene, F.concat(F.lit(">"), F.translate("title", " ", "_"), F.lit("\n"), wrap(F.col("seq"), 70)).alias("line"))
+
+
+def write_features_by_gene(features: DataFrame, path: str, min_species: int = 0) -> None:
+    """One folder per gene group."""
+    gene_lines(features, min_species).sort("gene", "line").write.mode("error").partitionBy("gene").text(path)
+
+
+def flatfile_lines(loci: DataFrame) -> DataFrame:
+    body = F.array_join(F.transform("sections", lambda s: F.concat(F.rpad(s["name"], 12, " "), F.regexp_replace(s["value"], r"\s+$", ""))), "\n")
+    return loci.select("file", "locus_id", F.concat(body, F.lit("\n//")).alias("line"))
 
 
 def write_flatfile(loci: DataFrame, path: str) -> None:
-    body = F.array_join(F.transform("sections", lambda s: F.concat(F.rpad(s["name"], 12, " "), s["value"])), "\n")
-    loci.sort("file", "locus_id").select(F.concat(body, F.lit("\n//")).alias("line")).write.mode("error").text(path)
+    _write(flatfile_lines(loci), path, "file", "locus_id")
 
 
 def export_for_alignment(df: DataFrame, path: str | None = None) -> DataFrame:
