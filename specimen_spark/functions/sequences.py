@@ -158,9 +158,11 @@ def subsequence(seq: Column, first: Column | int, last: Column | int, kind: str
 
 def expand_ambiguity(seq: Column, begin: str = "[", end: str = "]") -> Column:
     """Ambiguity codes as the bases they stand for, in brackets."""
-    out = _t(seq, "RYKMSWBDHVN", "ruvwxyzbdhn".replace("u", "e"))
-    for code, low in zip("RYKMSWBDHVN", "revwxyzbdhn", strict=True):
-        out = F.replace(out, F.lit(low), F.lit(begin + IUPAC[code] + end))
+    # each code first becomes a small letter of its own, so that letters put in are never replaced again
+    codes, marks = "RYKMSWBDHVN", "rykmswbdhvn"
+    out = _t(seq, codes, marks)
+    for code, mark in zip(codes, marks, strict=True):
+        out = F.replace(out, F.lit(mark), F.lit(begin + IUPAC[code] + end))
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lists import draw
-from .pairs import measured
+from .pairs import blocks_for, measured
 from .storage import numbered
 from ..functions.sequences import with_planes, words_needed
 
@@ -137,16 +137,31 @@ def rename_taxa(grid: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFra
     return won.select(*grid.columns), lost.select("locus", "taxon", F.col("_was").alias("dropped"), F.col("_won").alias("kept"))
 
 
+def cell_distances(grid: DataFrame, method: str = "uncorrected", min_overlap: int = 0, lo: float = 0.0, hi: float = float("inf")) -> DataFrame:
+    """(locus, taxon, other, overlap, dist) of the live cells of each locus, both directions, with lo <= dist <= hi.
+
+    Cells of a locus are dealt out over tiles, as one locus may hold all rows.
+    """
+    rows = grid.where("not cancelled")
+    words, blocks = words_needed(rows), blocks_for(rows)
+    r = with_planes(rows.select("locus", "taxon", "seq"), words).drop("seq").withColumn("block", F.pmod(F.xxhash64("taxon"), F.lit(blocks)).cast("int"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).select("*", F.least("block", "_o").alias("tlo"), F.greatest("block", "_o").alias("thi")).drop("_o")
+    on = (F.col("x.tlo") == F.col("y.tlo")) & (F.col("x.thi") == F.col("y.thi")) & (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") < F.col("y.taxon"))
+    on &= (F.col("x.block") != F.col("y.block")) | (F.col("x.tlo") == F.col("x.thi"))
+    out = measured(r.alias("x").join(r.alias("y"), on), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon", "y.taxon as other"]).where(F.col("dist").between(lo, hi))
+    side = lambda a, b: F.struct("locus", F.col(a).alias("taxon"), F.col(b).alias("other"), "overlap", "dist")
+    return out.select(F.explode(F.array(side("taxon", "other"), side("other", "taxon"))).alias("p")).select("p.*")
+
+
 def find_distances(grid: DataFrame, lo: float, hi: float, locus: str | None = None, min_overlap: int = 0) -> DataFrame:
     """Pairs of cells of a locus whose distance lies in the band, both directions."""
-    rows = grid.where("not cancelled")
-    if locus is not None:
-        rows = rows.where(F.col("locus") == locus)
-    words = words_needed(rows)
-    r = with_planes(rows.select("locus", "taxon", "seq"), words).drop("seq")
-    joined = r.alias("x").join(r.alias("y"), (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") != F.col("y.taxon")))
-    out = measured(joined, words, "uncorrected", min_overlap, ["x.locus as locus", "x.taxon as taxon", "y.taxon as other"])
-    return out.where(F.col("dist").between(lo, hi))
+    return cell_distances(grid if locus is None else grid.where(F.col("locus") == locus), "uncorrected", min_overlap, lo, hi)
+
+
+def influence_of_all(grid: DataFrame, method: str = "transversions", min_overlap: int = 1, top: int = 10) -> DataFrame:
+    """correlation_influence with every taxon as the reference: reference, locus, taxon, average_r, place."""
+    dists = cell_distances(grid, method, min_overlap).select(F.col("other").alias("reference"), "locus", "taxon", "dist", F.lit("ok").alias("status"))
+    return correlation_influence(dists, top, ["reference"], grid.agg(F.count_distinct("locus").alias("k")))
 
 
 def reference_distances(grid: DataFrame, taxon: str, method: str = "transversions", min_overlap: int = 1) -> DataFrame:
@@ -193,21 +208,21 @@ def _r(n, sx, sy, sxx, syy, sxy):
     return F.when((vx > 1e-12) & (vy > 1e-12), (n * sxy - sx * sy) / (F.sqrt(vx) * F.sqrt(vy))).otherwise(F.lit(0.0))
 
 
-def _pair_terms(dists: DataFrame) -> DataFrame:
-    d = dists.where("status = 'ok'").select("locus", "taxon", "dist")
-    x, y = d.alias("x"), d.alias("y")
-    return x.join(y, (F.col("x.taxon") == F.col("y.taxon")) & (F.col("x.locus") < F.col("y.locus"))).select(F.col("x.locus").alias("l1"), F.col("y.locus").alias("l2"), F.col("x.taxon").alias("taxon"), F.col("x.dist").alias("dx"), F.col("y.dist").alias("dy"))
+def _pair_terms(dists: DataFrame, keys: list[str]) -> DataFrame:
+    d = dists.where("status = 'ok'").select(*keys, "locus", "taxon", "dist")
+    one, two = d.withColumnsRenamed({"locus": "l1", "dist": "dx"}), d.withColumnsRenamed({"locus": "l2", "dist": "dy"})
+    return one.join(two, [*keys, "taxon"]).where("l1 < l2")
 
 
-def _sums(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("l1", "l2").agg(
+def _sums(terms: DataFrame, keys: list[str]) -> DataFrame:
+    return terms.groupBy(*keys, "l1", "l2").agg(
         F.count(F.lit(1)).alias("n"), F.sum("dx").alias("sx"), F.sum("dy").alias("sy"), F.sum(F.col("dx") * F.col("dx")).alias("sxx"), F.sum(F.col("dy") * F.col("dy")).alias("syy"), F.sum(F.col("dx") * F.col("dy")).alias("sxy"),
     )
 
 
 def locus_correlation(dists: DataFrame) -> DataFrame:
     """Pearson r of each pair of loci over taxa that have both; 0 without variance, 1 with itself."""
-    between = _sums(_pair_terms(dists)).select("l1", "l2", F.round(_r(*map(F.col, _SUMS)), 7).alias("r"))
+    between = _sums(_pair_terms(dists, []), []).select("l1", "l2", F.round(_r(*map(F.col, _SUMS)), 7).alias("r"))
     own = dists.select(F.col("locus").alias("l1"), F.col("locus").alias("l2")).distinct().withColumn("r", F.lit(1.0))
     return between.unionByName(own)
 
@@ -216,23 +231,26 @@ def average_r(correlation: DataFrame) -> DataFrame:
     return correlation.agg(F.round(F.avg("r"), 7).alias("average_r"))
 
 
-def correlation_influence(dists: DataFrame, top: int = 10) -> DataFrame:
+def correlation_influence(dists: DataFrame, top: int = 10, keys: list[str] | None = None, loci: DataFrame | None = None) -> DataFrame:
     """Per locus the cells without which the average r would be highest, unchanged ones left out.
 
     Each cell's terms are subtracted from the sums of its locus pairs; nothing is scanned again.
+    keys: columns of dists that keep several references apart; loci: one row with their number k.
     """
-    terms = _pair_terms(dists)
-    sums = _sums(terms)
-    loci = F.broadcast(dists.agg(F.count_distinct("locus").alias("k")))
-    whole = F.broadcast(sums.agg(F.sum(_r(*map(F.col, _SUMS))).alias("all_r")))
-    t = terms.join(sums, ["l1", "l2"])
+    keys = keys or []
+    terms = _pair_terms(dists, keys)
+    sums = _sums(terms, keys)
+    loci = F.broadcast(dists.agg(F.count_distinct("locus").alias("k")) if loci is None else loci)
+    whole = sums.groupBy(*keys).agg(F.sum(_r(*map(F.col, _SUMS))).alias("all_r"))
+    t = terms.join(sums, [*keys, "l1", "l2"])
     less = _r(F.col("n") - 1, F.col("sx") - F.col("dx"), F.col("sy") - F.col("dy"), F.col("sxx") - F.col("dx") * F.col("dx"), F.col("syy") - F.col("dy") * F.col("dy"), F.col("sxy") - F.col("dx") * F.col("dy"))
-    change = t.select("taxon", F.explode(F.array("l1", "l2")).alias("locus"), (less - _r(*map(F.col, _SUMS))).alias("delta"))
-    cells = change.groupBy("locus", "taxon").agg(F.sum("delta").alias("delta")).crossJoin(loci).crossJoin(whole)
+    change = t.select(*keys, "taxon", F.explode(F.array("l1", "l2")).alias("locus"), (less - _r(*map(F.col, _SUMS))).alias("delta"))
+    cells = change.groupBy(*keys, "locus", "taxon").agg(F.sum("delta").alias("delta")).crossJoin(loci)
+    cells = cells.join(whole, keys) if keys else cells.crossJoin(F.broadcast(whole))
     pairs = F.col("k") * (F.col("k") + 1) / 2
-    cells = cells.select("locus", "taxon", F.round((F.col("all_r") + F.col("k") + F.col("delta")) / pairs, 7).alias("average_r"), F.round((F.col("all_r") + F.col("k")) / pairs, 7).alias("now")).where("average_r <> now")
-    rank = F.row_number().over(W.partitionBy("locus").orderBy(F.desc("average_r"), "taxon"))
-    return cells.withColumn("place", rank).where(F.col("place") <= top).select("locus", "taxon", "average_r", "place")
+    cells = cells.select(*keys, "locus", "taxon", F.round((F.col("all_r") + F.col("k") + F.col("delta")) / pairs, 7).alias("average_r"), F.round((F.col("all_r") + F.col("k")) / pairs, 7).alias("now")).where("average_r <> now")
+    rank = F.row_number().over(W.partitionBy(*keys, "locus").orderBy(F.desc("average_r"), "taxon"))
+    return cells.withColumn("place", rank).where(F.col("place") <= top).select(*keys, "locus", "taxon", "average_r", "place")
 
 
 def random_locus_groups(grid: DataFrame, size: int, replicates: int, delete: int = 0, protect: str | None = None, seed: int = 0) -> DataFrame:

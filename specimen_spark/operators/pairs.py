@@ -3,20 +3,31 @@
 Sequences become bit planes; overlaps and matches are bit counts of their combinations, so a pair
 costs a few integer operations inside generated code.  All pairs are dealt out over tiles: rows
 fall into blocks by a hash of their number, a tile is a pair of blocks, and rows meet by an
-equi-join on the tile.
+equi-join on the tile.  The number of blocks follows the number of rows, so tiles stay small.
+
+Of long sequences the columns would be too many for generated code; there a tile's rows are grouped
+and its bit planes compared in numpy, to the same results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import PLANES, with_planes, words_needed
+from ..functions.sequences import MASK, PLANES, with_planes, words_needed
 
 SCALE = 100_000  # distances are equal when they agree in five decimals
+#: Sequences of more words than this are compared tile by tile in numpy.
+COLUMN_WORDS = 8
+#: A block has about so many rows at most.
+BLOCK_ROWS = 2048
 
 
 def _and(x: Column, y: Column) -> Column:
@@ -78,7 +89,90 @@ def measured(pairs: DataFrame, words: int, method: str, min_overlap: int, keep:
     return out.withColumn("dist", dist).drop("_d").withColumn("bucket", F.floor(F.col("dist") * SCALE))
 
 
-def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int = 300, scope: str = "all", blocks: int = 16, valid_only: bool = True) -> DataFrame:
+def blocks_for(rows: DataFrame) -> int:
+    """Blocks of at most about BLOCK_ROWS rows, and enough for a few tiles on each core."""
+    return max(math.ceil(rows.count() / BLOCK_ROWS), math.ceil(math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+class _Planes:
+    """Bit planes of many sequences: arrays [sequence, word]."""
+
+    def __init__(self, seqs: list[str], words: int):
+        flat = np.full((len(seqs), 64 * words), ord("_"), np.uint8)
+        for i, s in enumerate(seqs):
+            raw = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+            flat[i, : len(raw)] = raw
+        masks = np.zeros(256, np.uint8)
+        for ch, m in MASK.items():
+            masks[ord(ch)] = m
+        m, of = masks[flat], lambda letters: np.isin(flat, np.frombuffer(letters.encode(), np.uint8))
+        packed = lambda bits: np.packbits(bits, axis=1).view(np.uint64)
+        self.a, self.c, self.t, self.g = (packed(m & b > 0) for b in (1, 2, 4, 8))
+        self.i, self.p, self.y = packed(of("-")), packed(of("AGR")), packed(of("CTY"))
+        self.base, self.known = self.a | self.c | self.t | self.g, self.p | self.y
+
+    def row(self, k: int) -> "_Planes":
+        out = object.__new__(_Planes)
+        out.__dict__ = {name: x[k] for name, x in self.__dict__.items()}
+        return out
+
+
+def _count(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+
+def _compare(x: _Planes, y: _Planes, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap and distance of one sequence and many, as METHODS has them."""
+    gaps = x.i & (y.base | y.i) | y.i & x.base
+    crossed = _count(x.p & y.y | x.y & y.p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if method == "uncorrected":
+            overlap = _count(x.base & y.base | gaps)
+            same = _count(x.a & y.a | x.c & y.c | x.t & y.t | x.g & y.g | x.i & y.i)
+            return overlap, 1.0 - same / overlap
+        if method == "transversions":
+            overlap = _count(x.known & y.known) + _count(gaps)
+            return overlap, crossed / overlap
+        differ = (x.a ^ y.a) | (x.c ^ y.c) | (x.t ^ y.t) | (x.g ^ y.g)
+        n = _count(x.known & y.known)
+        p, q = _count((x.p & y.p | x.y & y.y) & differ) / n, crossed / n
+        dist = np.maximum(0.0, -0.5 * np.log(1 - 2 * p - q) - 0.25 * np.log(1 - 2 * q))
+        return _count(x.base & y.base), np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), dist, np.nan)
+
+
+def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_overlap: int, scope: str, valid_only: bool) -> DataFrame:
+    """The pairs of each tile, measured in numpy."""
+    names = ["species", "genus"]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord", ignore_index=True)
+        planes, block, ord_ = _Planes(rows["seq"].tolist(), words), rows["block"].to_numpy(), rows["ord"].to_numpy()
+        same_tile = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        out = []
+        for k in range(len(rows) - 1):
+            later = np.arange(k + 1, len(rows))
+            if not same_tile:
+                later = later[block[later] != block[k]]
+            if scope == "inter_congeneric":
+                later = later[(rows["species_epithet"].to_numpy()[later] != rows["species_epithet"].iloc[k]) & rows["species_epithet"].notna().to_numpy()[later]] if pd.notna(rows["species_epithet"].iloc[k]) else later[:0]
+            if not len(later):
+                continue
+            overlap, dist = _compare(planes.row(k), planes.row(later), method)
+            valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
+            keep = valid if valid_only else np.ones(len(later), bool)
+            out.append((np.full(keep.sum(), k), later[keep], overlap[keep], np.where(valid, dist, np.nan)[keep]))
+        if not out:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        x, y, overlap, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+        made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": rows[n].to_numpy()[at] for n in names for s, at in (("a", x), ("b", y))}
+        bucket = pd.Series(np.floor(dist * SCALE)).astype("Int64")
+        return pd.DataFrame(made | {"overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
+
+    schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, overlap int, dist double, bucket long"
+    return tiled.groupBy("lo", "hi", *keys).applyInPandas(compare, schema)
+
+
+def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int = 300, scope: str = "all", blocks: int | None = None, valid_only: bool = True) -> DataFrame:
     """(a, b, species_a, species_b, overlap, dist, bucket) of pairs a < b by `ord`.
 
     scope: all; intra (one species); inter_congeneric (one genus, two epithets).  Within a species
@@ -86,12 +180,20 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
     """
     words = words_needed(df)
     keys = {"all": [], "intra": ["species"], "inter_congeneric": ["genus"]}[scope]
-    rows = with_planes(df.select("ord", "title", "seq", "species", "genus", "species_epithet"), words).drop("seq")
+    rows = df.select("ord", "seq", "species", "genus", "species_epithet")
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
     if valid_only and min_overlap > 0:  # an overlap can't exceed the shorter sequence
-        rows = rows.where(F.length(F.regexp_replace(df["seq"], "[?_]", "")) >= min_overlap) if "actual_length" not in df.columns else rows
+        rows = rows.where(F.length(F.regexp_replace("seq", "[?_]", "")) >= min_overlap)
+    blocks = blocks or blocks_for(rows)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
+    in_numpy = words > COLUMN_WORDS and method in ("uncorrected", "k2p", "transversions")
+    if not in_numpy:
+        rows = with_planes(rows, words).drop("seq")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
     tiled = rows.select("*", other).select("*", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi")).drop("_o")
+    if in_numpy:
+        return _tile_pairs(tiled, keys, words, method, min_overlap, scope, valid_only)
     x, y = tiled.alias("x"), tiled.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ["lo", "hi", *keys]]
     on += [F.col("x.ord") < F.col("y.ord"), (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi"))]
@@ -102,17 +204,22 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
     return out.where("dist is not null") if valid_only else out
 
 
+def saturated(measured_pairs: DataFrame, min_overlap: int) -> DataFrame:
+    """Of pairs with valid_only=False, those that overlap enough but are too far apart to have a distance."""
+    return measured_pairs.where((F.col("overlap") >= min_overlap) & (F.col("overlap") > 0) & F.col("dist").isNull())
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
-    """Each pair in both directions, as query q and match m."""
-    side = lambda q, m: pairs.select(F.col(q).alias("q"), F.col(m).alias("m"), F.col(f"species_{q}").alias("species_q"), F.col(f"species_{m}").alias("species_m"), F.col(f"genus_{q}").alias("genus_q"), F.col(f"genus_{m}").alias("genus_m"), "overlap", "dist", "bucket")
-    return side("a", "b").unionByName(side("b", "a"))
+    """Each pair in both directions, as query q and match m, in one pass over the pairs."""
+    side = lambda q, m: F.struct(F.col(q).alias("q"), F.col(m).alias("m"), *[F.col(f"{n}_{s}").alias(f"{n}_{t}") for n in ("species", "genus") for s, t in ((q, "q"), (m, "m"))], "overlap", "dist", "bucket")
+    return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p")).select("p.*")
 
 
 def filter_distance(pairs: DataFrame, lo: float, hi: float) -> DataFrame:
     return pairs.where(F.col("dist").between(lo, hi))
 
 
-def overlap_report(df: DataFrame, blocks: int = 16) -> DataFrame:
+def overlap_report(df: DataFrame, blocks: int | None = None) -> DataFrame:
     """Pairs of one species with the base pairs they share, no threshold."""
     return pair_distances(df, min_overlap=0, scope="intra", blocks=blocks, valid_only=False).select("a", "b", F.col("species_a").alias("species"), "overlap")
 
@@ -120,17 +227,32 @@ def overlap_report(df: DataFrame, blocks: int = 16) -> DataFrame:
 def query_distances(queries: DataFrame, reference: DataFrame, method: str = "uncorrected", min_overlap: int = 300) -> DataFrame:
     """Every query against every reference sequence: (q, m, overlap, dist, bucket, mismatches).
 
-    Queries are broadcast while their count is small; beyond that both sides are tiled.
+    Each query goes to every part of the reference, by tiles of a block of queries and one of references.
     """
     words = max(words_needed(queries), words_needed(reference))
     q = with_planes(queries.select("ord", "seq", "species", "genus"), words).drop("seq")
     m = with_planes(reference.select("ord", "seq", "species", "genus"), words).drop("seq")
-    if queries.count() <= 10_000:
-        joined = m.alias("y").join(F.broadcast(q.alias("x")), F.col("x.ord") != F.col("y.ord"))
-    else:
-        n = 16
-        q = q.withColumn("t", F.pmod(F.xxhash64("ord"), F.lit(n)))
-        m = m.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
-        joined = q.alias("x").join(m.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.ord") != F.col("y.ord")))
+    nq, nm = math.ceil(queries.count() / BLOCK_ROWS) or 1, blocks_for(reference)
+    block = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
+    q = q.withColumn("tq", block(nq)).withColumn("tm", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
+    m = m.withColumn("tm", block(nm)).withColumn("tq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    joined = q.alias("x").join(m.alias("y"), (F.col("x.tq") == F.col("y.tq")) & (F.col("x.tm") == F.col("y.tm")) & (F.col("x.ord") != F.col("y.ord")))
     out = measured(joined, words, method, min_overlap, ["x.ord as q", "y.ord as m", "x.species as species_q", "y.species as species_m", "x.genus as genus_q", "y.genus as genus_m"])
     return out.where("dist is not null").withColumn("mismatches", F.round(F.col("dist") * F.col("overlap")).cast("int"))
+
+
+def place_in_distributions(distances: DataFrame, intra: DataFrame, inter: DataFrame) -> DataFrame:
+    """Adds to distances (dist) the share of pairs within species that are farther apart, and of pairs
+    between species that are closer, in percent.
+
+    Only counts of distinct distances, one row for each, meet the distances.
+    """
+    wanted = distances.select("dist").where("dist is not null").distinct().select("dist", F.lit(0).alias("n"))
+
+    def share(pairs: DataFrame, name: str, below: bool) -> DataFrame:
+        counts = pairs.groupBy("dist").agg(F.count(F.lit(1)).alias("n")).unionByName(wanted).groupBy("dist").agg(F.sum("n").alias("n"))
+        order = W.orderBy(F.asc("dist") if below else F.desc("dist")).rowsBetween(W.unboundedPreceding, -1)
+        total = F.sum("n").over(W.partitionBy())
+        return counts.select("dist", F.round(F.try_divide(F.lit(100.0) * F.coalesce(F.sum("n").over(order), F.lit(0)), total), 6).alias(name))
+
+    return distances.join(share(intra, "intra_farther", False), "dist", "left").join(share(inter, "inter_closer", True), "dist", "left")

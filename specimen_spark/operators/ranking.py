@@ -59,14 +59,15 @@ def all_species_barcodes(sequences: DataFrame, both: DataFrame, threshold: float
     partner of their species: correct if r = n - 1 for the own species, incorrect if r = n for
     another, ambiguous otherwise or where the run is one long.
     """
-    ranked = rank_neighbours(both.where("species_m is not null"))
-    first = ranked.where("rank = 1").select("q", F.col("species_m").alias("first_species"), F.col("bucket").alias("first_bucket"))
-    broken = ranked.join(first, "q").where("species_m <> first_species").groupBy("q").agg(F.min("rank").alias("end"))
-    total = ranked.groupBy("q").agg(F.count(F.lit(1)).alias("all"))
+    near = _kin(both.where("species_m is not null")).withColumn("k", F.struct("bucket", (~F.col("conspecific")).cast("int").alias("other"), "m"))
+    # the nearest of each species is enough to know where the run ends; neighbours are never sorted
+    per = near.groupBy("q", "species_m").agg(F.min("k").alias("k"))
+    first = per.groupBy("q").agg(F.min(F.struct("k", "species_m")).alias("f")).select("q", F.col("f.species_m").alias("first_species"), F.col("f.k.bucket").alias("first_bucket"))
+    end = per.join(first, "q").where("species_m <> first_species").groupBy("q").agg(F.min("k").alias("end"))
+    ends = first.join(end, "q", "left")
+    runs = near.join(ends, "q").where((F.col("species_m") == F.col("first_species")) & (F.col("end").isNull() | (F.col("k") < F.col("end")))).groupBy("q").agg(F.count(F.lit(1)).alias("run"))
     valid = both.where("species_q = species_m").groupBy(F.col("species_q").alias("first_species")).agg(F.count_distinct("q").alias("members"))
-    out = sequences.where("species is not null").select(F.col("ord").alias("q"), "species").join(first, "q", "left").join(broken, "q", "left").join(total, "q", "left").join(valid, "first_species", "left")
-    run = F.coalesce(F.col("end") - 1, F.col("all"))
-    out = out.withColumn("run", run)
+    out = sequences.where("species is not null").select(F.col("ord").alias("q"), "species").join(first, "q", "left").join(runs, "q", "left").join(valid, "first_species", "left")
     members = F.coalesce("members", F.lit(0))
     own = F.col("first_species") == F.col("species")
     verdict = (

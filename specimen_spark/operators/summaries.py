@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import store
+
 
 def percentage(x, y):
     """Percent with two decimals, cut off, 0 when y is 0."""
@@ -33,46 +35,77 @@ def species_totals(df: DataFrame, per_species: DataFrame, min_overlap: int) -> D
     return rows.crossJoin(F.broadcast(valid)).withColumn("valid_percent", percentage(F.col("valid_species"), F.col("species")))
 
 
-def trimmed_bound(dist: DataFrame, side: str) -> DataFrame:
-    """The bound after leaving out 5 %: `intra` from the top, `inter` from the bottom (one row).
+def distance_counts(pairs: DataFrame) -> DataFrame:
+    """(dist, n): how many pairs have each distance, stored; what is asked of distributions follows from it."""
+    return store(pairs.groupBy("dist").agg(F.count(F.lit(1)).alias("n")))
+
+
+def cumulated(counts: DataFrame, ascending: bool = True) -> DataFrame:
+    """Adds `before`, the number of pairs whose distance comes earlier in the order.
 
-    Positions are counted within distinct distances first, so no task sorts all pairs.
+    Distances are sorted by range; only one number for each range is gathered.
     """
+    order = F.asc("dist") if ascending else F.desc("dist")
+    ranged = store(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sums = ranged.groupBy(part.alias("_p")).agg(F.sum("n").alias("_n"))
+    starts = F.broadcast(sums.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b")))  # one row for each range
+    within = F.coalesce(F.sum("n").over(W.partitionBy(part).orderBy("_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_w", within).join(starts, part == F.col("_p")).select("dist", "n", (F.col("_b") + F.col("_w")).alias("before"))
+
+
+def trimmed_bound(counts: DataFrame, side: str) -> DataFrame:
+    """The bound after leaving out 5 %: `intra` from the top, `inter` from the bottom (one row)."""
     # an exact twentieth exceeds the limit, as the share is a 32-bit number
-    counts = dist.groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
-    order = F.desc("dist") if side == "intra" else F.asc("dist")
-    upto = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upto = cumulated(counts, side != "intra")
     total = F.broadcast(counts.agg(F.sum("n").alias("total")))
     least = F.col("before") + (1 if side == "intra" else 0)
     within = upto.crossJoin(total).where((least == 0) | (F.lit(20) * least < F.col("total")))
     if side == "intra":
-        return within.agg(F.min("dist").alias("trimmed")).crossJoin(F.broadcast(dist.agg(F.max("dist").alias("top")))).select(F.coalesce("trimmed", "top").alias("trimmed_intra"))
+        return within.agg(F.min("dist").alias("trimmed")).crossJoin(F.broadcast(counts.agg(F.max("dist").alias("top")))).select(F.coalesce("trimmed", "top").alias("trimmed_intra"))
     return within.agg(F.max("dist").alias("trimmed_inter"))
 
 
 def pairwise_summary(intra: DataFrame, inter: DataFrame) -> DataFrame:
-    """One row: ranges within and between species, trimmed bounds, and the pairs in their overlap."""
-    ends = lambda d, name: d.agg(F.min("dist").alias(f"min_{name}"), F.max("dist").alias(f"max_{name}"), F.count(F.lit(1)).alias(f"n_{name}"))
-    one = ends(intra, "intra").crossJoin(F.broadcast(ends(inter, "inter"))).crossJoin(F.broadcast(trimmed_bound(intra, "intra"))).crossJoin(F.broadcast(trimmed_bound(inter, "inter")))
-    every = intra.select("dist").unionByName(inter.select("dist"))
-    inside = every.crossJoin(F.broadcast(one)).agg(
-        F.sum(F.when(F.col("dist").between(F.col("min_inter"), F.col("max_intra")), 1).otherwise(0)).alias("inside"),
-        F.sum(F.when(F.col("dist").between(F.col("trimmed_inter"), F.col("trimmed_intra")), 1).otherwise(0)).alias("inside_trimmed"),
-    )
+    """One row: ranges within and between species, trimmed bounds, and the pairs in their overlap.
+
+    Pairs are measured once; all else is worked out from the counts of their distances.
+    """
+    within, between = distance_counts(intra), distance_counts(inter)
+    ends = lambda d, name: d.agg(F.min("dist").alias(f"min_{name}"), F.max("dist").alias(f"max_{name}"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{name}"))
+    one = ends(within, "intra").crossJoin(F.broadcast(ends(between, "inter"))).crossJoin(F.broadcast(trimmed_bound(within, "intra"))).crossJoin(F.broadcast(trimmed_bound(between, "inter")))
+    total = lambda lo, hi: F.coalesce(F.sum(F.when(F.col("dist").between(F.col(lo), F.col(hi)), F.col("n"))), F.lit(0))
+    inside = within.unionByName(between).crossJoin(F.broadcast(one)).agg(total("min_inter", "max_intra").alias("inside"), total("trimmed_inter", "trimmed_intra").alias("inside_trimmed"))
     return one.crossJoin(F.broadcast(inside)).withColumn("inside_percent", percentage(F.col("inside"), F.col("n_intra") + F.col("n_inter")))
 
 
+#: Ranges and steps of the standard tables of distances within and between species.
+TABLES = ((0.0, 0.2, 0.005), (0.0, 0.3, 0.01), (0.0, 1.0, 0.05))
+
+
+def standard_tables(intra: DataFrame, inter: DataFrame, direction: str = "forward") -> DataFrame:
+    """The six standard histograms: kind (intra or inter), to, step, bin, n, cumulative."""
+    out = None
+    for kind, counts in (("intra", distance_counts(intra)), ("inter", distance_counts(inter))):
+        for lo, hi, step in TABLES:
+            made = distance_histogram(counts, lo, hi, step, direction).select(F.lit(kind).alias("kind"), F.lit(hi).alias("to"), F.lit(step).alias("step"), "bin", "n", "cumulative")
+            out = made if out is None else out.unionByName(made)
+    return out
+
+
 def distance_histogram(dist: DataFrame, lo: float, hi: float, step: float, direction: str = "forward") -> DataFrame:
     """Counts by class and cumulated: up to lo, steps above it with both ends, above hi.
 
-    Each distance is put in its classes by arithmetic; only counts per class are shuffled.
+    Each distance (with a count n, if there is such a column) is put in its classes by arithmetic;
+    only counts per class are shuffled.
     """
+    weight = F.col("n") if "n" in dist.columns else F.lit(1)
     n = int(round((hi - lo) / step))
     edge = lambda k: F.lit(lo + 1e-6) + F.lit(step) * k
     guess = F.floor((F.col("dist") - F.lit(lo + 1e-6)) / F.lit(step)).cast("int")
     bins = F.filter(F.transform(F.array(guess - 1, guess, guess + 1), lambda k: F.when((k >= 0) & (k < n) & (F.col("dist") >= edge(k)) & (F.col("dist") <= edge(k + 1)), k + 1)), lambda k: k.isNotNull())
     all_bins = F.concat(F.when(F.col("dist") <= lo, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), bins, F.when(F.col("dist") > hi, F.array(F.lit(n + 1))).otherwise(F.array().cast("array<int>")))
-    counts = dist.select(F.explode(all_bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = dist.select(weight.alias("_w"), F.explode(all_bins).alias("bin")).groupBy("bin").agg(F.sum("_w").alias("n"))
     table = dist.sparkSession.range(n + 2).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
     order = F.asc("bin") if direction == "forward" else F.desc("bin")
     return table.withColumn("cumulative", F.sum("n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
