@@ -1,11 +1,15 @@
 """Sequences and grids derived from the driver's tables, as DataFrames and as SQL for the oracle.
 
 Every vector of `embeddings` becomes an aligned sequence of 64 positions whose bases depend on the
-label, with ambiguities, inner and outer gaps, missing positions, mislabelled and unnamed rows.
+label, with ambiguities, inner and outer gaps, missing positions, mislabelled and unnamed rows.  Ragged
+ones have 64 to 544 positions, or 30, and some share a title.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +22,40 @@ LOCI = 4
 LOCUS_LENGTH = 16
 
 
+#: Whether the sequences are ragged.
+RAGGED: ContextVar[bool] = ContextVar("RAGGED", default=False)
+SIZE = "if(v % 13 = 0, 30, 64 + (v % 5) * 120)"
+
+
+def ragged(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The same query over ragged sequences."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = RAGGED.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            RAGGED.reset(before)
+
+    return run
+
+
 def raw_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, title and unnormalised seq of every vector."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("v"), F.col("label").cast("long").alias("l"), "embedding")
-    letter = """transform(sequence(0, 63), p -> case
+    size = SIZE if RAGGED.get() else "64"
+    letter = f"""transform(sequence(0, cast({size} as int) - 1), p -> case
         when (v * 5 + p * 11) % 37 = 0 then '?'
-        when (v + p * 13) % 61 = 0 or p < v % 5 or p >= 64 - v % 7 then '-'
+        when (v + p * 13) % 61 = 0 or p < v % 5 or p >= {size} - v % 7 then '-'
         when (v * 3 + p * 17) % 41 = 0 then 'N'
         when (v * 11 + p * 3) % 43 = 0 then 'R'
         else substring('ACTG', cast((p * p * 3 + p * 5 + (l % 3) * (p div 2 + 1) + if((p * 7 + l * 11) % 9 = 0, 1, 0)
-             + if(cast(embedding[p] as double) > 0.25, 1, 0) + if(cast(embedding[p] as double) > 0.3, 1, 0)) % 4 as int) + 1, 1) end)"""
+             + if(cast(embedding[p % 64] as double) > 0.25, 1, 0) + if(cast(embedding[p % 64] as double) > 0.3, 1, 0)) % 4 as int) + 1, 1) end)"""
     shown = "if(v % 31 = 0, (l + 3) % 10, l)"
     genus = f"element_at(array{GENERA}, cast(({shown}) % 3 as int) + 1)"
     epithet = f"element_at(array{EPITHETS}, cast({shown} as int) + 1)"
-    title = f"case when v % 50 = 49 then concat('gi|', v, '| unnamed') else concat('gi|', v, '| ', {genus}, ' ', {epithet}, if(v % 4 = 0, concat(' (family: ', {genus}, 'idae)'), '')) end"
+    twin = f"when v % 29 = 1 then concat({genus}, ' ', {epithet})" if RAGGED.get() else ""
+    title = f"case {twin} when v % 50 = 49 then concat('gi|', v, '| unnamed') else concat('gi|', v, '| ', {genus}, ' ', {epithet}, if(v % 4 = 0, concat(' (family: ', {genus}, 'idae)'), '')) end"
     return e.select(F.col("v").alias("ord"), F.expr(title).alias("title"), F.expr(f"array_join({letter}, '')").alias("seq"))
 
 
@@ -101,3 +125,14 @@ g AS MATERIALIZED (
 def sql(select: str, *parts: str) -> str:
     """A SELECT over s, and further parts as needed."""
     return "WITH " + ",".join([SQL_SEQUENCES, *parts]) + "\n" + select
+
+
+def ragged_sql(text: str) -> str:
+    """A query made by sql(), over ragged sequences."""
+    size = "(CASE WHEN v % 13 = 0 THEN 30 ELSE 64 + (v % 5) * 120 END)"
+    made = SQL_SEQUENCES.replace("range(64)", f"range({size}::BIGINT)").replace("p >= 64 - v % 7", f"p >= {size} - v % 7").replace("e[p + 1]", "e[p % 64 + 1]")
+    made = made.replace("SELECT v AS ord, CASE WHEN", "SELECT v AS ord, CASE WHEN v % 29 = 1 THEN g || ' ' || ep WHEN").replace("THEN NULL ELSE g END AS genus", "AND v % 29 <> 1 THEN NULL ELSE g END AS genus")
+    made = made.replace("THEN NULL ELSE ep END AS species_epithet", "AND v % 29 <> 1 THEN NULL ELSE ep END AS species_epithet").replace("THEN NULL ELSE g || ' ' || ep END AS species", "AND v % 29 <> 1 THEN NULL ELSE g || ' ' || ep END AS species")
+    made = made.replace("v::VARCHAR AS gi", "CASE WHEN v % 29 <> 1 THEN v::VARCHAR END AS gi").replace("WHEN v % 50 <> 49 AND v % 4 = 0 THEN g || 'idae'", "WHEN v % 29 <> 1 AND v % 50 <> 49 AND v % 4 = 0 THEN g || 'idae'").replace("v % 50 = 49 AS warning", "v % 50 = 49 AND v % 29 <> 1 AS warning")
+    chars = SQL_CHARS.replace("range(64)", "range(length(seq))")
+    return text.replace(SQL_SEQUENCES, made).replace(SQL_CHARS, chars)

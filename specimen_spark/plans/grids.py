@@ -207,9 +207,21 @@ def average_r(spark, d):
     return grid.average_r(grid.locus_correlation(_ref(spark, d))).select(F.round("average_r", 6).alias("average_r"))
 
 
-@query("correlation_influence")
+_INFLUENCE = """cd AS MATERIALIZED (SELECT reference, locus, taxon, tv / overlap AS dist FROM (SELECT x.locus, x.taxon, z.taxon AS reference, sum(CASE WHEN (x.p OR x.y) AND (z.p OR z.y) THEN 1 ELSE 0 END + CASE WHEN (x.i AND (z.m > 0 OR z.i)) OR (z.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap, sum(CASE WHEN (x.p AND z.y) OR (x.y AND z.p) THEN 1 ELSE 0 END)::DOUBLE AS tv
+    FROM gc x JOIN gc z ON x.locus = z.locus AND x.pos = z.pos AND x.taxon <> z.taxon GROUP BY ALL) WHERE overlap >= 1),
+tm AS MATERIALIZED (SELECT x.reference, x.taxon, x.locus AS l1, y.locus AS l2, x.dist AS dx, y.dist AS dy FROM cd x JOIN cd y ON x.reference = y.reference AND x.taxon = y.taxon AND x.locus < y.locus),
+sm AS MATERIALIZED (SELECT reference, l1, l2, count(*) AS n, sum(dx) AS sx, sum(dy) AS sy, sum(dx * dx) AS sxx, sum(dy * dy) AS syy, sum(dx * dy) AS sxy FROM tm GROUP BY ALL),
+wr AS MATERIALIZED (SELECT *, CASE WHEN n * sxx - sx * sx > 1e-12 AND n * syy - sy * sy > 1e-12 THEN (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) ELSE 0.0 END AS r FROM sm),
+dl AS MATERIALIZED (SELECT reference, taxon, l1, l2, CASE WHEN vx > 1e-12 AND vy > 1e-12 THEN ((n - 1) * (sxy - dx * dy) - (sx - dx) * (sy - dy)) / (sqrt(vx) * sqrt(vy)) ELSE 0.0 END - r AS delta FROM (SELECT tm.*, n, sx, sy, sxy, r, (n - 1) * (sxx - dx * dx) - (sx - dx) * (sx - dx) AS vx, (n - 1) * (syy - dy * dy) - (sy - dy) * (sy - dy) AS vy FROM tm JOIN wr USING (reference, l1, l2))),
+ce AS (SELECT reference, locus, taxon, sum(delta) AS delta FROM (SELECT reference, taxon, l1 AS locus, delta FROM dl UNION ALL SELECT reference, taxon, l2, delta FROM dl) GROUP BY ALL),
+av AS (SELECT reference, locus, taxon, round((all_r + k + delta) / (k * (k + 1) / 2), 7) AS average_r, round((all_r + k) / (k * (k + 1) / 2), 7) AS now FROM ce JOIN (SELECT reference, sum(r) AS all_r FROM wr GROUP BY 1) USING (reference) CROSS JOIN (SELECT count(DISTINCT locus) AS k FROM g))"""
+
+
+@query("correlation_influence", X.sql("SELECT reference, locus, count(*) AS cells, max(average_r) AS best, min(average_r) AS least FROM (SELECT *, row_number() OVER (PARTITION BY reference, locus ORDER BY average_r DESC, taxon) AS place FROM av WHERE average_r <> now) WHERE place <= 10 GROUP BY reference, locus", *G, SQL_CELLS, _INFLUENCE))
 def correlation_influence(spark, d):
-    return grid.correlation_influence(_ref(spark, d))
+    """Every taxon as the reference; of the ten cells the best and the least r, as ties in the last digit decide which they are."""
+    found = grid.influence_of_all(X.grid(spark, d))
+    return found.groupBy("reference", "locus").agg(F.count(F.lit(1)).alias("cells"), F.max("average_r").alias("best"), F.min("average_r").alias("least"))
 
 
 @query("random_locus_groups", X.sql(f"""SELECT replicate, "group", locus, taxon FROM ce WHERE (replicate, "group", taxon) NOT IN (SELECT (replicate, "group", taxon) FROM (SELECT *, row_number() OVER (PARTITION BY replicate, "group" ORDER BY md5('1|' || replicate || '|' || "group" || '|' || taxon), taxon) AS r FROM (SELECT DISTINCT replicate, "group", taxon FROM ce WHERE taxon <> {REF_SQL})) WHERE r <= 5)""", *G,

@@ -107,9 +107,9 @@ def match_lines(spark, d):
 RANKED = "rk AS MATERIALIZED (SELECT *, coalesce(species_q = species_m, false) AS con, row_number() OVER (PARTITION BY q ORDER BY bucket, coalesce(species_q = species_m, false) DESC, m) AS rank FROM mir)"
 
 
-@query("rank_neighbours", X.sql("SELECT q, m, rank, dist FROM rk WHERE rank <= 10", *PAIRS, RANKED))
+@query("rank_neighbours", X.sql("SELECT q, m, rank, dist FROM rk", *PAIRS, RANKED))
 def rank_neighbours(spark, d):
-    return ranking.rank_neighbours(both(spark, d)).where("rank <= 10").select("q", "m", "rank", "dist")
+    return ranking.rank_neighbours(both(spark, d)).select("q", "m", "rank", "dist")
 
 
 def _best(threshold: float) -> str:
@@ -165,7 +165,7 @@ def species_summary(spark, d):
     return summaries.species_summary(X.sequences(spark, d), valid(spark, d, scope="intra"), X.MIN_OVERLAP)
 
 
-@query("species_totals", X.sql("""SELECT (SELECT count(*) FROM s) AS sequences, (SELECT count(DISTINCT species) FROM s) AS species, (SELECT count(*) FROM s WHERE species IS NULL) AS unnamed, 0::BIGINT AS short,
+@query("species_totals", X.sql("""SELECT (SELECT count(*) FROM s) AS sequences, (SELECT count(DISTINCT species) FROM s) AS species, (SELECT count(*) FROM s WHERE species IS NULL) AS unnamed, (SELECT count(*) FROM s WHERE length(seq) < 40) AS short,
   count(DISTINCT q) AS valid_sequences, count(DISTINCT species_q) AS valid_species, floor(floor(count(DISTINCT species_q)::DOUBLE / (SELECT count(DISTINCT species) FROM s) * 100000) / 100000 * 10000) / 100 AS valid_percent FROM mir WHERE species_q = species_m""", *PAIRS))
 def species_totals(spark, d):
     s = X.sequences(spark, d)
@@ -186,6 +186,26 @@ def distance_histogram(spark, d):
     return summaries.distance_histogram(valid(spark, d, scope="intra").select("dist"), 0.0, 0.3, 0.01)
 
 
+@query("standard_tables", X.sql("""SELECT k AS kind, hi AS "to", step, bin, n, sum(n) OVER (PARTITION BY k, hi, step ORDER BY bin DESC)::BIGINT AS cumulative FROM (SELECT k, hi, step, bin::INTEGER AS bin, (SELECT coalesce(sum(n), 0)::BIGINT FROM ct WHERE ct.k = t.k AND CASE WHEN bin = 0 THEN dist <= 0.0 WHEN bin = steps + 1 THEN dist > hi ELSE dist >= (0.0 + 1e-6)::DOUBLE + step * (bin - 1) AND dist <= (0.0 + 1e-6)::DOUBLE + step * bin END) AS n
+  FROM (SELECT k, hi::DOUBLE AS hi, step::DOUBLE AS step, steps, unnest(range(steps + 2)) AS bin FROM (VALUES ('intra'), ('inter')) a(k), (VALUES (0.2, 0.005, 40), (0.3, 0.01, 30), (1.0, 0.05, 20)) b(hi, step, steps)) t)""", *PAIRS,
+    "ct AS MATERIALIZED (SELECT dist, CASE WHEN species_a = species_b THEN 'intra' ELSE 'inter' END AS k, count(*) AS n FROM pr WHERE species_a = species_b OR (genus_a = genus_b AND species_a <> species_b) GROUP BY 1, 2)"))
+def standard_tables(spark, d):
+    return summaries.standard_tables(valid(spark, d, scope="intra"), valid(spark, d, scope="inter_congeneric"), "backward")
+
+
+@query("place_in_distributions", X.sql("""SELECT q, m, dist, round(100.0 * (SELECT count(*) FROM pr p WHERE p.species_a = p.species_b AND p.dist > mir.dist) / (SELECT count(*) FROM pr p WHERE p.species_a = p.species_b), 6) AS intra_farther,
+  round(100.0 * (SELECT count(*) FROM pr p WHERE p.genus_a = p.genus_b AND p.species_a <> p.species_b AND p.dist < mir.dist) / (SELECT count(*) FROM pr p WHERE p.genus_a = p.genus_b AND p.species_a <> p.species_b), 6) AS inter_closer FROM mir WHERE q % 50 = 0""", *PAIRS))
+def place_in_distributions(spark, d):
+    s = X.sequences(spark, d)
+    found = pairs.query_distances(s.where("ord % 50 = 0"), s, min_overlap=X.MIN_OVERLAP).select("q", "m", "dist")
+    return pairs.place_in_distributions(found, valid(spark, d, scope="intra"), valid(spark, d, scope="inter_congeneric"))
+
+
+@query("saturated_pairs", SQL_K2P.replace("SELECT a, b, overlap, CASE WHEN", "SELECT a, b, overlap FROM (SELECT a, b, overlap, CASE WHEN", 1) + ") WHERE dist IS NULL")
+def saturated_pairs(spark, d):
+    return pairs.saturated(valid(spark, d, scope="intra", method="k2p", valid_only=False), X.MIN_OVERLAP).select("a", "b", "overlap")
+
+
 @query("pairwise_explorer", X.sql("SELECT q, floor(dist / 0.005)::BIGINT AS class, count(*) AS members, round(avg(dist), 9) AS mean_dist FROM mir WHERE species_q = species_m GROUP BY 1, 2", *PAIRS))
 def pairwise_explorer(spark, d):
     return summaries.pairwise_explorer(both(spark, d).where("species_q = species_m"))
