@@ -161,10 +161,10 @@ def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_
             valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
             keep = valid if valid_only else np.ones(len(later), bool)
             out.append((np.full(keep.sum(), k), later[keep], overlap[keep], np.where(valid, dist, np.nan)[keep]))
-        if not out:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
         x, y, overlap, dist = (np.concatenate(c) for c in zip(*out, strict=True))
-        made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": rows[n].to_numpy()[at] for n in names for s, at in (("a", x), ("b", y))}
+        named = {n: rows[n].to_numpy(dtype=object) for n in names}
+        made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": pd.Series(named[n][at], dtype=object) for n in names for s, at in (("a", x), ("b", y))}
         bucket = pd.Series(np.floor(dist * SCALE)).astype("Int64")
         return pd.DataFrame(made | {"overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
 

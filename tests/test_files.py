@@ -165,3 +165,19 @@ def test_restore_titles(spark):
     back, missing = flatfile.restore_titles(a, o)
     assert [r["title"] for r in back.orderBy("ord").collect()] == ["gi|12| Musca prima", "x [uniqueid:5]", "other"]
     assert [r["title"] for r in missing.collect()] == ["gi|99| gone"]
+
+
+def test_files_of_one_name_become_loci_of_their_own(spark, tmp_path):
+    put(tmp_path, "l1.fas", ">A b\nACGT\n")
+    put(tmp_path, "l1.nex", NEXUS)
+    put(tmp_path, "l2.fas", ">A b\nACGT\n")
+    got = readers.load_grid(spark, str(tmp_path))
+    assert {(r["locus"], r["n"]) for r in got.groupBy("locus").agg(F.count(F.lit(1)).alias("n")).collect()} == {("l1", 1), ("l1_2", 2), ("l2", 1)}
+
+
+def test_custom_export(spark, tmp_path):
+    df = sequences(spark)
+    writers.export_custom(df, str(tmp_path / "one"), max_length=4)
+    assert joined(tmp_path / "one").startswith(">Musc\nAC-T")
+    writers.export_custom(df, str(tmp_path / "by"), by_family=True, mark="", two_lines=False, head="h")
+    assert {n for n in os.listdir(tmp_path / "by") if "=" in n} == {"family=none", "family=Apidae"}

@@ -104,3 +104,25 @@ def test_add_and_rename(spark):
 def test_intervals(spark):
     iv = spark.createDataFrame([("a", 1, 3), ("a", 4, 6), ("a", 9, 9)], "name string, from int, to int")
     assert sorted((r["from"], r["to"]) for r in charsets.combine_intervals(iv).collect()) == [(1, 6), (9, 9)]
+
+
+@pytest.mark.parametrize("method", ["uncorrected", "k2p", "transversions"])
+@pytest.mark.parametrize("scope", ["all", "intra", "inter_congeneric"])
+def test_numpy_tiles_equal_columns(spark, method, scope, monkeypatch):
+    from specimen_spark.operators import pairs
+    from specimen_spark.plans import fixtures
+
+    seqs = fixtures.ragged(lambda s, d: fixtures.sequences(s, d))(spark, "/root/testdata/sf0.001").where("ord < 60").persist()
+    got = []
+    for words in (0, 99):
+        monkeypatch.setattr(pairs, "COLUMN_WORDS", words)
+        rows = pairs.pair_distances(seqs, method, 30, scope, blocks=3, valid_only=False).collect()
+        got.append(sorted((r["a"], r["b"], r["species_a"], r["species_b"], r["genus_a"], r["genus_b"], r["overlap"], None if r["dist"] is None else round(r["dist"], 12), r["bucket"]) for r in rows))
+    assert got[0] == got[1] and got[0]
+
+
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    from specimen_spark.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 10)
+    assert pairs.blocks_for(spark.range(1000)) == 100
