@@ -20,6 +20,8 @@ from .common import body, crc_mod, table, tidy, unzipped, zipped
 from .features import MIX_A, MIX_B, mix, ngram_hashes, text_bytes, word_hashes
 
 BUCKETS = 1 << 17
+#: The feature of a text without any other.
+EMPTY = BUCKETS
 #: The model is fitted on at most so many labelled rows of each class.
 SAMPLE_PER_CLASS = 3000
 NGRAMS = range(3, 6)
@@ -28,8 +30,10 @@ NGRAMS = range(3, 6)
 def buckets(text: str) -> list[np.ndarray]:
     """Buckets of the words, of the pairs of neighbours and of the character n-grams of a text.
 
-    A pair that repeats one word always has bucket 0.
+    A pair that repeats one word always has bucket 0.  An empty text has one bucket of its own.
     """
+    if not text.strip():
+        return [np.array([EMPTY], np.int32)]
     raw = text_bytes(text)
     words, most = word_hashes(raw), np.uint64(BUCKETS - 1)
     a, b = words[:-1], words[1:]
@@ -40,8 +44,6 @@ def buckets(text: str) -> list[np.ndarray]:
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their weights: words, pairs and n-grams count a third each."""
     parts = buckets(text)
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     weights = np.bincount(inverse, np.concatenate([np.full(len(x), 1 / len(x)) for x in parts]))
     return at.astype(np.int32), (weights / len(parts)).astype(np.float32)
@@ -65,7 +67,7 @@ def train_embeddings(rows: list[tuple[bytes, bytes]], labels: np.ndarray, dim: i
     document's mean as far for a long text as for a short one.
     """
     rng = np.random.default_rng(seed)
-    vectors = (rng.standard_normal((BUCKETS, dim)) * 0.02).astype(np.float32)
+    vectors = (rng.standard_normal((BUCKETS + 1, dim)) * 0.02).astype(np.float32)
     layer, bias = (rng.standard_normal((dim, 2)) * 0.3).astype(np.float32), np.zeros(2, np.float32)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     for epoch in range(epochs):
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     ready = texts.mapInPandas(features, "doc_id long, y int, at binary, weight binary")
     model = ready.groupBy().applyInPandas(learn, "scores binary, bias double").first()
     if model is None or not np.isfinite(np.frombuffer(model["scores"], np.float32)).all():
-        return np.zeros(BUCKETS, np.float32), 0.0
+        return np.zeros(BUCKETS + 1, np.float32), 0.0
     return np.frombuffer(model["scores"], np.float32), model["bias"]
 
 
@@ -121,8 +123,7 @@ def scorer(model: tuple[np.ndarray, float]):
     scores, bias = model
 
     def scored(texts: pd.Series) -> np.ndarray:
-        found = [[scores[x].mean(dtype=np.float64) for x in buckets(t)] for t in texts]
-        z = np.array([np.mean(x) if x else -np.inf for x in found])
+        z = np.array([np.mean([scores[x].mean(dtype=np.float64) for x in buckets(t)]) for t in texts])
         return 1 / (1 + np.exp(-np.clip(z + bias, -700, 700)))
 
     return scored
@@ -130,7 +131,7 @@ def scorer(model: tuple[np.ndarray, float]):
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """doc_id and score (0 to 1) of every row, from its whole text; a text without words
-    is scored by its marks alone, an empty one gets 0.
+    is scored by its marks alone, and empty ones (of white space alone too) share a learnt score.
 
     Other columns are ignored, null texts count as empty, repeated rows are scored each.
     """
