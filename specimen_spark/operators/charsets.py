@@ -22,7 +22,7 @@ def check_overlaps(charsets: DataFrame) -> DataFrame:
 def split_by_charset(sequences: DataFrame, charsets: DataFrame) -> DataFrame:
     """(name, ord, title, seq): the sorted intervals of each set cut out and joined; empty ones left out."""
     cuts = charsets.where("coalesce(pos, 0) = 0").groupBy("source", "name").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("iv"))
-    rows = sequences.join(F.broadcast(cuts), "source")
+    rows = sequences.join(cuts, "source")
     seq = F.array_join(F.transform("iv", lambda i: F.substring(F.col("seq"), i["from"], i["to"] - i["from"] + 1)), "")
     return rows.select("name", "ord", "title", seq.alias("seq")).where("length(seq) > 0")
 

@@ -136,7 +136,7 @@ def flatfile_lines(spark, d):
     return writers.flatfile_lines(_loci(spark, d))
 
 
-@query("load_grid", X.sql("""SELECT locus, taxon, ord, t AS seq, length(regexp_replace(t, '[_?]', '', 'g'))::INTEGER AS actual_length, false AS cancelled FROM (SELECT 'f' || ord % 10 || v.suffix AS locus, CASE v.suffix WHEN '' THEN 'T ' || lpad(ord::VARCHAR, 8, '0') ELSE title END AS taxon, row_number() OVER (PARTITION BY v.suffix, ord % 10 ORDER BY ord) - 1 AS ord, t FROM t, (VALUES (''), ('_2')) v(suffix)) WHERE length(regexp_replace(t, '[_?]', '', 'g')) > 0""", T))
+@query("load_grid", X.sql("""SELECT locus, taxon, ord, t AS seq, length(regexp_replace(t, '[_?]', '', 'g'))::INTEGER AS actual_length, false AS cancelled FROM (SELECT 'f' || ord // 100 || v.suffix AS locus, CASE v.suffix WHEN '' THEN 'T ' || lpad(ord::VARCHAR, 8, '0') ELSE title END AS taxon, row_number() OVER (PARTITION BY v.suffix, ord // 100 ORDER BY ord) - 1 AS ord, t FROM t, (VALUES (''), ('_2')) v(suffix)) WHERE length(regexp_replace(t, '[_?]', '', 'g')) > 0""", T))
 def load_grid(spark, d):
     nexus = _files(spark, d, f"concat({NAME}, ' ', {PLAIN})", NEXUS, SETS).withColumn("file", F.regexp_replace("file", "txt$", "nex"))
     fasta = _files(spark, d, f"concat('>', title, '\n', {PLAIN})")

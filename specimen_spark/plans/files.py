@@ -1,4 +1,4 @@
-"""Queries that lay sequences out in each file format, ten files, and read them back."""
+"""Queries that lay sequences out in each file format, a hundred sequences a file, and read them back."""
 
 from __future__ import annotations
 
@@ -20,20 +20,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-FILE = "concat('f', cast(ord % 10 as string), '.txt')"
+FILE = "concat('f', cast(ord div 100 as string), '.txt')"
 NAME = "concat('T_', lpad(cast(ord as string), 8, '0'))"
 PLAIN = "translate(seq, '_', '-')"
 
 
 def _files(spark, d, line: str, head: str = "", foot: str = ""):
-    """One text for each last digit of ord; `line` is an SQL expression of ord, title and seq."""
+    """One text for each hundred of ord; `line` is an SQL expression of ord, title and seq."""
     s = X.sequences(spark, d).select("ord", F.expr(FILE).alias("file"), F.expr(line).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
     return s.groupBy("file").agg(F.concat(F.lit(head), text, F.lit(foot)).alias("text"))
 
 
 def _sql(title: str = "'T ' || lpad(ord::VARCHAR, 8, '0')", seq: str = "translate(seq, '_', '-')", more: str = "") -> str:
-    return X.sql(f"SELECT 'f' || ord % 10 || '.txt' AS file, row_number() OVER (PARTITION BY ord % 10 ORDER BY ord) - 1 AS ord, {title} AS title, {seq} AS seq{more} FROM s")
+    return X.sql(f"SELECT 'f' || ord // 100 || '.txt' AS file, row_number() OVER (PARTITION BY ord // 100 ORDER BY ord) - 1 AS ord, {title} AS title, {seq} AS seq{more} FROM s")
 
 
 @query("parse_fasta", _sql("title"))
@@ -59,7 +59,27 @@ def parse_nexus(spark, d):
     return _nexus(spark, d)[0]
 
 
-@query("parse_charsets", X.sql("SELECT DISTINCT 'f' || ord % 10 AS source, v.* FROM s, (VALUES ('one', NULL, 1, 16, 1), ('one', NULL, 20, 20, 1), ('two', NULL, 33, 64, 1), ('codons', 1, 1, 61, 3), ('codons', 2, 2, 62, 3), ('codons', 3, 3, 63, 3)) v(name, pos, \"from\", \"to\", stride)"))
+ODD = "\nBEGIN SETS;\n CHARSET a (VECTOR) = 0101;\n CHARSET b = ALL;\n CHARSET c = REMAINDER;\n CHARSET d = 3-9;\nEND;\n"
+
+
+def _odd(spark, d):
+    kind = F.expr("if(cast(substring(file, 2, length(file) - 5) as int) % 2 = 0, replace(text, 'DATATYPE=DNA', 'DATATYPE=Continuous'), text)")
+    return _files(spark, d, f"concat({NAME}, ' ', {PLAIN})", NEXUS, "\n;\nEND;" + ODD).withColumn("text", kind)
+
+
+@query("nexus_problems", X.sql("SELECT DISTINCT 'f' || ord // 100 || '.txt' AS file, v.* FROM s, (VALUES ('character set', 'CHARSET a (VECTOR) = 0101'), ('character set', 'CHARSET b = ALL'), ('character set', 'CHARSET c = REMAINDER')) v(problem, what) UNION ALL SELECT DISTINCT 'f' || ord // 100 || '.txt', 'continuous data', '' FROM s WHERE (ord // 100) % 2 = 0"))
+def nexus_problems(spark, d):
+    return readers.nexus_problems(_odd(spark, d))
+
+
+@query("nexus_without_problems", X.sql("SELECT 'f' || ord // 100 || '.txt' AS file, count(*) AS sequences, 'd' AS sets FROM s WHERE (ord // 100) % 2 = 1 GROUP BY ALL"))
+def nexus_without_problems(spark, d):
+    sequences, sets = readers.parse_nexus(_odd(spark, d))
+    names = sets.groupBy(F.concat("source", F.lit(".txt")).alias("file")).agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("sets"))
+    return sequences.groupBy("file").agg(F.count(F.lit(1)).alias("sequences")).join(names, "file")
+
+
+@query("parse_charsets", X.sql("SELECT DISTINCT 'f' || ord // 100 AS source, v.* FROM s, (VALUES ('one', NULL, 1, 16, 1), ('one', NULL, 20, 20, 1), ('two', NULL, 33, 64, 1), ('codons', 1, 1, 61, 3), ('codons', 2, 2, 62, 3), ('codons', 3, 3, 63, 3)) v(name, pos, \"from\", \"to\", stride)"))
 def parse_charsets(spark, d):
     return _nexus(spark, d)[1]
 
@@ -73,12 +93,12 @@ def parse_tnt(spark, d):
     return _tnt(spark, d)[0]
 
 
-@query("tnt_groups", X.sql("SELECT DISTINCT 'f' || ord % 10 AS source, v.* FROM s, (VALUES ('one', NULL, 1, 16, 1), ('one', NULL, 20, 20, 1), ('two', 2, 34, 64, 1)) v(name, pos, \"from\", \"to\", stride)"))
+@query("tnt_groups", X.sql("SELECT DISTINCT 'f' || ord // 100 AS source, v.* FROM s, (VALUES ('one', NULL, 1, 16, 1), ('one', NULL, 20, 20, 1), ('two', 2, 34, 64, 1)) v(name, pos, \"from\", \"to\", stride)"))
 def tnt_groups(spark, d):
     return _tnt(spark, d)[1]
 
 
-@query("tnt_problems", X.sql("SELECT 'f' || ord % 10 || '.txt' AS file, 64 AS nchar, 1 AS ntax, count(*) AS taxa, 64 AS shortest, 64 AS longest FROM s GROUP BY ord % 10 HAVING count(*) <> 1"))
+@query("tnt_problems", X.sql("SELECT 'f' || ord // 100 || '.txt' AS file, 64 AS nchar, 1 AS ntax, count(*) AS taxa, 64 AS shortest, 64 AS longest FROM s GROUP BY ord // 100 HAVING count(*) <> 1"))
 def tnt_problems(spark, d):
     return _tnt(spark, d)[2]
 
@@ -88,11 +108,18 @@ def parse_sequences(spark, d):
     return readers.parse_sequences(_files(spark, d, f"concat('>', title, '\n^grid.colname l', cast(ord % 3 as string), if(ord % 2 = 0, concat('\n^grid.seqname ', coalesce(species, '')), ''), if(ord % 7 = 0, '\n^grid.cancelled', ''), '\n', {PLAIN})", "#sequences\n"))
 
 
-@query("parse_any_format", X.sql("SELECT 'f' || ord % 10 || '.txt' AS file, 'nexus' AS format, count(*) AS n FROM s GROUP BY ord % 10 UNION ALL SELECT 'g' || ord % 10 || '.txt', 'fasta', count(*) FROM s GROUP BY ord % 10"))
+@query("parse_any_format", X.sql("SELECT v.letter || ord // 100 || '.txt' AS file, v.format, count(*) AS n FROM s, (VALUES ('f', 'nexus'), ('g', 'fasta'), ('m', 'mega'), ('t', 'tnt'), ('q', 'sequences')) v(letter, format) GROUP BY ALL"))
 def parse_any_format(spark, d):
-    nexus = _files(spark, d, f"concat({NAME}, ' ', {PLAIN})", NEXUS, SETS)
-    fasta = _files(spark, d, f"concat('>', title, '\n', {PLAIN})").withColumn("file", F.translate("file", "f", "g"))
-    return readers.parse_any(nexus.unionByName(fasta)).groupBy("file", "format").agg(F.count(F.lit(1)).alias("n"))
+    line = f"concat({NAME}, ' ', {PLAIN})"
+    texts = {
+        "f": _files(spark, d, line, NEXUS, SETS), "g": _files(spark, d, f"concat('>', title, '\n', {PLAIN})"), "m": _files(spark, d, f"concat('#', {NAME}, ' ', {PLAIN})", "#mega\nTITLE x\n\n"),
+        "t": _files(spark, d, line, "xread\n'x'\n64 9\n", "\n;\nproc /;"), "q": _files(spark, d, f"concat('>', title, '\n', {PLAIN})", "#sequences\n"),
+    }
+    every = None
+    for letter, df in texts.items():
+        df = df.withColumn("file", F.translate("file", "f", letter))
+        every = df if every is None else every.unionByName(df)
+    return readers.parse_any(every).groupBy("file", "format").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fasta_lines", X.sql("SELECT ord, '>' || replace(title, ' ', '_') || chr(10) || translate(seq, '_', '-') AS line FROM s"))

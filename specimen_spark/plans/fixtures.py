@@ -22,28 +22,32 @@ LOCI = 4
 LOCUS_LENGTH = 16
 
 
-#: Whether the sequences are ragged.
-RAGGED: ContextVar[bool] = ContextVar("RAGGED", default=False)
-SIZE = "if(v % 13 = 0, 30, 64 + (v % 5) * 120)"
+RAGGED = "if(v % 13 = 0, 30, 64 + (v % 5) * 120)"
+#: The length of sequence v.
+SIZE: ContextVar[str] = ContextVar("SIZE", default="64")
 
 
-def ragged(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The same query over ragged sequences."""
+def sized(f: Callable[[SparkSession, str], DataFrame], size: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The same query over sequences of other lengths."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = RAGGED.set(True)
+        before = SIZE.set(size)
         try:
             return f(spark, sf_dir)
         finally:
-            RAGGED.reset(before)
+            SIZE.reset(before)
 
     return run
 
 
+def ragged(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return sized(f, RAGGED)
+
+
 def raw_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, title and unnormalised seq of every vector."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("v"), F.col("label").cast("long").alias("l"), "embedding")
-    size = SIZE if RAGGED.get() else "64"
+    size = SIZE.get()
     letter = f"""transform(sequence(0, cast({size} as int) - 1), p -> case
         when (v * 5 + p * 11) % 37 = 0 then '?'
         when (v + p * 13) % 61 = 0 or p < v % 5 or p >= {size} - v % 7 then '-'
@@ -54,7 +58,7 @@ def raw_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = "if(v % 31 = 0, (l + 3) % 10, l)"
     genus = f"element_at(array{GENERA}, cast(({shown}) % 3 as int) + 1)"
     epithet = f"element_at(array{EPITHETS}, cast({shown} as int) + 1)"
-    twin = f"when v % 29 = 1 then concat({genus}, ' ', {epithet})" if RAGGED.get() else ""
+    twin = f"when v % 29 = 1 then concat({genus}, ' ', {epithet})" if size == RAGGED else ""
     title = f"case {twin} when v % 50 = 49 then concat('gi|', v, '| unnamed') else concat('gi|', v, '| ', {genus}, ' ', {epithet}, if(v % 4 = 0, concat(' (family: ', {genus}, 'idae)'), '')) end"
     return e.select(F.col("v").alias("ord"), F.expr(title).alias("title"), F.expr(f"array_join({letter}, '')").alias("seq"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charsets, clusters, grid
+from ..operators import charsets, clusters, consensus, grid
 from . import fixtures as X
+from .lists import CLASS
 from .pairwise import PAIRS, valid
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -54,6 +55,11 @@ def cluster_report(spark, d):
     return clusters.cluster_report(X.sequences(spark, d), _found(spark, d), valid(spark, d), 0.03)
 
 
+@query("cluster_consensus", _sql(f"SELECT cluster, max(size) AS size, string_agg(CASE WHEN n < size THEN '?' ELSE ch END, '' ORDER BY pos) AS consensus FROM (SELECT *, max(n) OVER (PARTITION BY cluster) AS size FROM (SELECT cluster, pos, count(*) AS n, {CLASS} AS ch FROM c JOIN cl USING (ord) GROUP BY cluster, pos)) GROUP BY cluster"))
+def cluster_consensus(spark, d):
+    return consensus.consensus(X.sequences(spark, d).join(_found(spark, d), "ord"), "cluster")
+
+
 @query("species_cluster_report", _sql("""SELECT kind, count(*) AS clusters, coalesce(any_value(o.others), 0) AS others, greatest(0, min(hi) - max(lo) + 1) AS shared_extent FROM (SELECT kind, cluster, min(lo) AS lo, max(hi) AS hi FROM kd GROUP BY 1, 2)
   LEFT JOIN (SELECT x.kind, count(DISTINCT y.kind) AS others FROM kd x JOIN kd y ON x.cluster = y.cluster AND x.kind <> y.kind GROUP BY 1) o USING (kind) GROUP BY kind"""))
 def species_cluster_report(spark, d):

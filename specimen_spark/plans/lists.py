@@ -157,10 +157,10 @@ def longest(spark, d):
     return X.sequences(spark, d).agg(F.max("length").alias("longest"))
 
 
-_CLASS = "CASE WHEN bool_or(ch = '?') THEN '?' WHEN bit_or(m) > 0 THEN ['A','C','M','T','W','Y','H','G','R','S','V','K','D','B','N'][bit_or(m)] WHEN bool_or(i) THEN '-' ELSE '_' END"
+CLASS = "CASE WHEN bool_or(ch = '?') THEN '?' WHEN bit_or(m) > 0 THEN ['A','C','M','T','W','Y','H','G','R','S','V','K','D','B','N'][bit_or(m)] WHEN bool_or(i) THEN '-' ELSE '_' END"
 
 
-@query("consensus", X.sql(f"SELECT species, max(size) AS size, string_agg(CASE WHEN n < size THEN '?' ELSE ch END, '' ORDER BY pos) AS consensus FROM (SELECT *, max(n) OVER (PARTITION BY species) AS size FROM (SELECT species, pos, count(*) AS n, {_CLASS} AS ch FROM c WHERE species IS NOT NULL GROUP BY species, pos)) GROUP BY species", X.SQL_CHARS))
+@query("consensus", X.sql(f"SELECT species, max(size) AS size, string_agg(CASE WHEN n < size THEN '?' ELSE ch END, '' ORDER BY pos) AS consensus FROM (SELECT *, max(n) OVER (PARTITION BY species) AS size FROM (SELECT species, pos, count(*) AS n, {CLASS} AS ch FROM c WHERE species IS NOT NULL GROUP BY species, pos)) GROUP BY species", X.SQL_CHARS))
 def consensus_query(spark, d):
     return consensus.consensus(X.sequences(spark, d).where("species is not null"), "species")
 

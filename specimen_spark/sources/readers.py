@@ -91,17 +91,38 @@ def read_nexus(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
     return parse_nexus(whole_files(spark, path))
 
 
+#: What character sets can't be read from: other notations, and names of other sets.
+_OTHER_SETS = r"(?i)\(\s*vector\s*\)|\b(all|remainder)\b"
+_CHARSET = r"(?is)\b(charset\s+[^=;]+=[^;]*);"
+
+
+def nexus_problems(files: DataFrame) -> DataFrame:
+    """(file, problem, what): matrices of continuous data, and character sets in a notation that isn't read.
+
+    parse_nexus leaves these out.
+    """
+    files = files.where(F.col("text").rlike(r"(?i)^\s*#nexus")).withColumn("text", F.regexp_replace("text", r"\[[^\]]*\]", ""))
+    continuous = files.where(_continuous()).select("file", F.lit("continuous data").alias("problem"), F.lit("").alias("what"))
+    sets = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(_CHARSET), F.lit(1))).alias("s")).where(F.col("s").rlike(_OTHER_SETS))
+    return continuous.unionByName(sets.select("file", F.lit("character set").alias("problem"), F.trim("s").alias("what")))
+
+
+def _continuous() -> Column:
+    return F.col("text").rlike(r"(?is)\bformat\b[^;]*\bdatatype\s*=\s*continuous\b")
+
+
 def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sequences, charsets) of Nexus files: DATA or CHARACTERS blocks, interleaved or not; SETS.
 
     Bracketed comments are dropped, alternatives in parentheses kept in brackets, the file's own gap
     and missing symbols become - and ?.  Character sets: name, pos (null, or 0-3 from CODONPOSSET),
-    from, to, stride.  A number that stands alone is an interval of one position.
+    from, to, stride.  A number that stands alone is an interval of one position.  What cannot be read
+    is left out and listed by nexus_problems.
     """
     files = files.where(F.col("text").rlike(r"(?i)^\s*#nexus")).withColumn("text", F.regexp_replace("text", r"\[[^\]]*\]", ""))
     matrix = F.regexp_extract("text", r"(?is)\bbegin\s+(?:data|characters)\s*;.*?\bmatrix\b(.*?);", 1)
     symbol = lambda word, default: F.coalesce(F.nullif(F.regexp_extract("text", rf"(?is)\bformat\b[^;]*\b{word}\s*=\s*([^\s;])", 1), F.lit("")), F.lit(default))
-    rows = files.select("file", symbol("gap", "-").alias("gap"), symbol("missing", "?").alias("missing"), F.posexplode(F.split(matrix, "\n")).alias("n", "line")).where("trim(line) <> ''")
+    rows = files.select("file", symbol("gap", "-").alias("gap"), symbol("missing", "?").alias("missing"), F.posexplode(F.when(_continuous(), F.array().cast("array<string>")).otherwise(F.split(matrix, "\n"))).alias("n", "line")).where("trim(line) <> ''")
     quoted = F.regexp_extract("line", r"^\s*'([^']*)'", 1)
     name = F.translate(F.when(quoted != "", quoted).otherwise(F.regexp_extract("line", r"^\s*(\S+)", 1)), "_", " ")
     data = _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*('[^']*'|\S+)", ""), r"\s", ""))
@@ -110,7 +131,7 @@ def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     interval = r"(\d+)\s*(?:-\s*(\d+|\.))?\s*(?:\\\s*(\d+))?"
     total = F.coalesce(F.nullif(F.regexp_extract("text", r"(?is)\bnchar\s*=\s*(\d+)", 1), F.lit("")), F.lit("0")).cast("int")
-    sets = files.select("file", total.alias("nchar"), F.explode(F.regexp_extract_all("text", F.lit(r"(?is)\b(charset\s+[^=;]+=[^;]*);"), F.lit(1))).alias("s"))
+    sets = files.select("file", total.alias("nchar"), F.explode(F.regexp_extract_all("text", F.lit(_CHARSET), F.lit(1))).alias("s")).where(~F.col("s").rlike(_OTHER_SETS))
     sets = sets.select("file", "nchar", F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("s", r"(?is)^charset\s+([^=]*)=", 1)), r"(?i)\s*\(standard\)", ""), r"^\*\s*|'", "").alias("name"), F.lit(None).cast("int").alias("pos"), F.regexp_extract("s", r"(?s)=(.*)$", 1).alias("body"))
     codons = files.select("file", total.alias("nchar"), F.explode(F.regexp_extract_all("text", F.lit(r"(?is)\bcodonposset\b[^=;]*=([^;]*);"), F.lit(1))).alias("s"))
     codons = codons.select("file", "nchar", F.explode(F.split("s", ",")).alias("s")).where(F.col("s").rlike(r"(?i)^\s*[n123]\s*:"))
