@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, body, pick, store, table
+from .common import BROADCAST_BYTES, body, pick, store, table, tidy
 from .components import components
 from .features import MIX_A, MIX_B, mix, word_hashes
 
@@ -102,6 +102,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     Texts without words have a key of their whole text, no shingles and no bands.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -125,25 +126,39 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", body().alias("text")).mapInPandas(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pairs (a, b) with the weighted Jaccard similarity of their documents' shingles.
+#: Documents that are candidates of each other are compared in tiles of so many by so many.
+TILE = 256
+#: About so many pairs are compared in one group.
+PAIRS = 1000
 
-    Texts are only read for ids in a pair, and shuffled once for each side of the pairs.
-    """
-    ids = store(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = pick(docs.select("doc_id", body().alias("text")), ids, "doc_id")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            last, mine, out = None, None, []
-            for a, ta, tb in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
-                if a != last or mine is None:
-                    last, mine = a, bag(ta)
-                out.append(weighted_jaccard(mine, bag(tb)))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the weighted Jaccard similarity of their documents' shingles.
 
-    return both.mapInPandas(run, "a long, b long, similarity double")
+    Documents with the same smallest candidate are dealt out in groups of TILE, and pairs by their
+    two groups: a tile gets each of its texts once, however many pairs it is in, and no tile grows
+    with its neighbourhood.  n documents that are all candidates of each other cost n / TILE copies
+    of each text instead of n, and each text's shingles are hashed as often.
+    """
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    label = store(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "label")
+    sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("groups"))
+    place = store(label.join(sizes, "label").select("node", F.xxhash64("label", F.pmod(F.xxhash64("node"), "groups")).alias("g")), "place")
+    side = lambda c: place.select(F.col("node").alias(c), F.col("g").alias(f"g{c}"))
+    parts = pairs.count() // PAIRS + 1
+    tiles = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.pmod(F.xxhash64("ga", "gb"), F.lit(parts)).alias("part")), "tiles")
+    wanted = store(tiles.select("part", F.col("a").alias("doc_id")).unionByName(tiles.select("part", F.col("b").alias("doc_id"))).distinct(), "wanted")
+    few = 32 * wanted.count() <= BROADCAST_BYTES
+    texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(wanted) if few else wanted, "doc_id")
+    rows = texts.select("part", "doc_id", "text", F.lit(0).cast("long").alias("b"), F.lit(False).alias("pair")).unionByName(tiles.select("part", F.col("a").alias("doc_id"), F.lit("").alias("text"), "b", F.lit(True).alias("pair")))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, held = rows[rows["pair"]], rows[~rows["pair"]]
+        bags = {d: bag(t) for d, t in zip(held["doc_id"], held["text"], strict=True)}
+        a, b = asked["doc_id"].to_numpy(), asked["b"].to_numpy()
+        return pd.DataFrame({"a": a, "b": b, "similarity": [weighted_jaccard(bags[x], bags[y]) for x, y in zip(a, b, strict=True)]})
+
+    return rows.groupBy("part").applyInPandas(compare, "a long, b long, similarity double")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,6 +174,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with most company over all its buckets, so a bucket of variants of one text costs one
     comparison per document.  Documents of a bucket that these links leave in different components
     are then joined on the rarest of their shingles (rare_pairs), which loses no link among them.
+    Documents just under the threshold of each other are all compared, in tiles (see verified).
     A link is lost where its two documents share no bucket, (1 - s**5)**25 of pairs of similarity s
     (5e-5 at 0.8), unless other links or other company in their buckets join them.
     """
@@ -173,7 +189,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hubs = store(shared.join(company, "rep").groupBy("bucket").agg(hub.alias("h")).select("bucket", F.negative("h.r").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     stars = shared.join(hubs, "bucket").where((F.col("rep") != F.col("hub")) & (F.least("n", "hub_n") >= F.lit(threshold) * F.greatest("n", "hub_n") - 1e-9))
     stars = store(stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct(), "stars")
-    tested = store(verified(stars, docs, threshold), "tested")
+    tested = store(verified(stars, docs), "tested")
     links = tested.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(links)
 
@@ -182,7 +198,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     apart = store(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "apart")
     left = store(placed.join(apart, "bucket", "left_semi").select("rep", "n", "component").distinct(), "left")
     rest = store(rare_pairs(left, docs, threshold).join(tested, ["a", "b"], "left_anti"), "rest")
-    more = store(verified(rest, docs, threshold).where(F.col("similarity") >= threshold).select("a", "b"), "more")
+    more = store(verified(rest, docs).where(F.col("similarity") >= threshold).select("a", "b"), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
