@@ -555,6 +555,27 @@ def test_many_variants_of_one_text(spark):
     assert got == brute_classes(dict(rows))
 
 
+def test_documents_just_under_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(60):
+        own = list(base)
+        for j in range(0, 5):  # about five edits of five shingles each on both sides: similarity about 0.79
+            own[int(rng.integers(0, 80)) + 80 * j] = f"x{d}y{j}"
+        rows.append((d, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "PAIRS", 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()}
+    assert got == brute_classes(dict(rows))
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    bags = [near_dedup.bag(t) for _, t in rows]
+    found = {(r["a"], r["b"]): r["similarity"] for r in near_dedup.verified(pairs, df).collect()}
+    assert found == {(a, b): near_dedup.weighted_jaccard(bags[a], bags[b]) for a in range(60) for b in range(a + 1, 60)}
+    assert near_dedup.verified(pairs.limit(0), df).count() == 0
+
+
 def test_ties_at_the_threshold_are_joined(spark):
     rows, want = [], set()
     for k, n in enumerate((63, 117, 126, 135, 234)):
