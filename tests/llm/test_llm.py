@@ -170,6 +170,49 @@ def test_deep_nesting(spark):
     assert {r["text"] for r in wrappers.extract(df).collect()} == {f"deep {i}\ntwo" for i in range(3)}
 
 
+def test_pages_by_brute_force(spark):
+    """Main texts of all pages against a plain reader of their one article, whatever the page's company."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.text = 0, [], []
+
+        def end(self):
+            words = " ".join("".join(self.text).split())
+            self.blocks += [words] if words else []
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag == "br":
+                self.text.append(" ")
+            elif tag not in wrappers.INLINE:
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag not in wrappers.INLINE:
+                self.end()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text.append(data)
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()}
+    plain = {}
+    for r in pages.collect():
+        reader = Plain()
+        reader.feed(r["html"] or "")
+        if reader.blocks and "<article" in r["html"] and not re.search(r"<(header|aside|form|section|figure|nav)\b|class=", r["html"].split("<article", 1)[1].split("</article", 1)[0]):
+            plain[r["page_id"]] = "\n".join(reader.blocks)
+    assert len(plain) > 0.5 * len(got) and {k: got[k] for k in plain} == plain
+    few = pages.where("page_id % 7 = 0")
+    assert all(r["text"] == got[r["page_id"]] for r in wrappers.extract(few).collect())
+
+
 # 2 exact dedup
 
 
@@ -345,6 +388,21 @@ def test_encoder_gives_the_tokenizers_ids():
         assert e(t)[:-2] == want
 
 
+def test_encoder_on_documents_and_random_texts():
+    import pyarrow.parquet as pq
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    e, tok = packing.Encoder(P.path(packing.TOKENIZER), P.path(packing.RANKS), P.PATTERN, added=True), Tokenizer.from_file(P.path(packing.TOKENIZER))
+    rng = np.random.default_rng(6)
+    plain = [chr(i) for i in (9, 10, *range(32, 127), *range(0xA1, 0x250), 0x2013, 0x2014, *range(0x2018, 0x201F), 0x20AC)]
+    common = list(" \n\tab'slt1.,")
+    random = ["".join(rng.choice(common if i % 2 else plain, 40)) for i in range(4000)]
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()] + random
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    assert all(e(t)[:-2] == np.array(w.ids, "<u2").tobytes() for t, w in zip(texts, want, strict=True))
+
+
 def test_op6_gives_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -627,6 +685,25 @@ def test_pipeline(spark, docs, texts):
     assert seen["packing"] == seen["mixing"] < seen["near_dedup"]
 
 
+@pytest.mark.parametrize("which", ["edge", "empty"])
+def test_pipeline_stages_on_edge_cases(spark, which, request):
+    import corpus_pipeline
+
+    df = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, SF)
+        if name == "packing":
+            assert {r["doc_id"] for r in got.collect()} == {r[0] for r in EDGE if which == "edge"}
+            continue
+        assert got.columns == df.columns
+        rows = Counter(tuple(r) for r in got.collect())
+        assert not rows - Counter(tuple(r) for r in df.collect())  # rows only ever leave
+        if name == "exact_dedup" and which == "edge":
+            assert {r[0] for r in rows} == {3, 4, 5, 6, 7, None}
+        if name == "near_dedup" and which == "edge":
+            assert {r[0] for r in rows} == {1, 2, 5, 6, 7, None}
+
+
 def test_oracles(spark):
     import duckdb
 
