@@ -32,16 +32,34 @@ def _body(record: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(record, r"^[^\n]*", ""), r"\n[ \t]*[#^@][^\n]*", ""), r"\s", "")
 
 
+def _fasta(rows: DataFrame) -> DataFrame:
+    """file, ord, title and seq of records (file, ord, r)."""
+    name = F.trim(F.translate(F.regexp_extract("r", r"^[^\n]*", 0), "_", " "))
+    seq = F.translate(_body(F.col("r")), "Uu", "Tt")
+    return rows.select("file", F.col("ord").cast("long").alias("ord"), F.when(name == "", "No name specified in file").otherwise(name).alias("title"), seq.alias("seq"))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_fasta(whole_files(spark, path))
+    """FASTA files of any size, as parse_fasta: Spark splits them at records, which are numbered by split.
+
+    A record's place is its place in its split after the records of the splits before.
+    """
+    where = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_name", "file"), ("file_path", "_path"), ("file_block_start", "_block"))]
+    rows = spark.read.option("lineSep", "\n>").text(path).select(*where, F.monotonically_increasing_id().alias("_id"), "value")
+    split = W.partitionBy("_path", "_block")
+    first = (F.col("_block") == 0) & (F.row_number().over(split.orderBy("_id")) == 1)
+    rows = rows.withColumn("text", F.concat(F.when(first, "").otherwise(">"), F.regexp_replace("value", "\r\n?", "\n")))
+    records = rows.select("file", "_path", "_block", "_id", F.posexplode(_records(F.col("text"))).alias("_k", "r"))
+    records = records.withColumn("_n", F.row_number().over(split.orderBy("_id", "_k")) - 1)
+    sizes = records.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_path", "_block", before.alias("_before"))
+    return _fasta(records.join(starts, ["_path", "_block"]).withColumn("ord", F.col("_before") + F.col("_n")))
 
 
 def parse_fasta(files: DataFrame) -> DataFrame:
     """FASTA: blank and # lines dropped, `_` in names as a space, U as T; unnamed records get a name."""
-    rows = files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
-    name = F.trim(F.translate(F.regexp_extract("r", r"^[^\n]*", 0), "_", " "))
-    seq = F.translate(_body(F.col("r")), "Uu", "Tt")
-    return rows.select("file", F.col("ord").cast("long").alias("ord"), F.when(name == "", "No name specified in file").otherwise(name).alias("title"), seq.alias("seq"))
+    return _fasta(files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r")))
 
 
 def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:

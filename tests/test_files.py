@@ -27,6 +27,25 @@ def test_fasta(spark, tmp_path):
     assert rows(readers.read_fasta(spark, p)) == [("Musca prima x", "ACGTac"), ("No name specified in file", "AA")]
 
 
+def test_fasta_split_within_files(spark, tmp_path):
+    for name, end in (("a.fas", "\n"), ("b.fas", "\r\n"), ("c.fas", "\r")):
+        lines = [f"{'  ' if i % 11 == 3 else ''}>name_{i}{end}ACGU{'A' * (i % 70)}{end}# note{end}ac{'g' * (i % 9)}" for i in range(300)]
+        (tmp_path / name).write_bytes((("" if name == "b.fas" else f"head{end}") + end.join(lines)).encode())
+    put(tmp_path, "d.fas", "")
+    whole = readers.parse_fasta(readers.whole_files(spark, str(tmp_path)))
+    want = sorted(map(tuple, whole.collect()))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        got = readers.read_fasta(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 900
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_mega(spark, tmp_path):
     p = put(tmp_path, "a.meg", '#mega\nTITLE "x"\n\n#b_c AC "note" GT\n#a AA\n#b_c TT\n')
     assert rows(readers.read_mega(spark, p)) == [("a", "AA"), ("b c", "ACGTTT")]
