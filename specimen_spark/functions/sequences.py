@@ -199,5 +199,8 @@ def with_planes(df: DataFrame, words: int, seq: str = "seq") -> DataFrame:
 
 
 def words_needed(df: DataFrame, seq: str = "seq") -> int:
-    longest = df.agg(F.max(F.length(seq))).first()[0] or 1
-    return max(1, -(-longest // WORD))
+    return words_of(df.agg(F.max(F.length(seq))).first()[0] or 1)
+
+
+def words_of(length: int) -> int:
+    return max(1, -(-length // WORD))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import MASK, PLANES, with_planes, words_needed
+from ..functions.sequences import MASK, PLANES, with_planes, words_needed, words_of
 
 SCALE = 100_000  # distances are equal when they agree in five decimals
 #: Sequences of more words than this are compared tile by tile in numpy.
@@ -89,9 +89,13 @@ def measured(pairs: DataFrame, words: int, method: str, min_overlap: int, keep:
     return out.withColumn("dist", dist).drop("_d").withColumn("bucket", F.floor(F.col("dist") * SCALE))
 
 
-def blocks_for(rows: DataFrame) -> int:
+def blocks_of(count: int, rows: DataFrame) -> int:
     """Blocks of at most about BLOCK_ROWS rows, and enough for a few tiles on each core."""
-    return max(math.ceil(rows.count() / BLOCK_ROWS), math.ceil(math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism)))
+    return max(math.ceil(count / BLOCK_ROWS), math.ceil(math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+def blocks_for(rows: DataFrame) -> int:
+    return blocks_of(rows.count(), rows)
 
 
 class _Planes:
@@ -145,24 +149,23 @@ def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_
     names = ["species", "genus"]
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", ignore_index=True)
-        planes, block, ord_ = _Planes(rows["seq"].tolist(), words), rows["block"].to_numpy(), rows["ord"].to_numpy()
-        same_tile = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        out = []
-        for k in range(len(rows) - 1):
-            later = np.arange(k + 1, len(rows))
-            if not same_tile:
-                later = later[block[later] != block[k]]
-            if scope == "inter_congeneric":
-                later = later[(rows["species_epithet"].to_numpy()[later] != rows["species_epithet"].iloc[k]) & rows["species_epithet"].notna().to_numpy()[later]] if pd.notna(rows["species_epithet"].iloc[k]) else later[:0]
-            if not len(later):
-                continue
-            overlap, dist = _compare(planes.row(k), planes.row(later), method)
+        rows = rows.sort_values(["block", "ord"], ignore_index=True)
+        planes, ord_, epithet = _Planes(rows["seq"].tolist(), words), rows["ord"].to_numpy(), rows["species_epithet"].to_numpy(dtype=object)
+        low, n, itself = int((rows["block"] == rows["lo"]).sum()), len(rows), rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for k in range(low):
+            # a block with itself: the rows behind; else the other block
+            start = k + 1 if itself else low
+            overlap, dist = _compare(planes.row(k), planes.row(slice(start, n)), method)
             valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
-            keep = valid if valid_only else np.ones(len(later), bool)
-            out.append((np.full(keep.sum(), k), later[keep], overlap[keep], np.where(valid, dist, np.nan)[keep]))
-        out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+            keep = valid if valid_only else np.ones(n - start, bool)
+            if scope == "inter_congeneric":
+                keep = keep & (epithet[start:] != epithet[k]) & pd.notna(epithet[start:]) & pd.notna(epithet[k])
+            at = np.flatnonzero(keep)
+            out.append((np.full(len(at), k), start + at, overlap[at], np.where(valid, dist, np.nan)[at]))
         x, y, overlap, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+        turned = ord_[x] > ord_[y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
         named = {n: rows[n].to_numpy(dtype=object) for n in names}
         made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": pd.Series(named[n][at], dtype=object) for n in names for s, at in (("a", x), ("b", y))}
         bucket = pd.Series(np.floor(dist * SCALE)).astype("Int64")
@@ -178,14 +181,14 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
     scope: all; intra (one species); inter_congeneric (one genus, two epithets).  Within a species
     or genus the same tiles split large groups.  Needs ord, seq, species, genus, species_epithet.
     """
-    words = words_needed(df)
     keys = {"all": [], "intra": ["species"], "inter_congeneric": ["genus"]}[scope]
     rows = df.select("ord", "seq", "species", "genus", "species_epithet")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     if valid_only and min_overlap > 0:  # an overlap can't exceed the shorter sequence
         rows = rows.where(F.length(F.regexp_replace("seq", "[?_]", "")) >= min_overlap)
-    blocks = blocks or blocks_for(rows)
+    count, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
+    words, blocks = words_of(longest), blocks or blocks_of(count, rows)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
     in_numpy = words > COLUMN_WORDS and method in ("uncorrected", "k2p", "transversions")
     if not in_numpy:
