@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .lists import draw
 from .pairs import blocks_for, measured
 from .storage import numbered
-from ..functions.sequences import with_planes, words_needed
+from ..functions.sequences import expand_ambiguity, with_planes, words_needed
 
 
 def loci_of(grid: DataFrame) -> DataFrame:
@@ -45,17 +45,32 @@ def grid_summary(grid: DataFrame) -> DataFrame:
     return grid.where("not cancelled").groupBy("taxon").agg(F.count(F.lit(1)).alias("loci"), F.sum("actual_length").alias("combined_length"))
 
 
-def grid_cells(grid: DataFrame) -> DataFrame:
-    """Every taxon at every locus: lengths, N and gap counts, and a status."""
+def grid_cells(grid: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """Every taxon at every locus: lengths, N and gap counts, and a status.
+
+    positions: codon positions (locus, pos 0 to 3); adds those that the locus has, 0 as N.
+    """
     every = grid.select("taxon").distinct().crossJoin(loci_of(grid).select("locus", "length"))
     cells = every.join(grid, ["locus", "taxon"], "left")
     status = F.when(F.col("seq").isNull(), "no data").when(F.col("cancelled"), "excised").otherwise("ok")
-    return cells.select("locus", "taxon", status.alias("status"), "actual_length", F.regexp_count("seq", F.lit("N")).alias("n_count"), F.regexp_count("seq", F.lit("-")).alias("indels"))
+    out = cells.select("locus", "taxon", status.alias("status"), "actual_length", F.regexp_count("seq", F.lit("N")).alias("n_count"), F.regexp_count("seq", F.lit("-")).alias("indels"))
+    if positions is None:
+        return out
+    label = F.when(F.col("pos") == 0, "N").otherwise(F.col("pos").cast("string"))
+    known = positions.groupBy("locus").agg(F.array_join(F.sort_array(F.collect_set(label)), ", ").alias("codon_positions"))
+    return out.join(known, "locus", "left")
 
 
 def concatenate(grid: DataFrame, mode: str = "complete") -> DataFrame:
-    """taxon and its sequence over all loci by name; complete fills absent cells with `?`."""
+    """taxon and its sequence over all loci by name; complete fills absent cells with `?`.
+
+    Where grid has a column `kind` and a taxon's cells are not all DNA, the ambiguity codes of those
+    that are become the bases they stand for, in brackets.
+    """
     present = grid.where("not cancelled")
+    if "kind" in grid.columns:
+        mixed = present.groupBy("taxon").agg(F.max(F.col("kind") != "DNA").alias("_mixed"))
+        present = present.join(mixed, "taxon").withColumn("seq", F.when(F.col("_mixed") & (F.col("kind") == "DNA"), expand_ambiguity(F.col("seq"))).otherwise(F.col("seq")))
     if mode == "complete":
         every = present.select("taxon").distinct().crossJoin(loci_of(grid).select("locus", "length"))
         present = every.join(present.select("locus", "taxon", "seq"), ["locus", "taxon"], "left").withColumn("seq", F.coalesce("seq", F.expr("repeat('?', length)")))
@@ -253,12 +268,19 @@ def correlation_influence(dists: DataFrame, top: int = 10, keys: list[str] | Non
     return cells.withColumn("place", rank).where(F.col("place") <= top).select(*keys, "locus", "taxon", "average_r", "place")
 
 
-def random_locus_groups(grid: DataFrame, size: int, replicates: int, delete: int = 0, protect: str | None = None, seed: int = 0) -> DataFrame:
-    """replicate, locus and its group of `size` loci; `delete` random taxa per group leave, one stays."""
+def random_locus_groups(grid: DataFrame, size: int, replicates: int, delete: int = 0, protect: str | None = None, seed: int = 0, include_na: bool = False) -> DataFrame:
+    """replicate, locus and its group of `size` loci; `delete` random taxa per group leave, one stays.
+
+    include_na: each taxon of a group gets a row of missing characters where it lacks one of its loci.
+    """
     loci = grid.select("locus").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     order = F.row_number().over(W.partitionBy("replicate").orderBy(draw(seed, "replicate", "locus"), "locus"))
     groups = loci.withColumn("group", F.floor((order - 1) / size))
     cells = grid.join(groups, "locus")
+    if include_na:
+        every = cells.select("replicate", "group", "taxon").distinct().join(groups, ["replicate", "group"]).join(loci_of(grid).select("locus", "length"), "locus")
+        missing = every.join(cells.select("replicate", "group", "locus", "taxon"), ["replicate", "group", "locus", "taxon"], "left_anti").withColumn("seq", F.expr("repeat('?', length)"))
+        cells = cells.unionByName(missing.drop("length"), allowMissingColumns=True)
     if not delete:
         return cells
     taxa = cells.select("replicate", "group", "taxon").distinct()

@@ -82,6 +82,19 @@ def grid_cells(spark, d):
     return grid.grid_cells(X.grid(spark, d))
 
 
+@query("grid_cells_codons", X.sql("""SELECT locus, taxon, CASE WHEN seq IS NULL THEN 'no data' WHEN cancelled THEN 'excised' ELSE 'ok' END AS status, actual_length, len(regexp_extract_all(seq, 'N')) AS n_count, len(regexp_extract_all(seq, '-')) AS indels, CASE locus WHEN 'locus1' THEN '1, 2, 3' WHEN 'locus2' THEN '1, N' END AS codon_positions
+  FROM (SELECT DISTINCT taxon FROM g) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN g USING (locus, taxon)""", *G))
+def grid_cells_codons(spark, d):
+    g = X.grid(spark, d)
+    positions = g.select("locus").distinct().select("locus", F.explode(F.expr("case locus when 'locus1' then array(1, 2, 3) when 'locus2' then array(0, 1) else array() end")).alias("pos"))
+    return grid.grid_cells(g, positions)
+
+
+@query("concatenate_mixed", X.sql("SELECT taxon, string_agg(coalesce(CASE WHEN mixed AND locus <> 'locus3' THEN replace(replace(seq, 'R', '[AG]'), 'N', '[ACTG]') ELSE seq END, repeat('?', 16)), '' ORDER BY locus) AS seq FROM (SELECT taxon, bool_or(locus = 'locus3') AS mixed FROM g WHERE NOT cancelled GROUP BY 1) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN (SELECT * FROM g WHERE NOT cancelled) USING (locus, taxon) GROUP BY taxon", *G))
+def concatenate_mixed(spark, d):
+    return grid.concatenate(X.grid(spark, d).withColumn("kind", F.when(F.col("locus") == "locus3", "STANDARD").otherwise("DNA")))
+
+
 @query("concatenate", X.sql("SELECT taxon, string_agg(coalesce(seq, repeat('?', 16)), '' ORDER BY locus) AS seq FROM (SELECT DISTINCT taxon FROM g WHERE NOT cancelled) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN (SELECT * FROM g WHERE NOT cancelled) USING (locus, taxon) GROUP BY taxon", *G))
 def concatenate(spark, d):
     return grid.concatenate(X.grid(spark, d))
@@ -236,6 +249,12 @@ def random_locus_groups(spark, d):
     return grid.random_locus_groups(X.grid(spark, d), 2, 3, 5, _reference(spark, d), 1).select("replicate", "group", "locus", "taxon")
 
 
+@query("random_locus_groups_na", X.sql("""SELECT replicate, "group", locus, taxon, coalesce(seq, repeat('?', 16)) AS seq FROM (SELECT DISTINCT replicate, "group", taxon FROM g JOIN gr USING (locus)) JOIN gr USING (replicate, "group") LEFT JOIN g USING (locus, taxon)""", *G,
+  """gr AS MATERIALIZED (SELECT replicate, locus, floor((row_number() OVER (PARTITION BY replicate ORDER BY md5('1|' || replicate || '|' || locus), locus) - 1) / 2)::BIGINT AS "group" FROM (SELECT DISTINCT locus FROM g), (SELECT unnest(range(1, 4))::INTEGER AS replicate))"""))
+def random_locus_groups_na(spark, d):
+    return grid.random_locus_groups(X.grid(spark, d), 2, 3, seed=1, include_na=True).select("replicate", "group", "locus", "taxon", "seq")
+
+
 SQL_SETS = "cs AS MATERIALIZED (SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, 'set' || label AS name, (min(vec_id) % 60)::INTEGER + 1 AS f, (min(vec_id) % 60)::INTEGER + 5 + (count(*) % 7)::INTEGER AS t FROM embeddings GROUP BY 1, 2)"
 
 
