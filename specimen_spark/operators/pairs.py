@@ -169,20 +169,23 @@ def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_
         named = {n: rows[n].to_numpy(dtype=object) for n in names}
         made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": pd.Series(named[n][at], dtype=object) for n in names for s, at in (("a", x), ("b", y))}
         bucket = pd.Series(np.floor(dist * SCALE)).astype("Int64")
-        return pd.DataFrame(made | {"overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
+        title = rows["title"].fillna("").to_numpy(dtype=object)
+        return pd.DataFrame(made | {"twins": (title[x] == title[y]).astype(bool), "overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
 
-    schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, overlap int, dist double, bucket long"
+    schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, twins boolean, overlap int, dist double, bucket long"
     return tiled.groupBy("lo", "hi", *keys).applyInPandas(compare, schema)
 
 
 def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int = 300, scope: str = "all", blocks: int | None = None, valid_only: bool = True) -> DataFrame:
-    """(a, b, species_a, species_b, overlap, dist, bucket) of pairs a < b by `ord`.
+    """(a, b, species_a, species_b, genus_a, genus_b, twins, overlap, dist, bucket) of pairs a < b by `ord`.
+
+    twins: both have the same title.
 
     scope: all; intra (one species); inter_congeneric (one genus, two epithets).  Within a species
-    or genus the same tiles split large groups.  Needs ord, seq, species, genus, species_epithet.
+    or genus the same tiles split large groups.  Needs ord, title, seq, species, genus, species_epithet.
     """
     keys = {"all": [], "intra": ["species"], "inter_congeneric": ["genus"]}[scope]
-    rows = df.select("ord", "seq", "species", "genus", "species_epithet")
+    rows = df.select("ord", "title", "seq", "species", "genus", "species_epithet")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     if valid_only and min_overlap > 0:  # an overlap can't exceed the shorter sequence
@@ -203,7 +206,7 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
     if scope == "inter_congeneric":
         on.append(F.col("x.species_epithet") != F.col("y.species_epithet"))
     joined = x.join(y, reduce(lambda a, b: a & b, on))
-    out = measured(joined, words, method, min_overlap, ["x.ord as a", "y.ord as b", "x.species as species_a", "y.species as species_b", "x.genus as genus_a", "y.genus as genus_b"])
+    out = measured(joined, words, method, min_overlap, ["x.ord as a", "y.ord as b", "x.species as species_a", "y.species as species_b", "x.genus as genus_a", "y.genus as genus_b", "x.title <=> y.title as twins"])
     return out.where("dist is not null") if valid_only else out
 
 
@@ -244,6 +247,11 @@ def query_distances(queries: DataFrame, reference: DataFrame, method: str = "unc
     return out.where("dist is not null").withColumn("mismatches", F.round(F.col("dist") * F.col("overlap")).cast("int"))
 
 
+def times(pairs: DataFrame) -> Column:
+    """How often a pair counts in a distribution: sequences of one species and one title count twice."""
+    return F.when((F.col("species_a") == F.col("species_b")) & F.col("twins"), 2).otherwise(1)
+
+
 def place_in_distributions(distances: DataFrame, intra: DataFrame, inter: DataFrame) -> DataFrame:
     """Adds to distances (dist) the share of pairs within species that are farther apart, and of pairs
     between species that are closer, in percent.
@@ -253,7 +261,7 @@ def place_in_distributions(distances: DataFrame, intra: DataFrame, inter: DataFr
     wanted = distances.select("dist").where("dist is not null").distinct().select("dist", F.lit(0).alias("n"))
 
     def share(pairs: DataFrame, name: str, below: bool) -> DataFrame:
-        counts = pairs.groupBy("dist").agg(F.count(F.lit(1)).alias("n")).unionByName(wanted).groupBy("dist").agg(F.sum("n").alias("n"))
+        counts = pairs.groupBy("dist").agg(F.sum(times(pairs)).alias("n")).unionByName(wanted).groupBy("dist").agg(F.sum("n").alias("n"))
         order = W.orderBy(F.asc("dist") if below else F.desc("dist")).rowsBetween(W.unboundedPreceding, -1)
         total = F.sum("n").over(W.partitionBy())
         return counts.select("dist", F.round(F.try_divide(F.lit(100.0) * F.coalesce(F.sum("n").over(order), F.lit(0)), total), 6).alias(name))

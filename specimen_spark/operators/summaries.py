@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .pairs import times
 from .storage import store
 
 
@@ -37,7 +38,7 @@ def species_totals(df: DataFrame, per_species: DataFrame, min_overlap: int) -> D
 
 def distance_counts(pairs: DataFrame) -> DataFrame:
     """(dist, n): how many pairs have each distance, stored; what is asked of distributions follows from it."""
-    return store(pairs.groupBy("dist").agg(F.count(F.lit(1)).alias("n")))
+    return store(pairs.groupBy("dist").agg(F.sum(times(pairs)).alias("n")))
 
 
 def cumulated(counts: DataFrame, ascending: bool = True) -> DataFrame:

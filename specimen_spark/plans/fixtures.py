@@ -107,8 +107,8 @@ c AS MATERIALIZED (
 #: Valid pairs by the uncorrected method.
 SQL_PAIRS = f"""
 pr AS MATERIALIZED (
-  SELECT a, b, species_a, species_b, genus_a, genus_b, overlap, 1.0::DOUBLE - same::DOUBLE / overlap AS dist, floor((1.0::DOUBLE - same::DOUBLE / overlap) * 100000)::BIGINT AS bucket
-  FROM (SELECT x.ord AS a, y.ord AS b, any_value(x.species) AS species_a, any_value(y.species) AS species_b, any_value(x.genus) AS genus_a, any_value(y.genus) AS genus_b,
+  SELECT a, b, species_a, species_b, genus_a, genus_b, twins, overlap, 1.0::DOUBLE - same::DOUBLE / overlap AS dist, floor((1.0::DOUBLE - same::DOUBLE / overlap) * 100000)::BIGINT AS bucket
+  FROM (SELECT x.ord AS a, y.ord AS b, any_value(x.species) AS species_a, any_value(y.species) AS species_b, any_value(x.genus) AS genus_a, any_value(y.genus) AS genus_b, any_value(x.title) = any_value(y.title) AS twins,
       sum(CASE WHEN (x.m > 0 AND y.m > 0) OR (x.i AND (y.m > 0 OR y.i)) OR (y.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap,
       sum(CASE WHEN (x.m & y.m) > 0 OR (x.i AND y.i) THEN 1 ELSE 0 END)::INTEGER AS same
     FROM c x JOIN c y ON x.pos = y.pos AND x.ord < y.ord GROUP BY x.ord, y.ord)

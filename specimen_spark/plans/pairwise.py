@@ -176,7 +176,7 @@ def species_totals(spark, d):
     (SELECT count(*) FROM dd WHERE dist BETWEEN min_inter AND max_intra) AS inside, (SELECT count(*) FROM dd WHERE dist BETWEEN trimmed_inter AND trimmed_intra) AS inside_trimmed
   FROM (SELECT min(dist) FILTER (k = 'intra') AS min_intra, max(dist) FILTER (k = 'intra') AS max_intra, count(*) FILTER (k = 'intra') AS n_intra, min(dist) FILTER (k = 'inter') AS min_inter, max(dist) FILTER (k = 'inter') AS max_inter, count(*) FILTER (k = 'inter') AS n_inter,
       coalesce(min(dist) FILTER (k = 'intra' AND 20 * down < n), max(dist) FILTER (k = 'intra')) AS trimmed_intra, max(dist) FILTER (k = 'inter' AND (up = 1 OR 20 * (up - 1) < n)) AS trimmed_inter FROM dd) o)""", *PAIRS,
-    "dd AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY dist) AS up, row_number() OVER (PARTITION BY k ORDER BY dist DESC) AS down FROM (SELECT dist, CASE WHEN species_a = species_b THEN 'intra' ELSE 'inter' END AS k FROM pr WHERE species_a = species_b OR (genus_a = genus_b AND species_a <> species_b)))"))
+    "dd AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY dist) AS up, row_number() OVER (PARTITION BY k ORDER BY dist DESC) AS down FROM (SELECT dist, CASE WHEN species_a = species_b THEN 'intra' ELSE 'inter' END AS k, unnest(range(CASE WHEN species_a = species_b AND twins THEN 2 ELSE 1 END)) AS copy FROM pr WHERE species_a = species_b OR (genus_a = genus_b AND species_a <> species_b)))"))
 def pairwise_summary(spark, d):
     return summaries.pairwise_summary(valid(spark, d, scope="intra"), valid(spark, d, scope="inter_congeneric"))
 
@@ -188,12 +188,12 @@ def distance_histogram(spark, d):
 
 @query("standard_tables", X.sql("""SELECT k AS kind, hi AS "to", step, bin, n, sum(n) OVER (PARTITION BY k, hi, step ORDER BY bin DESC)::BIGINT AS cumulative FROM (SELECT k, hi, step, bin::INTEGER AS bin, (SELECT coalesce(sum(n), 0)::BIGINT FROM ct WHERE ct.k = t.k AND CASE WHEN bin = 0 THEN dist <= 0.0 WHEN bin = steps + 1 THEN dist > hi ELSE dist >= (0.0 + 1e-6)::DOUBLE + step * (bin - 1) AND dist <= (0.0 + 1e-6)::DOUBLE + step * bin END) AS n
   FROM (SELECT k, hi::DOUBLE AS hi, step::DOUBLE AS step, steps, unnest(range(steps + 2)) AS bin FROM (VALUES ('intra'), ('inter')) a(k), (VALUES (0.2, 0.005, 40), (0.3, 0.01, 30), (1.0, 0.05, 20)) b(hi, step, steps)) t)""", *PAIRS,
-    "ct AS MATERIALIZED (SELECT dist, CASE WHEN species_a = species_b THEN 'intra' ELSE 'inter' END AS k, count(*) AS n FROM pr WHERE species_a = species_b OR (genus_a = genus_b AND species_a <> species_b) GROUP BY 1, 2)"))
+    "ct AS MATERIALIZED (SELECT dist, CASE WHEN species_a = species_b THEN 'intra' ELSE 'inter' END AS k, sum(CASE WHEN species_a = species_b AND twins THEN 2 ELSE 1 END) AS n FROM pr WHERE species_a = species_b OR (genus_a = genus_b AND species_a <> species_b) GROUP BY 1, 2)"))
 def standard_tables(spark, d):
     return summaries.standard_tables(valid(spark, d, scope="intra"), valid(spark, d, scope="inter_congeneric"), "backward")
 
 
-@query("place_in_distributions", X.sql("""SELECT q, m, dist, round(100.0 * (SELECT count(*) FROM pr p WHERE p.species_a = p.species_b AND p.dist > mir.dist) / (SELECT count(*) FROM pr p WHERE p.species_a = p.species_b), 6) AS intra_farther,
+@query("place_in_distributions", X.sql("""SELECT q, m, dist, round(100.0 * (SELECT count(*) + count(*) FILTER (p.twins) FROM pr p WHERE p.species_a = p.species_b AND p.dist > mir.dist) / (SELECT count(*) + count(*) FILTER (p.twins) FROM pr p WHERE p.species_a = p.species_b), 6) AS intra_farther,
   round(100.0 * (SELECT count(*) FROM pr p WHERE p.genus_a = p.genus_b AND p.species_a <> p.species_b AND p.dist < mir.dist) / (SELECT count(*) FROM pr p WHERE p.genus_a = p.genus_b AND p.species_a <> p.species_b), 6) AS inter_closer FROM mir WHERE q % 50 = 0""", *PAIRS))
 def place_in_distributions(spark, d):
     s = X.sequences(spark, d)
