@@ -69,11 +69,12 @@ def with_next(docs: DataFrame, block_bits: int = 7) -> DataFrame:
     The document with the smallest id is followed by the one with the largest.  Ids are dealt out
     in blocks of 2**block_bits, so that each text is shuffled once; only the first document of a
     block looks for its follower in another block, through a table of blocks and, above it, one of
-    superblocks.  Rows with equal ids are ordered by text.
+    superblocks.  Rows with equal ids are ordered by text; rows without an id come last, in blocks by a
+    hash of their text.
     """
     docs = docs.select("doc_id", body().alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    block = F.coalesce(F.shiftright("doc_id", block_bits), F.lit(-(2**62)))
+    block = F.coalesce(F.shiftright("doc_id", block_bits), F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(1 << 10)))
     rows = W.partitionBy("_b").orderBy(*order)
     inside = docs.withColumn("_b", block).withColumn("_next", F.lead("text").over(rows)).withColumn("_n", F.row_number().over(rows))
     # the text that leads each block; the window's shuffle is used again
