@@ -356,6 +356,13 @@ def test_next_documents(spark, edge, empty):
     assert fingerprints.with_next(edge).count() == len(EDGE) and fingerprints.with_next(empty).count() == 0
 
 
+def test_rows_without_ids_follow_each_other(spark):
+    df = spark.createDataFrame([(None if i % 2 else i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    got = {r["text"]: r["next_text"] for r in fingerprints.with_next(df).collect()}
+    assert len(got) == 400 and sorted(got) == sorted(got.values())  # one ring through all rows
+    assert all(got[f"t{i}"] == f"t{i - 2}" for i in range(2, 400, 2))
+
+
 def test_spots_by_hand(spark):
     df = spark.createDataFrame([("The quick fox of the brown dog", )], "text string")
     want = ["^ the quick fox", "the quick fox brown", "of brown dog", "the brown dog"]
