@@ -44,8 +44,11 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def lacking(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index lacks, by an anti-join that reads its buckets in place."""
-        return groups.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+        """The groups whose digest the index lacks, by an anti-join that reads its buckets in place.
+
+        Groups are stored first: Spark would else move the anti-join before the aggregate, to single rows.
+        """
+        return store(groups, "groups").join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
         """Adds groups that the index lacks."""
