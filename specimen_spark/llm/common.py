@@ -76,6 +76,14 @@ def fresh_table(name: str) -> str:
     return name
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes df once as a table in the shared folder, bucketed by key: later joins by key don't move its rows."""
+    spark, name = df.sparkSession, fresh_table(name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", fresh_path(spark, name)).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Deletes the intermediate files and tables of this session's operators.
 

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_table, store, table, tidy, unzipped, zipped
@@ -223,10 +223,13 @@ def chunked(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def later_copies(chunks: DataFrame) -> DataFrame:
-    """(chunk, copies): the rows whose text of 50 bytes or more a row with a smaller id has too."""
-    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "known", "sizes", "digests")).alias("at", "r"))
-    rows = rows.select("chunk", "at", F.col("r.ids").alias("id"), F.col("r.digests").alias("sha")).where(f"r.known and r.sizes >= {LEAST}")
+def later_copies(chunks: DataFrame, counts: Column | None = None, *more: str) -> DataFrame:
+    """(chunk, copies): the rows whose text a row with a smaller id has too, of those that count: by default of 50 bytes or more.
+
+    more: further columns of the rows that `counts` looks at.
+    """
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "known", "sizes", "digests", *more)).alias("at", "r"))
+    rows = rows.where(F.col("r.known") & (F.col("r.sizes") >= LEAST if counts is None else counts)).select("chunk", "at", F.col("r.ids").alias("id"), F.col("r.digests").alias("sha"))
     first = store(rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first"), "copied")
     return rows.join(first.hint("merge"), "sha").where("id > first").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
 
