@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, fingerprints, lexical, lm_scoring, mixing, near_dedup, packing, quality, repeats, substrings, toxicity, wrappers
+from . import conversations, exact_dedup, fingerprints, lexical, lm_scoring, mixing, near_dedup, packing, quality, repeats, substrings, toxicity, wrappers
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_substrings": substrings.op11_substrings,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_lexical_search": lexical.op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
