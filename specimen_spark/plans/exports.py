@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pairs
 from ..sources import flatfile, readers, writers
 from . import fixtures as X
-from .files import FLAT, NAME, NEXUS, PLAIN, SETS, _files, _loci
+from .files import FLAT, NAME, NEXUS, PLAIN, SETS, _files, _loci, greedy
 
 QUERIES, ORACLE_SQL = {}, {}
 NL = "chr(10)"
@@ -104,8 +104,8 @@ def by_locus_lines(spark, d):
     return writers.by_locus_lines(X.grid(spark, d), include_na=True, allow_cancelled=True)
 
 
-@query("custom_lines", X.sql("""SELECT coalesce(family, 'none') AS family, ord, '%' || n || CASE WHEN k > 1 THEN '_' || k ELSE '' END || chr(9) || t AS line FROM (SELECT *, left(concat_ws(' ', species, gi), 12) AS n, row_number() OVER (PARTITION BY left(concat_ws(' ', species, gi), 12) ORDER BY ord) AS k FROM t)
-  UNION ALL SELECT f, o, x FROM (SELECT DISTINCT coalesce(family, 'none') AS f FROM s), (VALUES (-1, 'begin'), (4611686018427387904, 'end')) v(o, x)""", T))
+@query("custom_lines", X.sql("""SELECT coalesce(family, 'none') AS family, ord, '%' || name || chr(9) || t AS line FROM t JOIN go USING (ord)
+  UNION ALL SELECT f, o, x FROM (SELECT DISTINCT coalesce(family, 'none') AS f FROM s), (VALUES (-1, 'begin'), (4611686018427387904, 'end')) v(o, x)""", T, greedy("concat_ws(' ', species, gi)", 12, "substr(b, 1, 8)")).replace("WITH", "WITH RECURSIVE", 1))
 def custom_lines(spark, d):
     return writers.custom_lines(X.sequences(spark, d), "species_gi", 12, False, "%", head="begin", foot="end")
 
@@ -136,11 +136,50 @@ def flatfile_lines(spark, d):
     return writers.flatfile_lines(_loci(spark, d))
 
 
-@query("load_grid", X.sql("""SELECT locus, taxon, ord, t AS seq, length(regexp_replace(t, '[_?]', '', 'g'))::INTEGER AS actual_length, false AS cancelled FROM (SELECT 'f' || ord // 100 || v.suffix AS locus, CASE v.suffix WHEN '' THEN 'T ' || lpad(ord::VARCHAR, 8, '0') ELSE title END AS taxon, row_number() OVER (PARTITION BY v.suffix, ord // 100 ORDER BY ord) - 1 AS ord, t FROM t, (VALUES (''), ('_2')) v(suffix)) WHERE length(regexp_replace(t, '[_?]', '', 'g')) > 0""", T))
-def load_grid(spark, d):
+#: What four files hold for each hundred sequences: a Nexus file, FASTA files of the same name and of the name that this
+#: one would get, and a dump.  Every seventh FASTA row is cut short, every fifth comes twice, first with fewer bases.
+LOADED = """fl AS MATERIALIZED (
+  SELECT 'f' || ord // 100 || '.nex' AS file, 'T ' || lpad(ord::VARCHAR, 8, '0') AS taxon, NULL AS named, ord AS k, seq, false AS cancelled FROM s
+  UNION ALL SELECT 'f' || ord // 100 || '.txt', title, NULL, ord * 2 + c, CASE WHEN ord % 7 = 1 THEN substr(seq, 1, 60) WHEN ord % 5 = 0 AND c = 0 THEN substr(seq, 1, 20) || repeat('?', 44) ELSE seq END, false FROM s, (VALUES (0), (1)) v(c) WHERE c = 1 OR ord % 5 = 0
+  UNION ALL SELECT 'f' || ord // 100 || '_2.fas', title, NULL, ord, seq, false FROM s WHERE ord % 3 = 0
+  UNION ALL SELECT 'q' || ord // 100 || '.seq', coalesce(species, 'none'), CASE WHEN ord % 2 = 0 THEN 'f' || ord // 100 ELSE 'dump' END, ord, seq, ord % 4 = 0 FROM s),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY k) - 1 AS ord, length(regexp_extract(translate(seq, '_', '-'), '^[-?]*')) AS lead FROM fl),
+n2 AS (SELECT *, CASE WHEN lead = length(seq) THEN translate(seq, '-', '_') ELSE translate(seq[:lead], '-', '_') || translate(seq[lead + 1:], '_', '-') END AS s1 FROM n1),
+n3 AS (SELECT *, length(regexp_extract(s1, '[-?]*$')) AS tail FROM n2),
+cell AS (SELECT file, taxon, ord, cancelled, coalesce(named, CASE WHEN file LIKE '%.nex' THEN split_part(file, '.', 1) ELSE split_part(file, '.', 1) || '_2' END) AS locus,
+  s1[:length(s1) - tail] || translate(s1[length(s1) - tail + 1:], '-', '_') AS seq FROM n3),
+long AS (SELECT *, length(regexp_replace(seq, '[_?]', '', 'g'))::INTEGER AS actual_length FROM cell),
+fixed AS (SELECT *, first(length(seq)) OVER (PARTITION BY locus ORDER BY file, ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS len FROM long WHERE actual_length > 0),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY locus, taxon ORDER BY length(seq) = len DESC, actual_length DESC, file DESC, ord DESC) AS r FROM fixed)"""
+
+
+def _loaded(spark, d):
     nexus = _files(spark, d, f"concat({NAME}, ' ', {PLAIN})", NEXUS, SETS).withColumn("file", F.regexp_replace("file", "txt$", "nex"))
-    fasta = _files(spark, d, f"concat('>', title, '\n', {PLAIN})")
-    return readers.grid_of(readers.parse_any(nexus.unionByName(fasta)))
+    cut = f"if(ord % 7 = 1, substring({PLAIN}, 1, 60), {PLAIN})"
+    twice = f"if(ord % 5 = 0, concat('>', title, '\n', if(ord % 7 = 1, substring({PLAIN}, 1, 60), concat(substring({PLAIN}, 1, 20), repeat('?', 44))), '\n'), '')"
+    fasta = _files(spark, d, f"concat({twice}, '>', title, '\n', {cut})")
+    second = _files(spark, d, f"if(ord % 3 = 0, concat('>', title, '\n', {PLAIN}), '')").withColumn("file", F.regexp_replace("file", "[.]txt$", "_2.fas"))
+    dump = _files(spark, d, f"concat('>x', ord, '\n^g.colname ', if(ord % 2 = 0, concat('f', cast(ord div 100 as string)), 'dump'), '\n^g.seqname ', coalesce(species, 'none'), if(ord % 4 = 0, '\n^g.cancelled', ''), '\n', {PLAIN})", "#sequences\n")
+    dump = dump.withColumn("file", F.regexp_replace(F.translate("file", "f", "q"), "txt$", "seq"))
+    return readers.parse_any(nexus.unionByName(fasta).unionByName(second).unionByName(dump))
+
+
+@query("load_grid", X.sql("SELECT locus, taxon, ord, seq, actual_length, cancelled FROM placed WHERE r = 1 AND length(seq) = len", LOADED))
+def load_grid(spark, d):
+    return readers.grid_of(_loaded(spark, d))
+
+
+@query("load_grid_refused", X.sql("SELECT locus, taxon, file, ord, CASE WHEN length(seq) < len THEN 'too short' WHEN length(seq) > len THEN 'too long' ELSE 'shorter or earlier' END AS reason FROM placed WHERE length(seq) <> len OR r > 1", LOADED))
+def load_grid_refused(spark, d):
+    return readers.filled(_loaded(spark, d))[1]
+
+
+@query("reload_grid", X.sql("SELECT locus, taxon, s3 AS seq, length(regexp_replace(s3, '[_?]', '', 'g'))::INTEGER AS actual_length, cancelled FROM (SELECT *, s2[:length(s2) - tail] || translate(s2[length(s2) - tail + 1:], '-', '_') AS s3 FROM (SELECT *, length(regexp_extract(s2, '[-_?]*$')) AS tail FROM (SELECT *, translate(seq[:lead], '-', '_') || seq[lead + 1:] AS s2 FROM (SELECT *, length(regexp_extract(seq, '^[-_?]*')) AS lead FROM g))))", X.SQL_GRID))
+def reload_grid(spark, d):
+    """The dump of a grid is the grid again, but for gaps at the ends of a cell, which are missing."""
+    lines = writers.sequences_lines(X.grid(spark, d)).groupBy(F.lit("dump.txt").alias("file"), F.col("locus").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    texts = lines.where("part <> ''").select(F.concat("part", F.lit(".txt")).alias("file"), F.concat(F.lit("#sequences\n"), "text").alias("text"))
+    return readers.grid_of(readers.parse_any(texts)).drop("ord")
 
 
 @query("combine_features", X.sql("SELECT feature, 2 * count(*) AS n FROM s, (VALUES ('gene'), ('CDS'), ('misc')) f(feature) GROUP BY feature"))

@@ -132,9 +132,33 @@ def alignment_lines(spark, d):
     return writers.export_for_alignment(X.sequences(spark, d))
 
 
-@query("unique_names", X.sql("SELECT ord, n || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM (SELECT ord, replace(coalesce(species, 'none'), ' ', '_') AS n, row_number() OVER (PARTITION BY coalesce(species, 'none') ORDER BY ord) AS k FROM s)"))
+#: Names of ten sequences each, of which some look like the numbered names of others; cut to 12 characters.
+_BASE = "substr(translate(coalesce(species, 'none'), ' ', '_'), 1, 9) || CASE WHEN ord % 4 = 1 THEN '_2' WHEN ord % 9 = 2 THEN '_3' WHEN ord % 10 = 7 THEN '_2_2' ELSE '' END"
+
+
+def greedy(base: str, most: int, root: str) -> str:
+    """Name after name in list order, by recursion over the rows of a family; the names given so far come along."""
+    cut = f"substr(b, 1, {most} - length(n::VARCHAR) - 1)"
+    return f"""b0 AS MATERIALIZED (SELECT ord, substr({base}, 1, {most}) AS b FROM s), fam AS MATERIALIZED (SELECT *, {root} AS root FROM b0),
+line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord) AS i FROM fam),
+go AS (SELECT root, i, ord, b AS name, [b] AS taken FROM line WHERE i = 1
+  UNION ALL SELECT root, i, ord, name, list_append(taken, name) FROM (SELECT l.root, l.i, l.ord, g.taken, CASE WHEN NOT list_contains(g.taken, l.b) THEN l.b ELSE list_filter(list_transform(range(2, l.i + 2), lambda n: {cut.replace('b,', 'l.b,')} || '_' || n), lambda x: NOT list_contains(g.taken, x))[1] END AS name
+    FROM go g JOIN line l ON l.root = g.root AND l.i = g.i + 1))"""
+
+
+@query("unique_names", X.sql("SELECT ord, name FROM go", greedy(_BASE, 14, "CASE WHEN b LIKE 'none%' THEN 'none' ELSE substr(b, 1, 8) END")).replace("WITH", "WITH RECURSIVE", 1))
 def unique_names(spark, d):
-    return writers.unique_names(X.sequences(spark, d), F.regexp_replace(F.coalesce("species", F.lit("none")), r"[^\w]+", "_")).select("ord", "name")
+    return writers.unique_names(X.sequences(spark, d), F.expr(_BASE), 14).select("ord", "name")
+
+
+@query("parse_nexus_symbols", _sql())
+def parse_nexus_symbols(spark, d):
+    """Files that write gaps and missing characters the other way round, or by other signs."""
+    three = "translate(translate(seq, '_', '-'), '-?', if((ord div 100) % 3 = 1, '?-', if((ord div 100) % 3 = 2, '.!', '-?')))"
+    files = _files(spark, d, f"concat({NAME}, ' ', {three})", NEXUS, SETS)
+    kind = F.pmod(F.regexp_extract("file", r"(\d+)", 1).cast("int"), F.lit(3))
+    text = F.when(kind == 1, F.replace("text", F.lit("MISSING=? GAP=-"), F.lit("MISSING=- GAP=?"))).when(kind == 2, F.replace("text", F.lit("MISSING=? GAP=-"), F.lit("GAP=. MISSING=!"))).otherwise(F.col("text"))
+    return readers.parse_nexus(files.withColumn("text", text))[0]
 
 
 @query("restore_titles", X.sql("SELECT ord, title FROM s"))

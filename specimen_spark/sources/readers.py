@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.sequences import collapse_groups, mark_external
+from ..operators.names import first_free_names
+
 
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file (name without folders) and its text with plain line ends."""
@@ -144,7 +147,7 @@ def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     quoted = F.regexp_extract("line", r"^\s*'([^']*)'", 1)
     name = F.translate(F.when(quoted != "", quoted).otherwise(F.regexp_extract("line", r"^\s*(\S+)", 1)), "_", " ")
     data = _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*('[^']*'|\S+)", ""), r"\s", ""))
-    data = F.replace(F.replace(data, F.col("gap"), F.lit("-")), F.col("missing"), F.lit("?"))
+    data = F.call_function("translate", data, F.concat("gap", "missing"), F.lit("-?"))
     sequences = _numbered(_interleaved(rows.select("file", "n", name.alias("name"), data.alias("data"))), ["at"])
 
     interval = r"(\d+)\s*(?:-\s*(\d+|\.))?\s*(?:\\\s*(\d+))?"
@@ -214,29 +217,65 @@ def read_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_any(files: DataFrame) -> DataFrame:
+    """file, format, ord, title, seq, and what `#sequences` dumps say of a cell: locus_override, taxon_override, cancelled."""
     files = files.withColumn("format", file_format())
     of = lambda kind: files.where(F.col("format") == kind)
     found = {"fasta": parse_fasta(of("fasta")), "nexus": parse_nexus(of("nexus"))[0], "tnt": parse_tnt(of("tnt"))[0], "mega": parse_mega(of("mega")), "sequences": parse_sequences(of("sequences"))}
     out = None
     for kind, df in found.items():
-        part = df.select("file", F.lit(kind).alias("format"), "ord", "title", "seq")
+        if kind != "sequences":
+            df = df.select("*", F.lit(None).cast("string").alias("locus_override"), F.lit(None).cast("string").alias("taxon_override"), F.lit(False).alias("cancelled"))
+        part = df.select("file", F.lit(kind).alias("format"), "ord", "title", "seq", "locus_override", "taxon_override", "cancelled")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def unique_loci(files: DataFrame) -> DataFrame:
-    """file and locus: the file's name without its ending; a name that came before gets _2, _3, ... by file."""
-    names = files.select("file").distinct().withColumn("locus", locus_name(F.col("file")))
-    place = F.row_number().over(W.partitionBy("locus").orderBy("file"))
-    return names.withColumn("_k", place).select("file", F.when(F.col("_k") > 1, F.concat("locus", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("locus")).alias("locus"))
+    """file and locus: the file's name without its ending, or the first free of its _2, _3, ...; files go by name.
+
+    Where rows name their locus themselves (locus_override), that name is taken for the files behind.
+    """
+    if "locus_override" not in files.columns:
+        files = files.withColumn("locus_override", F.lit(None).cast("string"))
+    own = files.select("file", "locus_override").distinct()
+    own = own.select("file", F.coalesce("locus_override", locus_name(F.col("file"))).alias("base"), F.col("locus_override").isNotNull().alias("forced"))
+    # a file's own name is settled before what its rows name, so the key holds both
+    key = F.struct("file", F.col("forced").alias("f"), "base").alias("key")
+    names = first_free_names(own.select(key, "base", "forced"), F.col("base"), "key", forced=F.col("forced"))
+    return names.where("not at.f").select("at.file", F.col("name").alias("locus"))
+
+
+def filled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grid, refused rows with their reason) from file, title, ord and seq of files, in order of files and rows.
+
+    Each file is a locus; rows may name their locus and taxon and be cancelled themselves.  Outer gaps
+    count as missing and rows without a base are left out.  The first row fixes a locus' length; others of
+    another length are refused.  Of rows with one taxon the longest stays, of equal ones the last; the
+    others are listed as dropped.
+    """
+    for c, kind in (("locus_override", "string"), ("taxon_override", "string"), ("cancelled", "boolean")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    cells = rows.join(unique_loci(rows), "file", "left").select(
+        F.coalesce("locus_override", "locus").alias("locus"), F.coalesce("taxon_override", "title").alias("taxon"), "file", "ord", mark_external(collapse_groups(F.upper("seq"))).alias("seq"), F.coalesce("cancelled", F.lit(False)).alias("cancelled")
+    ).withColumn("actual_length", F.regexp_count("seq", F.lit("[^_?]"))).where("actual_length > 0")
+    cells = cells.withColumn("_n", F.length(F.regexp_replace("seq", r"\[[^\]]*\]", "N")))  # alternatives are one position
+    lengths = cells.groupBy("locus").agg(F.min_by("_n", F.struct("file", "ord")).alias("_len"))
+    cells = cells.join(lengths, "locus")
+    fits = cells.where("_n = _len")
+    best = fits.groupBy("locus", "taxon").agg(F.max_by(F.struct("file", "ord", "seq", "actual_length", "cancelled"), F.struct("actual_length", "file", "ord")).alias("b"))
+    grid = best.select("locus", "taxon", "b.ord", "b.seq", "b.actual_length", "b.cancelled")
+    lost = fits.join(best.select("locus", "taxon", F.col("b.file").alias("_f"), F.col("b.ord").alias("_o")), ["locus", "taxon"]).where("file <> _f or ord <> _o").withColumn("reason", F.lit("shorter or earlier"))
+    refused = cells.where("_n <> _len").withColumn("reason", F.when(F.col("_n") < F.col("_len"), "too short").otherwise("too long"))
+    columns = ["locus", "taxon", "file", "ord", "reason"]
+    return grid, refused.select(*columns).unionByName(lost.select(*columns))
 
 
 def grid_of(rows: DataFrame) -> DataFrame:
-    """A grid with one locus for each file, from file, title, ord and seq; empty rows are left out."""
-    out = rows.join(unique_loci(rows), "file").select("locus", F.col("title").alias("taxon"), "ord", F.upper("seq").alias("seq"))
-    return out.withColumn("actual_length", F.regexp_count("seq", F.lit("[^_?]"))).withColumn("cancelled", F.lit(False)).where("actual_length > 0")
+    """The grid of files (file, title, ord, seq): see filled()."""
+    return filled(rows)[0]
 
 
 def load_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """locus, taxon, ord, seq, actual_length, cancelled: one locus for each file."""
+    """locus, taxon, ord, seq, actual_length, cancelled: see filled()."""
     return grid_of(read_any(spark, path))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.charsets import combine_intervals
 from ..operators.grid import charset_ranges, concatenate, taxonsets
+from ..operators.names import first_free_names
 from ..operators.storage import numbered
 from .flatfile import with_minimum_species
 
@@ -35,10 +36,8 @@ def refuse_cancelled(grid: DataFrame, allow: bool = False) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: Column, most: int = 0) -> DataFrame:
-    """Adds `name`, cut to `most` characters; a name that came before gets _2, _3, ... in list order."""
-    n = F.substring(name, 1, most) if most else name
-    out = df.withColumn("name", n).withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy("ord")))
-    return out.withColumn("name", F.when(F.col("_k") > 1, F.concat("name", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("name"))).drop("_k")
+    """Adds `name`, cut to `most` characters; one that a row before has gets the first free of _2, _3, ..., within `most`."""
+    return df.join(first_free_names(df, name, "ord", most), df["ord"].eqNullSafe(F.col("at"))).drop("at")
 
 
 def fasta_lines(df: DataFrame) -> DataFrame:
