@@ -36,7 +36,7 @@ from .repeats import _double, _joined, _unzip_sorted, _zip_sorted, firsts, later
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text that are one chunk, that are hashed at a time, and that make one range of hashes.
-CHUNK, SLICE, PART = 16 << 20, 1 << 20, 32 << 20
+CHUNK, SLICE, PART = 8 << 20, 1 << 20, 32 << 20
 #: Multipliers of the two independent hashes of a run of words.
 LANES = ((MIX_A, MIX_B), (MIX_B ^ np.uint64(0x5851F42D4C957F2C), MIX_A ^ np.uint64(0x14057B7EF767814E)))
 
