@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charsets, clusters, consensus, grid
+from ..operators import charsets, clusters, consensus, grid, near
 from . import fixtures as X
 from .lists import CLASS
 from .pairwise import PAIRS, valid
@@ -48,6 +48,13 @@ def clusters_query(spark, d):
     return _found(spark, d)
 
 
+@query("near_clusters", _sql("SELECT ord, cluster FROM cl"))
+def near_clusters(spark, d):
+    """By segments, not by comparing all pairs."""
+    s = X.sequences(spark, d)
+    return clusters.clusters(s, near.near_links(s, 0.03, X.MIN_OVERLAP), 0.03)
+
+
 @query("cluster_report", _sql("""SELECT cluster, size, species, max_dist, coalesce(valid_pairs, 0) AS valid_pairs, coalesce(over, 0)::BIGINT AS over, CASE WHEN species = 1 THEN CASE WHEN partial = 0 THEN 'perfect' ELSE 'split' END ELSE CASE WHEN partial = 0 THEN 'lumped' ELSE 'lumped+split' END END AS status
   FROM (SELECT cluster, sum(here)::BIGINT AS size, count(*) AS species, max(CASE WHEN here < total THEN 1 ELSE 0 END) AS partial FROM (SELECT cluster, kind, count(*) AS here FROM kd GROUP BY 1, 2) JOIN (SELECT kind, count(*) AS total FROM kd GROUP BY 1) USING (kind) GROUP BY 1)
   LEFT JOIN (SELECT a.cluster, max(dist) AS max_dist, count(*) AS valid_pairs, sum(CASE WHEN bucket > 3000 THEN 1 ELSE 0 END) AS over FROM pr JOIN cl a ON a.ord = pr.a JOIN cl b ON b.ord = pr.b AND a.cluster = b.cluster GROUP BY 1) USING (cluster)"""))
@@ -182,6 +189,13 @@ def find_distances(spark, d):
     return grid.find_distances(X.grid(spark, d), 0.0, 0.1, "locus1", 8).select("locus", "taxon", "other", "overlap", "dist")
 
 
+@query("near_cells", X.sql("""SELECT locus, taxon, other, overlap, 1.0::DOUBLE - same::DOUBLE / overlap AS dist FROM (SELECT x.locus, x.taxon, y.taxon AS other, sum(CASE WHEN (x.m > 0 AND y.m > 0) OR (x.i AND (y.m > 0 OR y.i)) OR (y.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap,
+  sum(CASE WHEN (x.m & y.m) > 0 OR (x.i AND y.i) THEN 1 ELSE 0 END)::INTEGER AS same FROM gc x JOIN gc y ON x.locus = y.locus AND x.pos = y.pos AND x.taxon <> y.taxon GROUP BY ALL) WHERE overlap >= 8 AND 1.0::DOUBLE - same::DOUBLE / overlap < 0.06251""", *G, SQL_CELLS))
+def near_cells(spark, d):
+    """Cells of every locus that are close to each other, by segments."""
+    return near.near_cells(X.grid(spark, d), 0.0625, 8).select("locus", "taxon", "other", "overlap", "dist")
+
+
 SQL_REF = f"""rd AS MATERIALIZED (SELECT locus, taxon, CASE WHEN taxon = {REF_SQL} THEN 'reference' WHEN g.cancelled IS NULL THEN 'no data' WHEN g.cancelled THEN 'excised' WHEN r.locus IS NULL THEN 'no reference' WHEN dist IS NULL THEN 'no overlap' ELSE 'ok' END AS status, CASE WHEN taxon <> {REF_SQL} AND NOT g.cancelled AND r.locus IS NOT NULL THEN dist END AS dist
   FROM (SELECT DISTINCT taxon FROM g) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN g USING (locus, taxon) LEFT JOIN (SELECT locus FROM g WHERE taxon = {REF_SQL} AND NOT cancelled) r USING (locus)
   LEFT JOIN (SELECT locus, taxon, CASE WHEN overlap >= 1 THEN tv / overlap END AS dist FROM (SELECT x.locus, x.taxon, sum(CASE WHEN (x.p OR x.y) AND (z.p OR z.y) THEN 1 ELSE 0 END + CASE WHEN (x.i AND (z.m > 0 OR z.i)) OR (z.i AND x.m > 0) THEN 1 ELSE 0 END)::INTEGER AS overlap, sum(CASE WHEN (x.p AND z.y) OR (x.y AND z.p) THEN 1 ELSE 0 END)::DOUBLE AS tv
