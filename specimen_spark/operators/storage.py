@@ -6,25 +6,54 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Writes df once to the cluster's shared folder (spark.checkpoint.dir) and reads it back.
+#: What each session stored, until drop_intermediates.
+_made: dict[str, list[str]] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
+def fresh_path(spark: SparkSession, name: str = "part") -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir).
 
     Where no such folder is set, a local session, as in tests, makes one; a cluster has none to share.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/part-{uuid.uuid4().hex}"
+    path = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(_session(spark), []).append(path)
+    return path
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it back."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path that any of Spark's file systems may hold."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Deletes what this session's operators stored, and says how many paths; write lazy results that read them first."""
+    made = _made.pop(_session(spark), [])
+    for path in made:
+        fs, at = hadoop_path(spark, path)
+        fs.delete(at, True)
+    return len(made)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """df with the place (from 1) of each row in the order, which should have no ties.
 

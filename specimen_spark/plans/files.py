@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.storage import fresh_path
 from ..sources import flatfile, readers, writers
 from . import fixtures as X
 
@@ -59,6 +60,29 @@ def parse_nexus(spark, d):
     return _nexus(spark, d)[0]
 
 
+def _written(spark, d, write, rows, name: str) -> str:
+    """The folder that a writer made of rows; its parts are one file."""
+    path = f"{fresh_path(spark, name)}/whole"
+    write(rows, path)
+    return path
+
+
+@query("scan_nexus", X.sql("SELECT 'whole' AS file, ord, replace(left(regexp_replace(title, '[^\\w.]+', '_', 'g'), 32), '_', ' ') AS title, translate(seq, '_', '-') AS seq FROM s"))
+def scan_nexus(spark, d):
+    """One interleaved file in parts, read by as many tasks; a taxon's lines lie in many of them."""
+    return readers.read_nexus(spark, _written(spark, d, lambda s, p: writers.write_nexus(s, p, 10), X.sequences(spark, d), "nexus"), True)[0]
+
+
+@query("scan_tnt", X.sql("SELECT 'whole' AS file, ord, regexp_replace(regexp_replace(title, '[^\\w.]+', '_', 'g'), '_', ' ', 'g') AS title, translate(seq, '_', '-') AS seq FROM s"))
+def scan_tnt(spark, d):
+    return readers.read_tnt(spark, _written(spark, d, writers.write_tnt, X.sequences(spark, d), "tnt"), True)[0]
+
+
+@query("scan_mega", X.sql("SELECT 'whole' AS file, row_number() OVER (ORDER BY title) - 1 AS ord, title, seq FROM (SELECT replace(left(regexp_replace(replace(title, ' ', '_'), '[^\\w.+*-]', '_', 'g'), 40), '_', ' ') AS title, translate(seq, '_', '-') AS seq FROM s)"))
+def scan_mega(spark, d):
+    return readers.read_mega(spark, _written(spark, d, writers.write_mega, X.sequences(spark, d), "mega"), True)
+
+
 ODD = "\nBEGIN SETS;\n CHARSET a (VECTOR) = 0101;\n CHARSET b = ALL;\n CHARSET c = REMAINDER;\n CHARSET d = 3-9;\nEND;\n"
 
 
@@ -182,6 +206,13 @@ def parse_flat_file(spark, d):
     return _loci(spark, d).select("file", "name", "accession", "gi", "origin")
 
 
+@query("scan_flat_file", X.sql("SELECT 'whole' AS file, row_number() OVER (ORDER BY 'r' || ord) - 1 AS locus_id, title AS name, 'L' || ord AS accession, gi, translate(seq, '_?', '--') AS origin FROM s"))
+def scan_flat_file(spark, d):
+    """All records in one file of many parts, numbered through it."""
+    path = _written(spark, d, writers.write_flatfile, _loci(spark, d), "flat")
+    return flatfile.read_flatfile(spark, path, True).select("file", "locus_id", "name", "accession", "gi", "origin")
+
+
 @query("feature_groups", X.sql("SELECT gene, count(*) AS features FROM (SELECT 'gene g' || ord % 4 || '-gene' AS gene FROM s UNION ALL SELECT 'product p' || ord % 3 || '-CDS' FROM s UNION ALL SELECT 'misc' FROM s) GROUP BY gene"))
 def feature_groups(spark, d):
     return flatfile.features_by_gene(flatfile.explode_features(_loci(spark, d))).groupBy("gene").agg(F.count(F.lit(1)).alias("features"))

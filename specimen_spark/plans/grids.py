@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charsets, clusters, consensus, grid, near
+from ..operators.gridstore import GridStore
+from ..operators.storage import fresh_path
 from . import fixtures as X
 from .lists import CLASS
 from .pairwise import PAIRS, valid
@@ -97,6 +99,23 @@ def grid_cells_codons(spark, d):
     return grid.grid_cells(g, positions)
 
 
+@query("grid_store", X.sql("""SELECT locus, taxon, ord, seq, actual_length, (batch < 2 AND ((locus = 'locus0' AND ord % 17 = 4) OR ord % 19 = 4)) AS cancelled FROM (SELECT *, row_number() OVER (PARTITION BY locus, taxon ORDER BY actual_length DESC, batch DESC) AS r FROM (
+    SELECT locus, taxon, ord, 0 AS batch, seq, actual_length FROM g WHERE ord % 2 = 0
+    UNION ALL SELECT locus, taxon, ord, 1, t, length(regexp_replace(t, '[_?]', '', 'g'))::INTEGER FROM (SELECT *, CASE WHEN ord % 6 = 0 THEN replace(seq, 'A', '?') ELSE seq END AS t FROM g WHERE ord % 3 = 0 AND NOT (locus = 'locus1' AND ord % 9 = 0))
+    UNION ALL SELECT locus, taxon, ord, 3, seq, actual_length FROM g WHERE ord % 2 = 1) WHERE actual_length > 0) WHERE r = 1""", *G))
+def grid_store(spark, d):
+    """Four batches, of which the second holds shorter rows and rows of another length and the third cancels cells; a base is made of three."""
+    g = X.grid(spark, d).select("locus", "taxon", "ord", "seq")
+    store = GridStore(spark, fresh_path(spark, "grid"), 8)
+    store.append(g.where("ord % 2 = 0"), 0)
+    cut = F.when((F.col("locus") == "locus1") & (F.col("ord") % 9 == 0), F.substring("seq", 1, 9)).when(F.col("ord") % 6 == 0, F.translate("seq", "A", "?")).otherwise(F.col("seq"))
+    store.append(g.where("ord % 3 = 0").withColumn("seq", cut), 1)
+    store.cancel(g.where("locus = 'locus0' and ord % 17 = 4").select("locus", "taxon").unionByName(g.where("ord % 19 = 4").select(F.lit(None).cast("string").alias("locus"), "taxon")), 2)
+    store.compact()
+    store.append(g.where("ord % 2 = 1"), 3)
+    return store.read()
+
+
 @query("concatenate_mixed", X.sql("SELECT taxon, string_agg(coalesce(CASE WHEN mixed AND locus <> 'locus3' THEN replace(replace(seq, 'R', '[AG]'), 'N', '[ACTG]') ELSE seq END, repeat('?', 16)), '' ORDER BY locus) AS seq FROM (SELECT taxon, bool_or(locus = 'locus3') AS mixed FROM g WHERE NOT cancelled GROUP BY 1) CROSS JOIN (SELECT DISTINCT locus FROM g) LEFT JOIN (SELECT * FROM g WHERE NOT cancelled) USING (locus, taxon) GROUP BY taxon", *G))
 def concatenate_mixed(spark, d):
     return grid.concatenate(X.grid(spark, d).withColumn("kind", F.when(F.col("locus") == "locus3", "STANDARD").otherwise("DNA")))

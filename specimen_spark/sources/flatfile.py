@@ -7,17 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import complement
-from .readers import whole_files
+from .scan import FlatFile, records, scan
 
 
-def read_flatfile(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, locus_id, name, accession, gi, sections (array of name and value), origin; one row per //."""
-    return parse_flatfile(whole_files(spark, path))
+def read_flatfile(spark: SparkSession, path: str | list[str], folder: bool = False) -> DataFrame:
+    """file, locus_id, name, accession, gi, sections (array of name and value), origin; one row per //.
+
+    Files may be of any size: records are cut and numbered over splits; with `folder`, the parts in a folder are one file.
+    """
+    found = records(scan(spark, path, FlatFile(), folder))
+    return _parsed(found.select("file", F.col("record").alias("locus_id"), F.concat("text", F.lit("\n")).alias("t")).where(F.col("t").rlike(r"\S")))
 
 
 def parse_flatfile(files: DataFrame) -> DataFrame:
     """The same from file and text."""
-    loci = files.select("file", F.posexplode(F.split("text", r"(?m)^//[^\n]*\n?")).alias("locus_id", "t")).where("trim(t) <> ''")
+    return _parsed(files.select("file", F.posexplode(F.split("text", r"(?m)^//[^\n]*\n?")).alias("locus_id", "t")).where(F.col("t").rlike(r"\S")))
+
+
+def _parsed(loci: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("t", F.lit(r"(?m)^([A-Z][^\n]*(?:\n(?![A-Z])[^\n]*)*)"), F.lit(1))
     sections = F.transform(found, lambda s: F.struct(F.regexp_extract(s, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_replace(s, r"^\S+", "")).alias("value")))
     value = lambda name: F.get(F.filter("sections", lambda s: s["name"] == name), 0)["value"]

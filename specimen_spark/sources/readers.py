@@ -1,6 +1,7 @@
 """Readers of sequence files as DataFrames.
 
-Text formats are read one file per row and taken apart with native functions; a sequence's order
+Readers take files of any size: FASTA is split at records, other formats by the state that each split
+starts in (see scan).  Parsers take texts, one file per row, apart with native functions.  A sequence's order
 is its place in its file.  Columns: file, ord, title, seq (and overrides where a format has them).
 """
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import collapse_groups, mark_external
 from ..operators.names import first_free_names
+from ..operators.storage import numbered, store
+from .scan import BROADCAST_SPLITS, Mega, Nexus, Tnt, heads, records, scan
 
 
 def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file (name without folders) and its text with plain line ends."""
+    """file (name without folders) and its text with plain line ends: for small files that go to a parser as a whole."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     return text.withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
 
@@ -43,7 +46,12 @@ def _fasta(rows: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """FASTA files of any size, as parse_fasta: Spark splits them at records, which are numbered by split.
+    """FASTA files of any size, as parse_fasta."""
+    return _fasta(_split_records(spark, path))
+
+
+def _split_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, ord, r): Spark splits files at records, which are numbered by split.
 
     A record's place is its place in its split after the records of the splits before.
     """
@@ -57,7 +65,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     sizes = records.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_path", "_block", before.alias("_before"))
-    return _fasta(records.join(starts, ["_path", "_block"]).withColumn("ord", F.col("_before") + F.col("_n")))
+    return records.join(starts, ["_path", "_block"]).select("file", (F.col("_before") + F.col("_n")).alias("ord"), "r")
 
 
 def parse_fasta(files: DataFrame) -> DataFrame:
@@ -66,12 +74,17 @@ def parse_fasta(files: DataFrame) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_sequences(whole_files(spark, path))
+    """`#sequences` dumps of any size, as parse_sequences."""
+    return _cells(_split_records(spark, path))
 
 
 def parse_sequences(files: DataFrame) -> DataFrame:
     """`#sequences` dumps: FASTA-like, with ^commands that set the cell's locus, name and state."""
-    rows = files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r"))
+    return _cells(files.select("file", F.posexplode(_records(F.col("text"))).alias("ord", "r")))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The sequences of records (file, ord, r) with their commands."""
     command = lambda name: F.nullif(F.trim(F.regexp_extract("r", rf"\n[ \t]*\^\w+\.{name}[ \t]+([^\n]*)", 1)), F.lit(""))
     return rows.select(
         "file", F.col("ord").cast("long").alias("ord"), F.trim(F.regexp_extract("r", r"^[^\n]*", 0)).alias("title"), _body(F.col("r")).alias("seq"),
@@ -91,8 +104,17 @@ def _numbered(rows: DataFrame, order: list) -> DataFrame:
     return items.select("file", F.posexplode("i").alias("ord", "x")).select("file", F.col("ord").cast("long").alias("ord"), "x.title", "x.seq")
 
 
-def read_mega(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_mega(whole_files(spark, path))
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    """As _numbered, for files of any size: places are counted by range."""
+    placed = numbered(rows.select("file", *order, F.col("name").alias("title"), "seq") if "name" not in order else rows.select("file", "name", F.col("name").alias("title"), "seq"), [F.col("file"), *map(F.col, order)])
+    first = placed.groupBy("file").agg(F.min("place").alias("_first"))
+    return placed.join(first, "file").select("file", (F.col("place") - F.col("_first")).alias("ord"), "title", "seq")
+
+
+def read_mega(spark: SparkSession, path: str | list[str], folder: bool = False) -> DataFrame:
+    """MEGA files of any size, as parse_mega; with `folder`, the parts in a folder are one file."""
+    found = records(scan(spark, path, Mega(), folder)).withColumn("r", F.regexp_replace("text", r"^[ \t]*#", ""))
+    return _placed(_interleaved(_mega_lines(found, "record")), ["name"])
 
 
 def parse_mega(files: DataFrame) -> DataFrame:
@@ -100,16 +122,26 @@ def parse_mega(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.regexp_replace("text", r'"[^"]*"', ""), r"(?is)^\s*#mega\b.*?\btitle\b[^\n]*", "")
     rows = files.where(F.col("text").rlike(r"(?i)^\s*#mega\b"))
     chunks = rows.select("file", F.posexplode(F.filter(F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*#"), lambda x, i: i > 0)).alias("n", "r"))
-    lines = chunks.select("file", "n", F.translate(F.regexp_extract("r", r"^(\S+)", 1), "_", " ").alias("name"), F.regexp_replace(F.regexp_replace("r", r"^\S+", ""), r"\s", "").alias("data"))
-    return _numbered(_interleaved(lines), ["name"])
+    return _numbered(_interleaved(_mega_lines(chunks, "n")), ["name"])
+
+
+def _mega_lines(chunks: DataFrame, n: str) -> DataFrame:
+    """(file, n, name, data) of records r."""
+    return chunks.select("file", F.col(n).alias("n"), F.translate(F.regexp_extract("r", r"^(\S+)", 1), "_", " ").alias("name"), F.regexp_replace(F.regexp_replace("r", r"^\S+", ""), r"\s", "").alias("data"))
 
 
 def _groups(data: Column) -> Column:
     return F.translate(data, "()", "[]")
 
 
-def read_nexus(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    return parse_nexus(whole_files(spark, path))
+def read_nexus(spark: SparkSession, path: str | list[str], folder: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nexus files of any size, as parse_nexus; with `folder`, the parts in a folder are one file."""
+    pieces = scan(spark, path, Nexus(), folder)
+    found = heads(pieces).where(F.col("text").rlike(r"(?i)^\s*#nexus"))
+    symbols = store(found.select("file", *_symbols(), _continuous().alias("continuous")))
+    lines = pieces.where("kind = 'matrix'").select("file", "n", F.col("text").alias("line"))
+    lines = lines.join(F.broadcast(symbols) if symbols.count() <= BROADCAST_SPLITS else symbols, "file").where("not continuous and trim(line) <> ''")
+    return _placed(_interleaved(_nexus_lines(lines)), ["at"]), _nexus_sets(found)
 
 
 #: What character sets can't be read from: other notations, and names of other sets.
@@ -142,14 +174,27 @@ def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     files = files.where(F.col("text").rlike(r"(?i)^\s*#nexus")).withColumn("text", F.regexp_replace("text", r"\[[^\]]*\]", ""))
     matrix = F.regexp_extract("text", r"(?is)\bbegin\s+(?:data|characters)\s*;.*?\bmatrix\b(.*?);", 1)
+    rows = files.select("file", *_symbols(), F.posexplode(F.when(_continuous(), F.array().cast("array<string>")).otherwise(F.split(matrix, "\n"))).alias("n", "line")).where("trim(line) <> ''")
+    return _numbered(_interleaved(_nexus_lines(rows)), ["at"]), _nexus_sets(files)
+
+
+def _symbols() -> list[Column]:
+    """The file's own gap and missing symbols."""
     symbol = lambda word, default: F.coalesce(F.nullif(F.regexp_extract("text", rf"(?is)\bformat\b[^;]*\b{word}\s*=\s*([^\s;])", 1), F.lit("")), F.lit(default))
-    rows = files.select("file", symbol("gap", "-").alias("gap"), symbol("missing", "?").alias("missing"), F.posexplode(F.when(_continuous(), F.array().cast("array<string>")).otherwise(F.split(matrix, "\n"))).alias("n", "line")).where("trim(line) <> ''")
+    return [symbol("gap", "-").alias("gap"), symbol("missing", "?").alias("missing")]
+
+
+def _nexus_lines(rows: DataFrame) -> DataFrame:
+    """(file, n, name, data) of lines with their file's symbols."""
     quoted = F.regexp_extract("line", r"^\s*'([^']*)'", 1)
     name = F.translate(F.when(quoted != "", quoted).otherwise(F.regexp_extract("line", r"^\s*(\S+)", 1)), "_", " ")
     data = _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*('[^']*'|\S+)", ""), r"\s", ""))
     data = F.call_function("translate", data, F.concat("gap", "missing"), F.lit("-?"))
-    sequences = _numbered(_interleaved(rows.select("file", "n", name.alias("name"), data.alias("data"))), ["at"])
+    return rows.select("file", "n", name.alias("name"), data.alias("data"))
+
 
+def _nexus_sets(files: DataFrame) -> DataFrame:
+    """Character sets and codon positions of texts without comments."""
     interval = r"(\d+)\s*(?:-\s*(\d+|\.))?\s*(?:\\\s*(\d+))?"
     total = F.coalesce(F.nullif(F.regexp_extract("text", r"(?is)\bnchar\s*=\s*(\d+)", 1), F.lit("")), F.lit("0")).cast("int")
     sets = files.select("file", total.alias("nchar"), F.explode(F.regexp_extract_all("text", F.lit(_CHARSET), F.lit(1))).alias("s")).where(~F.col("s").rlike(_OTHER_SETS))
@@ -161,11 +206,36 @@ def parse_nexus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     first, to, stride = (F.regexp_extract("i", interval, k) for k in (1, 2, 3))
     last = F.when(to == "", first.cast("int")).when(to == ".", F.col("nchar")).otherwise(F.nullif(F.nullif(to, F.lit("")), F.lit(".")).cast("int"))
     charsets = both.select(locus_name(F.col("file")).alias("source"), "name", "pos", first.cast("int").alias("from"), last.alias("to"), F.coalesce(F.nullif(stride, F.lit("")).cast("int"), F.lit(1)).alias("stride"))
-    return sequences, charsets
+    return charsets
+
 
+def read_tnt(spark: SparkSession, path: str | list[str], folder: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """TNT files of any size, as parse_tnt; with `folder`, the parts in a folder are one file."""
+    pieces = scan(spark, path, Tnt(), folder)
+    found = store(heads(pieces).where(F.col("text").rlike(r"(?i)\bxread\b")))
+    parts = found.select("file", *_tnt_numbers())
+    rows = pieces.where("kind = 'matrix'").select("file", "n", F.col("text").alias("line")).where("trim(line) <> '' and not trim(line) like '&%'")
+    sequences = _placed(_interleaved(_tnt_lines(rows)), ["at"])
+    return sequences, _tnt_groups(found, parts), _tnt_problems(parts, sequences)
 
-def read_tnt(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_tnt(whole_files(spark, path))
+
+_XREAD = r"(?is)\bxread\s+(?:'[^']*'\s*)?(\d+)\s+(\d+)\s*(.*?);"
+
+
+def _tnt_numbers() -> list[Column]:
+    return [F.regexp_extract("text", _XREAD, k).alias(n) for k, n in ((1, "nchar"), (2, "ntax"))]
+
+
+def _tnt_lines(rows: DataFrame) -> DataFrame:
+    """(file, n, name, data) of lines."""
+    return rows.select("file", "n", F.translate(F.regexp_extract("line", r"^\s*(\S+)", 1), "_", " ").alias("name"), _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*\S+", ""), r"\s", "")).alias("data"))
+
+
+def _tnt_problems(parts: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Files whose number of taxa or of characters isn't what they say."""
+    sites = F.length(F.regexp_replace("seq", r"\[[^\]]*\]", "N"))
+    found = sequences.groupBy("file").agg(F.count(F.lit(1)).alias("taxa"), F.min(sites).alias("shortest"), F.max(sites).alias("longest"))
+    return parts.select("file", F.col("nchar").try_cast("int").alias("nchar"), F.col("ntax").try_cast("int").alias("ntax")).join(found, "file", "left").where("not (taxa <=> ntax) or not (shortest <=> nchar) or not (longest <=> nchar)")
 
 
 def parse_tnt(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -173,16 +243,15 @@ def parse_tnt(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Problems are files whose number of taxa or of characters isn't what they say.
     """
-    head = r"(?is)\bxread\s+(?:'[^']*'\s*)?(\d+)\s+(\d+)\s*(.*?);"
     files = files.where(F.col("text").rlike(r"(?i)\bxread\b"))
-    parts = files.select("file", *[F.regexp_extract("text", head, k).alias(n) for k, n in ((1, "nchar"), (2, "ntax"), (3, "m"))])
+    parts = files.select("file", *_tnt_numbers(), F.regexp_extract("text", _XREAD, 3).alias("m"))
     rows = parts.select("file", F.posexplode(F.split("m", "\n")).alias("n", "line")).where("trim(line) <> '' and not trim(line) like '&%'")
-    lines = rows.select("file", "n", F.translate(F.regexp_extract("line", r"^\s*(\S+)", 1), "_", " ").alias("name"), _groups(F.regexp_replace(F.regexp_replace("line", r"^\s*\S+", ""), r"\s", "")).alias("data"))
-    sequences = _numbered(_interleaved(lines), ["at"])
-    sites = F.length(F.regexp_replace("seq", r"\[[^\]]*\]", "N"))
-    found = sequences.groupBy("file").agg(F.count(F.lit(1)).alias("taxa"), F.min(sites).alias("shortest"), F.max(sites).alias("longest"))
-    problems = parts.select("file", F.col("nchar").try_cast("int").alias("nchar"), F.col("ntax").try_cast("int").alias("ntax")).join(found, "file", "left").where("not (taxa <=> ntax) or not (shortest <=> nchar) or not (longest <=> nchar)")
+    sequences = _numbered(_interleaved(_tnt_lines(rows)), ["at"])
+    return sequences, _tnt_groups(files, parts), _tnt_problems(parts, sequences)
 
+
+def _tnt_groups(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """Character sets of xgroup commands."""
     groups = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?is)\bxgroup\b([^;']*)(?:;|')"), F.lit(1))).alias("g"))
     one = groups.select("file", F.explode(F.filter(F.split("g", r"=\s*\d+\s*"), lambda x: F.trim(x) != "")).alias("g"))
     named = one.select("file", F.trim(F.regexp_extract("g", r"\(([^)]*)\)", 1)).alias("name"), F.regexp_replace("g", r"\([^)]*\)", "").alias("ids"))
@@ -199,7 +268,7 @@ def parse_tnt(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         locus_name(F.col("file")).alias("source"), F.regexp_replace("name", r"_pos[123N]$", "").alias("name"),
         F.when(position == "", F.lit(None)).when(position == "N", F.lit(0)).otherwise(F.nullif(F.nullif(position, F.lit("")), F.lit("N")).cast("int")).alias("pos"), "from", "to", F.lit(1).alias("stride"),
     )
-    return sequences, charsets, problems
+    return charsets
 
 
 def file_format() -> Column:
@@ -212,15 +281,28 @@ def file_format() -> Column:
 
 
 def read_any(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files of any of the formats: file, format, ord, title, seq."""
-    return parse_any(whole_files(spark, path))
+    """Files of any of the formats and any size, as parse_any; a file's format is told by its first line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    first = lines.where("block = 0 and trim(value) <> ''").groupBy("path").agg(F.min_by("value", "id").alias("text"))
+    # one row for each file, which the driver lists in any case
+    kinds = {r["path"]: r["format"] for r in first.select("path", F.when(F.col("text").rlike(r"(?i)^\s*nstates\b"), "tnt").otherwise(file_format()).alias("format")).collect()}
+    read = {"fasta": read_fasta, "nexus": lambda s, p: read_nexus(s, p)[0], "tnt": lambda s, p: read_tnt(s, p)[0], "mega": read_mega, "sequences": read_sequences}
+    found = {}
+    for kind, reader in read.items():
+        own = sorted(p for p, k in kinds.items() if k == kind)
+        if own:
+            found[kind] = reader(spark, own)
+    return _every(found or {"fasta": parse_fasta(spark.createDataFrame([], "file string, text string"))})
 
 
 def parse_any(files: DataFrame) -> DataFrame:
     """file, format, ord, title, seq, and what `#sequences` dumps say of a cell: locus_override, taxon_override, cancelled."""
     files = files.withColumn("format", file_format())
     of = lambda kind: files.where(F.col("format") == kind)
-    found = {"fasta": parse_fasta(of("fasta")), "nexus": parse_nexus(of("nexus"))[0], "tnt": parse_tnt(of("tnt"))[0], "mega": parse_mega(of("mega")), "sequences": parse_sequences(of("sequences"))}
+    return _every({"fasta": parse_fasta(of("fasta")), "nexus": parse_nexus(of("nexus"))[0], "tnt": parse_tnt(of("tnt"))[0], "mega": parse_mega(of("mega")), "sequences": parse_sequences(of("sequences"))})
+
+
+def _every(found: dict[str, DataFrame]) -> DataFrame:
     out = None
     for kind, df in found.items():
         if kind != "sequences":

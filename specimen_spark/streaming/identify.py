@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grid import add_to_grid
+from ..operators.gridstore import GridStore
 from ..operators.pairs import query_distances
 from ..operators.ranking import best_match
 
@@ -25,8 +27,25 @@ def identify_stream(stream: DataFrame, reference: DataFrame, sink: Callable[[Dat
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
+def grow_grid_stream(stream: DataFrame, path: str, locus: str | None = None, checkpoint: str | None = None) -> StreamingQuery:
+    """Adds arriving rows (taxon, ord, seq, and locus if none is given) to the GridStore under path.
+
+    Each batch writes its own rows and nothing else; one that is run again replaces itself.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch if locus is None else batch.withColumn("locus", F.lit(locus))
+        GridStore(batch.sparkSession, path).append(rows, number)
+
+    writer = stream.writeStream.foreachBatch(each)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def append_grid_stream(stream: DataFrame, path: str, locus: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Adds arriving rows (taxon, ord, seq) to the grid's newest version under path, one version per batch."""
+    """Adds arriving rows (taxon, ord, seq) to the grid's newest version under path, one version per batch.
+
+    Every batch reads and writes the whole grid, for those who want plain folders; grow_grid_stream doesn't.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
