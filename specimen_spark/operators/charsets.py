@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join, overlaps
+
 
 def check_overlaps(charsets: DataFrame) -> DataFrame:
     """Pairs of different sets of one source that share a position; stride-3 sets only on one track."""
-    c = charsets.select("source", "name", F.col("from").alias("f"), F.col("to").alias("t"), "stride")
-    x, y = c.alias("x"), c.alias("y")
-    apart = (F.col("x.stride") == 3) & (F.col("y.stride") == 3) & (F.pmod(F.col("x.f") - F.col("y.f"), F.lit(3)) != 0)
-    on = (F.col("x.source") == F.col("y.source")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.f") <= F.col("y.t")) & (F.col("y.f") <= F.col("x.t")) & ~apart
-    return x.join(y, on).select(F.col("x.source").alias("source"), F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.greatest("x.f", "y.f").alias("first"), F.least("x.t", "y.t").alias("last"))
+    met = overlaps(charsets.select("source", "name", "from", "to", "stride"), ["source"], "name")
+    apart = (F.col("x.stride") == 3) & (F.col("y.stride") == 3) & (F.pmod(F.col("x.from") - F.col("y.from"), F.lit(3)) != 0)
+    return met.where(~apart).select("x.source", F.col("x.name").alias("a"), F.col("y.name").alias("b"), *[F.col(c).cast(charsets.schema["from"].dataType).alias(c) for c in ("first", "last")])
 
 
 def split_by_charset(sequences: DataFrame, charsets: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def rebase_positions(charsets: DataFrame, cuts: DataFrame) -> DataFrame:
     """
     p = charsets.where("coalesce(pos, 0) > 0").select("source", "pos", F.col("from").alias("f"), F.col("to").alias("t"), "stride")
     c = cuts.select("source", "name", F.col("from").alias("cf"), F.col("to").alias("ct"))
-    met = p.join(c, "source").where("f <= ct and cf <= t")
+    met = overlap_join(p, c, ["source"], ("f", "t"), ("cf", "ct")).select("x.*", "y.name", "y.cf", "y.ct")
     first = F.when(F.col("f") >= F.col("cf"), F.col("f")).otherwise(F.col("cf") + F.pmod(F.col("f") - F.col("cf"), F.col("stride")))
     out = met.withColumn("first", first).withColumn("last", F.least("t", "ct")).where("first <= last")
     return out.select("source", "name", "pos", (F.col("first") - F.col("cf") + 1).alias("from"), (F.col("last") - F.col("cf") + 1).alias("to"), "stride")

@@ -230,6 +230,17 @@ def features_intersect(spark, d):
     return flatfile.features_intersect(flatfile.explode_features(_loci(spark, d))).select("file", "a", "b")
 
 
+#: Intervals of one chromosome: of every sequence one that begins at its number, of many lengths.
+_SPANS = "SELECT 'chr' AS file, 0::BIGINT AS locus_id, ord AS feature_id, ord * 3 % 1009 + 1 AS f, ord * 3 % 1009 + 1 + (ord * ord) % 7 + CASE WHEN ord % 50 = 0 THEN 300 WHEN ord % 211 = 5 THEN 5000 ELSE 0 END AS t FROM s"
+
+
+@query("intervals_of_one_locus", X.sql(f"SELECT x.file, x.locus_id, x.feature_id AS a, y.feature_id AS b FROM ({_SPANS}) x JOIN ({_SPANS}) y ON x.feature_id < y.feature_id AND x.f <= y.t AND y.f <= x.t"))
+def intervals_of_one_locus(spark, d):
+    ends = F.expr("ord * 3 % 1009 + 1"), F.expr("ord * 3 % 1009 + 1 + (ord * ord) % 7 + case when ord % 50 = 0 then 300 when ord % 211 = 5 then 5000 else 0 end")
+    rows = X.sequences(spark, d).select(F.lit("chr").alias("file"), F.lit(0).cast("long").alias("locus_id"), F.col("ord").alias("feature_id"), F.array(F.struct(ends[0].alias("from"), ends[1].alias("to"))).alias("location"))
+    return flatfile.features_intersect(rows)
+
+
 @query("list_sections", X.sql("SELECT section, count(*) AS n FROM s, (VALUES ('LOCUS'), ('DEFINITION'), ('ACCESSION'), ('VERSION'), ('FEATURES'), ('ORIGIN')) v(section) GROUP BY section"))
 def list_sections(spark, d):
     return flatfile.list_sections(_loci(spark, d)).groupBy("section").agg(F.count(F.lit(1)).alias("n"))

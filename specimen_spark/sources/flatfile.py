@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import complement
+from ..operators.intervals import overlaps
 from .scan import FlatFile, records, scan
 
 
@@ -93,9 +94,8 @@ def extract_features(features: DataFrame, loci: DataFrame) -> DataFrame:
 def features_intersect(features: DataFrame) -> DataFrame:
     """Pairs of features of a locus of which two intervals share a position."""
     iv = features.select("file", "locus_id", "feature_id", F.explode("location").alias("i")).select("file", "locus_id", "feature_id", "i.from", "i.to")
-    x, y = iv.alias("x"), iv.alias("y")
-    on = (F.col("x.file") == F.col("y.file")) & (F.col("x.locus_id") == F.col("y.locus_id")) & (F.col("x.feature_id") < F.col("y.feature_id")) & (F.col("x.from") <= F.col("y.to")) & (F.col("y.from") <= F.col("x.to"))
-    return x.join(y, on).select("x.file", "x.locus_id", F.col("x.feature_id").alias("a"), F.col("y.feature_id").alias("b")).distinct()
+    met = overlaps(iv, ["file", "locus_id"], "feature_id")
+    return met.select("x.file", "x.locus_id", F.col("x.feature_id").alias("a"), F.col("y.feature_id").alias("b")).distinct()
 
 
 def combine_features(*parts: DataFrame) -> DataFrame:
