@@ -193,6 +193,13 @@ def plane_words(seq: Column, plane: str, words: int) -> list[Column]:
     return [F.shiftleft(half(64 * w + 1), 32).bitwiseOR(half(64 * w + 33)) for w in range(words)]
 
 
+def word_of(part: Column, letters: str) -> Column:
+    """64 bits, the first one highest: where a part of 64 characters has one of the letters."""
+    bits = _t(part, _SYMBOLS, "".join("1" if s in letters else "0" for s in _SYMBOLS))
+    half = lambda at: F.conv(F.substring(bits, at, 32), 2, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(33))
+
+
 def with_planes(df: DataFrame, words: int, seq: str = "seq") -> DataFrame:
     """Adds one column `<plane><word>` for each plane and word; `words` covers the longest sequence."""
     return df.withColumns({f"{p}{w}": c for p in PLANES for w, c in enumerate(plane_words(F.col(seq), p, words))})

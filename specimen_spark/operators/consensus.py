@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import CODE, MASK
-
+from ..functions.sequences import BITS, CODE, MASK, WORD, word_of
 
 
 def _mask(ch: Column) -> Column:
@@ -22,18 +21,24 @@ def _code(mask: Column) -> Column:
 def consensus(df: DataFrame, group: str) -> DataFrame:
     """Per group one sequence: missing wins, then bases (merged into codes), inner gaps, outer gaps.
 
-    Positions past the end of a shorter member are missing.  Positions are combined before the
-    shuffle, so a large group costs one row per position and task.
+    Positions past the end of a shorter member are missing.  Sequences are cut into words of 64
+    positions, a bit for each in a few planes; words are combined before the shuffle by OR, so a
+    large group costs one row of planes per word and task.
     """
-    chars = df.select(group, F.posexplode(F.split("seq", "")).alias("pos", "ch"))
-    per = chars.groupBy(group, "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("ch") == "?").alias("missing"), F.bit_or(_mask(F.col("ch"))).alias("mask"), F.max(F.col("ch") == "-").alias("inner"),
-    )
-    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    ch = F.when(F.col("missing") | (F.col("n") < F.col("size")), "?").when(F.col("mask") > 0, _code(F.col("mask"))).when(F.col("inner"), "-").otherwise("_")
-    both = per.join(size, group).select(group, "size", "pos", ch.alias("ch"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "")
-    return both.groupBy(group).agg(F.max("size").alias("size"), text.alias("consensus"))
+    count = F.ceil(F.length("seq") / WORD).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda w: F.substring(F.col("seq"), w * WORD + 1, F.lit(WORD)))
+    words = df.select(group, F.posexplode(cuts).alias("_w", "_part")).withColumn("_part", F.rpad("_part", WORD, "?"))
+    planes = {f"_{b}": "".join(k for k, m in MASK.items() if m & bit) for b, bit in BITS.items()} | {"_gap": "-", "_missing": "?"}
+    per = words.groupBy(group, "_w").agg(F.count(F.lit(1)).alias("_n"), *[F.bit_or(word_of(F.col("_part"), letters)).alias(p) for p, letters in planes.items()])
+    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.max(F.length("seq")).alias("_longest"))
+    bit = lambda p: f"(shiftright({p}, 63 - k) & 1)"
+    mask = " + ".join(f"{BITS[b]} * {bit(f'_{b}')}" for b in BITS)
+    codes = "".join(CODE[m] for m in range(1, 16))
+    ch = f"case when _n < size or {bit('_missing')} = 1 then '?' when {mask} > 0 then substring('{codes}', cast({mask} as int), 1) when {bit('_gap')} = 1 then '-' else '_' end"
+    text = F.expr(f"array_join(transform(sequence(0, least(63, _longest - _w * {WORD} - 1)), k -> {ch}), '')")
+    parts = per.join(size, group).select(group, "size", "_w", F.when(F.col("_longest") > F.col("_w") * WORD, text).otherwise("").alias("_text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_w", "_text"))), lambda x: x["_text"]), "")
+    return parts.groupBy(group).agg(F.max("size").alias("size"), joined.alias("consensus"))
 
 
 def barcodes(df: DataFrame, min_match: int = 1) -> DataFrame:
