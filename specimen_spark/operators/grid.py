@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lists import draw
-from .pairs import blocks_for, measured
+from .pairs import measured, tiled
 from .storage import numbered
 from ..functions.sequences import expand_ambiguity, with_planes, words_needed
 
@@ -158,11 +158,10 @@ def cell_distances(grid: DataFrame, method: str = "uncorrected", min_overlap: in
     Cells of a locus are dealt out over tiles, as one locus may hold all rows.
     """
     rows = grid.where("not cancelled")
-    words, blocks = words_needed(rows), blocks_for(rows)
-    r = with_planes(rows.select("locus", "taxon", "seq"), words).drop("seq").withColumn("block", F.pmod(F.xxhash64("taxon"), F.lit(blocks)).cast("int"))
-    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")).select("*", F.least("block", "_o").alias("tlo"), F.greatest("block", "_o").alias("thi")).drop("_o")
-    on = (F.col("x.tlo") == F.col("y.tlo")) & (F.col("x.thi") == F.col("y.thi")) & (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") < F.col("y.taxon"))
-    on &= (F.col("x.block") != F.col("y.block")) | (F.col("x.tlo") == F.col("x.thi"))
+    words = words_needed(rows)
+    r = tiled(with_planes(rows.select("locus", "taxon", "seq"), words).drop("seq"), ["locus"], "taxon", rows.count())
+    on = (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") < F.col("y.taxon"))
+    on &= (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi"))
     out = measured(r.alias("x").join(r.alias("y"), on), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon", "y.taxon as other"]).where(F.col("dist").between(lo, hi))
     side = lambda a, b: F.struct("locus", F.col(a).alias("taxon"), F.col(b).alias("other"), "overlap", "dist")
     return out.select(F.explode(F.array(side("taxon", "other"), side("other", "taxon"))).alias("p")).select("p.*")

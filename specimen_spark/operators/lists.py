@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -86,11 +88,24 @@ def sort_list(df: DataFrame, kind: str, seed: int = 0) -> DataFrame:
     return df.orderBy(*order_of(kind, seed))
 
 
+#: Keys of a replicate that are ranked in one piece, about.
+RANKED = 1000
+
+
 def _draws(keys: DataFrame, key: str, k: int, replicates: int, seed: int) -> DataFrame:
-    """k keys for each replicate, by a hash; only the k best of each partition are sorted."""
-    reps = keys.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), key)
-    rank = F.row_number().over(W.partitionBy("replicate").orderBy(draw(seed, "replicate", key), key))
-    return reps.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    """The k keys of least hash for each replicate, whatever number of keys there is.
+
+    Keys are counted by the first digits of their hash, before any shuffle; of those that begin like
+    the kth only, some RANKED keys, are ranks needed.
+    """
+    digits = max(1, math.ceil(math.log(max(keys.count(), 1) / RANKED, 16)))
+    reps = keys.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), key).withColumn("_h", draw(seed, "replicate", key)).withColumn("_p", F.substring("_h", 1, digits))
+    counts = reps.groupBy("replicate", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("replicate").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = reps.join(counts.withColumn("_b", before).where(F.col("_b") < k), ["replicate", "_p"])
+    rank = F.row_number().over(W.partitionBy("replicate").orderBy("_h", key))
+    edge = met.where(F.col("_b") + F.col("_n") > k).withColumn("_r", rank).where(F.col("_r") <= k - F.col("_b"))
+    return met.where(F.col("_b") + F.col("_n") <= k).select("replicate", key).unionByName(edge.select("replicate", key))
 
 
 def sample_species(df: DataFrame, k: int, replicates: int, seed: int = 0) -> DataFrame:

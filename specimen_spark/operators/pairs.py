@@ -98,6 +98,23 @@ def blocks_for(rows: DataFrame) -> int:
     return blocks_of(rows.count(), rows)
 
 
+def tiled(rows: DataFrame, keys: list[str], id_: str, count: int, blocks: int | None = None) -> DataFrame:
+    """Adds block, lo and hi: a row of each tile that a row belongs to, for pairs of rows of equal keys.
+
+    Within keys the number of blocks is that of the key's own rows, so that a row of a small group is
+    written once, and one of a group that holds most rows as often as in a table without keys.
+    """
+    every = blocks or blocks_of(count, rows)
+    if keys and not blocks:
+        own = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.count(F.lit(1)) * F.lit(every) / max(count, 1))).cast("int")
+        rows = rows.join(rows.groupBy(*keys).agg(own.alias("_blocks")), keys)
+    else:
+        rows = rows.withColumn("_blocks", F.lit(every))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(id_), F.col("_blocks")).cast("int"))
+    out = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o"))
+    return out.select("*", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi")).drop("_o", "_blocks")
+
+
 class _Planes:
     """Bit planes of many sequences: arrays [sequence, word]."""
 
@@ -144,7 +161,7 @@ def _compare(x: _Planes, y: _Planes, method: str) -> tuple[np.ndarray, np.ndarra
         return _count(x.base & y.base), np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), dist, np.nan)
 
 
-def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_overlap: int, scope: str, valid_only: bool) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, keys: list[str], words: int, method: str, min_overlap: int, scope: str, valid_only: bool) -> DataFrame:
     """The pairs of each tile, measured in numpy."""
     names = ["species", "genus"]
 
@@ -173,7 +190,7 @@ def _tile_pairs(tiled: DataFrame, keys: list[str], words: int, method: str, min_
         return pd.DataFrame(made | {"twins": (title[x] == title[y]).astype(bool), "overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
 
     schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, twins boolean, overlap int, dist double, bucket long"
-    return tiled.groupBy("lo", "hi", *keys).applyInPandas(compare, schema)
+    return tiles.groupBy("lo", "hi", *keys).applyInPandas(compare, schema)
 
 
 def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int = 300, scope: str = "all", blocks: int | None = None, valid_only: bool = True) -> DataFrame:
@@ -191,16 +208,14 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
     if valid_only and min_overlap > 0:  # an overlap can't exceed the shorter sequence
         rows = rows.where(F.length(F.regexp_replace("seq", "[?_]", "")) >= min_overlap)
     count, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
-    words, blocks = words_of(longest), blocks or blocks_of(count, rows)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
+    words = words_of(longest)
     in_numpy = words > COLUMN_WORDS and method in ("uncorrected", "k2p", "transversions")
     if not in_numpy:
         rows = with_planes(rows, words).drop("seq")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
-    tiled = rows.select("*", other).select("*", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi")).drop("_o")
+    tiles = tiled(rows, keys, "ord", count, blocks)
     if in_numpy:
-        return _tile_pairs(tiled, keys, words, method, min_overlap, scope, valid_only)
-    x, y = tiled.alias("x"), tiled.alias("y")
+        return _tile_pairs(tiles, keys, words, method, min_overlap, scope, valid_only)
+    x, y = tiles.alias("x"), tiles.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ["lo", "hi", *keys]]
     on += [F.col("x.ord") < F.col("y.ord"), (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi"))]
     if scope == "inter_congeneric":

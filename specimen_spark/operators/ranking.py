@@ -19,15 +19,15 @@ def rank_neighbours(both: DataFrame) -> DataFrame:
 def best_match(sequences: DataFrame, both: DataFrame, threshold: float = 0.03) -> DataFrame:
     """One row per query: its nearest block of equal distances and the verdicts on it.
 
-    Only the smallest distance and what ties with it are aggregated, so neighbour lists are never
-    sorted.  An unnamed neighbour counts as a species of its own.
+    Neighbours are counted by distance and species before any shuffle, so neighbour lists are never
+    sorted or stored.  An unnamed neighbour counts as a species of its own.
     """
-    near = both.groupBy("q").agg(F.min("bucket").alias("best"))
-    tied = _kin(both.join(near, "q").where("bucket = best")).withColumn("kind", F.coalesce("species_m", F.concat(F.lit("#"), F.col("m").cast("string"))))
-    block = tied.groupBy("q").agg(
-        F.min("bucket").alias("best_bucket"), F.min("dist").alias("best_dist"), F.count(F.lit(1)).alias("ties"),
-        F.count_distinct("kind").alias("species_in_block"), F.max("conspecific").alias("has_conspecific"),
-    )
+    # counts of each distance come first: pairs are measured once, and all further steps are sums of counts
+    kind = F.coalesce("species_m", F.concat(F.lit("#"), F.col("m").cast("string"))).alias("kind")
+    counts = _kin(both).groupBy("q", "bucket", kind).agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("dist"), F.max("conspecific").alias("conspecific"))
+    ties = counts.groupBy("q", "bucket").agg(F.min("dist").alias("dist"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max("conspecific").alias("conspecific"))
+    best = ties.groupBy("q").agg(F.min(F.struct("bucket", "dist", "n", "kinds", "conspecific")).alias("b"))
+    block = best.select("q", F.col("b.bucket").alias("best_bucket"), F.col("b.dist").alias("best_dist"), F.col("b.n").alias("ties"), F.col("b.kinds").alias("species_in_block"), F.col("b.conspecific").alias("has_conspecific"))
     out = sequences.select(F.col("ord").alias("q"), F.col("species").alias("species_q")).join(block, "q", "left")
     verdict = (
         F.when(F.col("species_q").isNull(), "unnamed")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import match_line
 from ..operators import near, pairs, ranking, summaries
+from ..operators.reference import KeptReference
+from ..operators.storage import fresh_path
 from . import fixtures as X
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -117,6 +119,13 @@ def query_distances(spark, d):
     return pairs.query_distances(s.where("ord % 50 = 0"), s, min_overlap=X.MIN_OVERLAP).select("q", "m", "overlap", "dist", "mismatches")
 
 
+@query("kept_reference", X.sql("SELECT q, m, overlap, dist, round(dist * overlap)::INTEGER AS mismatches FROM mir WHERE q % 50 = 0", *PAIRS))
+def kept_reference(spark, d):
+    s = X.sequences(spark, d)
+    kept = KeptReference.make(s, fresh_path(spark, "reference"))
+    return kept.distances(s.where("ord % 50 = 0"), min_overlap=X.MIN_OVERLAP).select("q", "m", "overlap", "dist", "mismatches")
+
+
 @query("match_lines", X.sql("SELECT x.ord AS a, y.ord AS b, string_agg(CASE WHEN (x.m & y.m) > 0 THEN '|' ELSE ' ' END, '' ORDER BY x.pos) AS line FROM c x JOIN c y ON y.ord = x.ord + 1 AND x.pos = y.pos GROUP BY 1, 2", X.SQL_CHARS))
 def match_lines(spark, d):
     s = X.sequences(spark, d).select("ord", "seq")

@@ -12,16 +12,19 @@ from ..operators.grid import add_to_grid
 from ..operators.gridstore import GridStore
 from ..operators.pairs import query_distances
 from ..operators.ranking import best_match
+from ..operators.reference import KeptReference
 
 
-def identify_stream(stream: DataFrame, reference: DataFrame, sink: Callable[[DataFrame, int], None], threshold: float = 0.03, min_overlap: int = 300, checkpoint: str | None = None) -> StreamingQuery:
+def identify_stream(stream: DataFrame, reference: DataFrame | KeptReference, sink: Callable[[DataFrame, int], None], threshold: float = 0.03, min_overlap: int = 300, checkpoint: str | None = None) -> StreamingQuery:
     """Best match of each arriving sequence (ord, title, seq, species, genus) in the reference.
 
-    Queries don't depend on each other, so no state or watermark is needed.
+    Queries don't depend on each other, so no state or watermark is needed.  A KeptReference is read
+    in its tiles by every batch; planes of a DataFrame are made again each time.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(best_match(batch, query_distances(batch, reference, min_overlap=min_overlap), threshold), number)
+        found = reference.distances(batch, min_overlap=min_overlap) if isinstance(reference, KeptReference) else query_distances(batch, reference, min_overlap=min_overlap)
+        sink(best_match(batch, found, threshold), number)
 
     writer = stream.writeStream.foreachBatch(each)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
