@@ -49,9 +49,13 @@ def species_cluster_report(sequences: DataFrame, found: DataFrame) -> DataFrame:
     """Per species: its clusters, the other species in them, and the extent its clusters share."""
     kinds = _kinds(sequences).join(found, "ord").join(sequences.select("ord", "first_real", "last_real"), "ord")
     per = kinds.groupBy("kind", "cluster").agg(F.min("first_real").alias("lo"), F.max("last_real").alias("hi"))
-    met = per.alias("x").join(per.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.kind") != F.col("y.kind")))
-    others = met.groupBy(F.col("x.kind").alias("kind")).agg(F.count_distinct("y.kind").alias("others"))
-    own = per.groupBy("kind").agg(F.count(F.lit(1)).alias("clusters"), F.greatest(F.lit(0), F.min("hi") - F.max("lo") + 1).alias("shared_extent"))
+    # a kind in one cluster meets all other kinds of it; only those in several clusters need their kinds told apart
+    sizes = per.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"))
+    own = per.join(sizes, "cluster").groupBy("kind").agg(F.count(F.lit(1)).alias("clusters"), F.max("kinds").alias("_most"), F.greatest(F.lit(0), F.min("hi") - F.max("lo") + 1).alias("shared_extent"))
+    several = per.join(own.where("clusters > 1").select("kind"), "kind").select(F.col("kind").alias("_k"), "cluster")
+    met = several.join(per.select("kind", "cluster"), "cluster").where("kind <> _k").select("_k", "kind").distinct().groupBy(F.col("_k").alias("kind")).agg(F.count(F.lit(1)).alias("_others"))
+    others = own.join(met, "kind", "left").select("kind", F.when(F.col("clusters") == 1, F.col("_most") - 1).otherwise(F.col("_others")).alias("others"))
+    own = own.drop("_most")
     return own.join(others, "kind", "left").select("kind", "clusters", F.coalesce("others", F.lit(0)).alias("others"), "shared_extent")
 
 

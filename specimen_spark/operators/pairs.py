@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import MASK, PLANES, with_planes, words_needed, words_of
+from .storage import cumulated, store
 
 SCALE = 100_000  # distances are equal when they agree in five decimals
 #: Sequences of more words than this are compared tile by tile in numpy.
@@ -276,9 +277,8 @@ def place_in_distributions(distances: DataFrame, intra: DataFrame, inter: DataFr
     wanted = distances.select("dist").where("dist is not null").distinct().select("dist", F.lit(0).alias("n"))
 
     def share(pairs: DataFrame, name: str, below: bool) -> DataFrame:
-        counts = pairs.groupBy("dist").agg(F.sum(times(pairs)).alias("n")).unionByName(wanted).groupBy("dist").agg(F.sum("n").alias("n"))
-        order = W.orderBy(F.asc("dist") if below else F.desc("dist")).rowsBetween(W.unboundedPreceding, -1)
-        total = F.sum("n").over(W.partitionBy())
-        return counts.select("dist", F.round(F.try_divide(F.lit(100.0) * F.coalesce(F.sum("n").over(order), F.lit(0)), total), 6).alias(name))
+        counts = store(pairs.groupBy("dist").agg(F.sum(times(pairs)).alias("n")).unionByName(wanted).groupBy("dist").agg(F.sum("n").alias("n")))
+        total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+        return cumulated(counts, below).crossJoin(total).select("dist", F.round(F.try_divide(F.lit(100.0) * F.col("before"), F.col("total")), 6).alias(name))
 
     return distances.join(share(intra, "intra_farther", False), "dist", "left").join(share(inter, "inter_closer", True), "dist", "left")

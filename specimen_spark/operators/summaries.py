@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .pairs import times
-from .storage import store
+from .storage import cumulated, store
 
 
 def percentage(x, y):
@@ -41,20 +41,6 @@ def distance_counts(pairs: DataFrame) -> DataFrame:
     return store(pairs.groupBy("dist").agg(F.sum(times(pairs)).alias("n")))
 
 
-def cumulated(counts: DataFrame, ascending: bool = True) -> DataFrame:
-    """Adds `before`, the number of pairs whose distance comes earlier in the order.
-
-    Distances are sorted by range; only one number for each range is gathered.
-    """
-    order = F.asc("dist") if ascending else F.desc("dist")
-    ranged = store(counts.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sums = ranged.groupBy(part.alias("_p")).agg(F.sum("n").alias("_n"))
-    starts = F.broadcast(sums.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b")))  # one row for each range
-    within = F.coalesce(F.sum("n").over(W.partitionBy(part).orderBy("_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_w", within).join(starts, part == F.col("_p")).select("dist", "n", (F.col("_b") + F.col("_w")).alias("before"))
-
-
 def trimmed_bound(counts: DataFrame, side: str) -> DataFrame:
     """The bound after leaving out 5 %: `intra` from the top, `inter` from the bottom (one row)."""
     # an exact twentieth exceeds the limit, as the share is a 32-bit number

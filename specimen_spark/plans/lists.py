@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import consensus, lists, pairs, summaries, windows
-from ..operators.storage import numbered
+from ..operators.storage import fresh_path, numbered
+from ..sources import writers
 from . import fixtures as X
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -188,3 +189,12 @@ def filter_window(spark, d):
   FROM (SELECT start, species, count(*) AS n FROM s, range({64 - WIDTH + 1}) t(start) WHERE position('_' IN substr(seq, start::INTEGER + 1, {WIDTH})) = 0 AND len(regexp_extract_all(substr(seq, start::INTEGER + 1, {WIDTH}), '[RN]')) <= {math.floor(0.1 * WIDTH)} GROUP BY 1, 2) GROUP BY start"""))
 def window_stats(spark, d):
     return windows.window_stats(X.sequences(spark, d), WIDTH, 0.1)
+
+
+@query("window_csv", X.sql(f"""SELECT start, sum(n)::BIGINT AS sequences, sum(CASE WHEN species IS NOT NULL THEN n ELSE 0 END)::BIGINT AS defined, count(species) AS species, sum(CASE WHEN species IS NOT NULL AND n > 1 THEN 1 ELSE 0 END)::BIGINT AS multi_species
+  FROM (SELECT start, species, count(*) AS n FROM s, range({64 - WIDTH + 1}) t(start) WHERE position('_' IN substr(seq, start::INTEGER + 1, {WIDTH})) = 0 AND len(regexp_extract_all(substr(seq, start::INTEGER + 1, {WIDTH}), '[RN]')) <= {math.floor(0.1 * WIDTH)} GROUP BY 1, 2) GROUP BY start"""))
+def window_csv(spark, d):
+    """The file of the statistics, read again."""
+    path = f"{fresh_path(spark, 'windows')}/stats"
+    writers.write_window_stats(windows.window_stats(X.sequences(spark, d), WIDTH, 0.1), path)
+    return spark.read.csv(path, header=True, schema="start int, sequences long, defined long, species long, multi_species long")
