@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.storage import fresh_path
-from ..sources import flatfile, readers, writers
+from ..sources import flatfile, formats, readers, writers
 from . import fixtures as X
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -67,6 +67,15 @@ def _written(spark, d, write, rows, name: str) -> str:
     return path
 
 
+@query("own_format", X.sql("SELECT title, translate(seq, '_', '-') AS seq FROM s"))
+def own_format(spark, d):
+    """A user's own format, registered, written through its commit and read again."""
+    formats.register(spark, formats.Tabbed())
+    path = f"{fresh_path(spark, 'own')}/files"
+    X.sequences(spark, d).select("title", F.translate("seq", "_", "-").alias("seq")).write.format("tabbed").mode("append").save(path)
+    return spark.read.format("tabbed").load(path).select("title", "seq")
+
+
 @query("scan_nexus", X.sql("SELECT 'whole' AS file, ord, replace(left(regexp_replace(title, '[^\\w.]+', '_', 'g'), 32), '_', ' ') AS title, translate(seq, '_', '-') AS seq FROM s"))
 def scan_nexus(spark, d):
     """One interleaved file in parts, read by as many tasks; a taxon's lines lie in many of them."""
