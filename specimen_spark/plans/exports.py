@@ -57,13 +57,16 @@ _CODONS = f"""SELECT 2199023255552, p + 1, chr(9) || chr(9) || p || ': ' || stri
   UNION ALL SELECT 8796093022208, 0, {NL} || 'BEGIN ASSUMPTIONS;' UNION ALL SELECT 8796093022208, 1099511627776, 'END;'"""
 
 
+def _positions(g):
+    """Codon tracks of each locus in two parts, which follow each other by three."""
+    parts = F.expr("explode(flatten(transform(array(1, 2, 3), p -> array(named_struct('pos', p, 'from', p, 'to', p + 6), named_struct('pos', p, 'from', p + 9, 'to', p + 12)))))")
+    return g.select("locus").distinct().select("locus", parts.alias("x")).select("locus", "x.*")
+
+
 @query("supermatrix_nexus_lines", X.sql(f"{_head('')} UNION ALL SELECT 0, ord, rpad(name, 33, ' ') || t FROM cc UNION ALL {_SETS} UNION ALL {_CODONS}", X.SQL_GRID, MATRIX))
 def supermatrix_nexus_lines(spark, d):
     g = X.grid(spark, d)
-    # the parts of each codon track follow each other by three and become one interval
-    parts = F.expr("explode(flatten(transform(array(1, 2, 3), p -> array(named_struct('pos', p, 'from', p, 'to', p + 6), named_struct('pos', p, 'from', p + 9, 'to', p + 12)))))")
-    positions = g.select("locus").distinct().select("locus", parts.alias("x")).select("locus", "x.*")
-    return writers.supermatrix_nexus_lines(g, allow_cancelled=True, positions=positions)
+    return writers.supermatrix_nexus_lines(g, allow_cancelled=True, positions=_positions(g))
 
 
 @query("supermatrix_blocks_lines", X.sql(f"{_head(' INTERLEAVE')} UNION ALL SELECT k + 1, ord, rpad(name, 33, ' ') || substr(t, (k * 16 + 1)::INTEGER, 16) || ' [' || locus || ']' FROM cc, lo UNION ALL {_SETS}", X.SQL_GRID, MATRIX))
@@ -78,6 +81,14 @@ def supermatrix_tnt_lines(spark, d):
     return writers.supermatrix_tnt_lines(X.grid(spark, d), allow_cancelled=True)
 
 
+@query("supermatrix_tnt_codons", X.sql(f"""SELECT 0 AS block, ord, name || ' ' || t AS line FROM cc UNION ALL SELECT -9, 0, 'nstates dna;' || {NL} || 'xread' || {NL} || '''concatenation' UNION ALL SELECT -1, 0, '''' || {NL} || '64 ' || (SELECT count(*) FROM cc) UNION ALL SELECT 1099511627776, 0, ';' UNION ALL SELECT 8796093022208, 0, 'proc /;'
+  UNION ALL SELECT 2199023255552, k + 3 * (SELECT count(*) FROM lo), '=' || k + 3 * (SELECT count(*) FROM lo) || ' (' || locus || ') ' || k * 16 || '.' || k * 16 + 15 FROM lo UNION ALL SELECT 2199023255552, k * 3 + p - 1, '=' || k * 3 + p - 1 || ' (' || locus || '_pos' || p || ') ' || string_agg((k * 16 + p - 1 + 3 * j)::VARCHAR, ' ' ORDER BY j) FROM lo, range(1, 4) r(p), range(5) t(j) GROUP BY k, locus, p UNION ALL SELECT 2199023255552, -1, 'xgroup' UNION ALL SELECT 2199023255552, 1099511627776, ';'
+  UNION ALL SELECT 2199023255553, r, '=' || r || ' (' || taxonset || ') ' || k0 FROM (SELECT *, row_number() OVER (ORDER BY taxonset) - 1 AS r FROM ts) UNION ALL SELECT 2199023255553, -1, 'agroup' UNION ALL SELECT 2199023255553, 1099511627776, ';'""", X.SQL_GRID, MATRIX))
+def supermatrix_tnt_codons(spark, d):
+    g = X.grid(spark, d)
+    return writers.supermatrix_tnt_lines(g, allow_cancelled=True, positions=_positions(g))
+
+
 @query("tnt_lines", X.sql(f"""SELECT 0 AS block, ord, regexp_replace(title, '[^\\w.]+', '_', 'g') || ' ' || t AS line FROM t UNION ALL SELECT -9, 0, 'nstates dna;' || {NL} || 'xread' || {NL} || '''sequences' UNION ALL SELECT -1, 0, '''' || {NL} || '64 ' || (SELECT count(*) FROM s) UNION ALL SELECT 1099511627776, 0, ';' UNION ALL SELECT 8796093022208, 0, 'proc /;'
   UNION ALL SELECT CASE WHEN k < 32 THEN 2199023255552 ELSE -8 END, k, '=' || k || ' (set' || k || ') ' || k || '.' || k + 1 FROM range(40) r(k) UNION ALL SELECT 2199023255552, -1, 'xgroup' UNION ALL SELECT 2199023255552, 1099511627776, ';' UNION ALL SELECT -8, -1, '@xgroup' UNION ALL SELECT -8, 1099511627776, ';'""", T))
 def tnt_lines(spark, d):

@@ -188,20 +188,36 @@ def write_tnt(df: DataFrame, path: str, title: str = "sequences", groups: list[t
     _write(tnt_lines(df, title, groups), path, "block", "ord")
 
 
-def supermatrix_tnt_lines(grid: DataFrame, allow_cancelled: bool = False) -> DataFrame:
-    """(block, ord, line) of the concatenation for TNT, loci as xgroup, taxonsets (of taxa by place) as agroup."""
+def _codon_groups(grid: DataFrame, positions: DataFrame) -> DataFrame:
+    """(locus, pos, text): for codon positions 1 to 3 of each locus, its places in the concatenation, from 0."""
+    ranges = charset_ranges(grid).select("locus", F.col("first").alias("_f"))
+    moved = positions.where("pos between 1 and 3").join(ranges, "locus")
+    each = moved.select("locus", "pos", F.explode(F.sequence(F.col("from") + F.col("_f") - 2, F.col("to") + F.col("_f") - 2, F.lit(3).cast("long"))).alias("k"))
+    places = F.array_join(F.transform(F.array_sort(F.collect_set("k")), lambda k: k.cast("string")), " ")
+    return each.groupBy("locus", "pos").agg(F.concat(F.lit("("), F.first("locus"), F.lit("_pos"), F.first("pos").cast("string"), F.lit(") "), places).alias("text"))
+
+
+def supermatrix_tnt_lines(grid: DataFrame, allow_cancelled: bool = False, positions: DataFrame | None = None) -> DataFrame:
+    """(block, ord, line) of the concatenation for TNT, loci as xgroup, taxonsets (of taxa by place) as agroup.
+
+    positions: codon positions (locus, pos 0 to 3, from, to); 1 to 3 of each locus come before the loci as groups.
+    """
     live = refuse_cancelled(grid, allow_cancelled)
     rows = numbered(concatenate(live), [F.col("taxon")], "ord")
     named = unique_names(rows, F.regexp_replace("taxon", r"[^\w.]+", "_"))
-    groups = charset_ranges(live).select((F.row_number().over(W.orderBy("locus")) - 1).alias("place"), F.concat(F.lit("("), "locus", F.lit(") "), F.col("first") - 1, F.lit("."), F.col("last") - 1).alias("text"))
+    groups = charset_ranges(live).select("locus", F.lit(9).alias("pos"), F.concat(F.lit("("), "locus", F.lit(") "), F.col("first") - 1, F.lit("."), F.col("last") - 1).alias("text"))
+    if positions is not None:
+        groups = groups.unionByName(_codon_groups(live, positions).select("locus", F.col("pos").cast("int").alias("pos"), "text"))
+    # a few groups for each locus, and loci last
+    groups = groups.select((F.row_number().over(W.orderBy(F.col("pos") == 9, "locus", "pos")) - 1).alias("place"), "text")
     taxa = rows.select("taxon", (F.col("ord") - 1).alias("k"))
     sets = taxonsets(live).join(taxa, "taxon").groupBy("taxonset").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: k.cast("string")), " ").alias("ks"))
     agroups = sets.select((F.row_number().over(W.orderBy("taxonset")) - 1).alias("place"), F.concat(F.lit("("), "taxonset", F.lit(") "), "ks").alias("text"))
     return _tnt(named, "concatenation", groups, agroups)
 
 
-def write_supermatrix_tnt(grid: DataFrame, path: str, allow_cancelled: bool = False) -> None:
-    _write(supermatrix_tnt_lines(grid, allow_cancelled), path, "block", "ord")
+def write_supermatrix_tnt(grid: DataFrame, path: str, allow_cancelled: bool = False, positions: DataFrame | None = None) -> None:
+    _write(supermatrix_tnt_lines(grid, allow_cancelled, positions), path, "block", "ord")
 
 
 def phylip_lines(df: DataFrame) -> DataFrame:
