@@ -76,14 +76,26 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     repeat both doc_id and text cannot be told apart and share their verdict.  Empty texts are
     equal to each other and to nulls.  An empty table gives no rows; other columns are ignored.
 
+    With an index that has rows, a text that was there first keeps the row that stayed then, and
+    group_size counts the rows of the batch that brought the text and those of docs.  Docs that
+    were added before count as rows of their own.
+
     Rows are joined with the index in its buckets.  Texts with more copies than half a bucket's fair
     share of rows are at most two for each bucket: these are broadcast, and their rows go to buckets
     at random.
     """
-    index = index or DigestIndex(docs.sparkSession)
     hashed = digests(docs)
-    index.append(index.lacking(group_digests(hashed)))
-    groups = index.read()
+    if index is None:
+        index = DigestIndex(docs.sparkSession)
+        index.append(index.lacking(group_digests(hashed)))
+        groups = index.read()
+    else:
+        own = store(group_digests(hashed), "own_digests")
+        new = store(index.lacking(own), "new_digests")
+        met = own.join(new.select("text_sha256"), "text_sha256", "left_anti").select("text_sha256", F.col("group_size").alias("_more"))
+        index.append(new)
+        counted = F.col("group_size") + F.coalesce("_more", F.lit(0))
+        groups = index.read().join(store(met, "met_digests"), "text_sha256", "left").select("text_sha256", "keep_id", counted.alias("group_size"))
     share = (groups.agg(F.sum("group_size")).first()[0] or 0) / (2 * index.buckets)
     often = groups.where(F.col("group_size") > F.lit(share)).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
     rows = hashed.join(F.broadcast(often), F.col("text_sha256") == F.col("_sha"), "left")
