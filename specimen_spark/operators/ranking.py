@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import store
+
 
 def _kin(df: DataFrame) -> DataFrame:
     return df.withColumn("conspecific", F.coalesce(F.col("species_q") == F.col("species_m"), F.lit(False)))
@@ -59,14 +61,22 @@ def all_species_barcodes(sequences: DataFrame, both: DataFrame, threshold: float
     partner of their species: correct if r = n - 1 for the own species, incorrect if r = n for
     another, ambiguous otherwise or where the run is one long.
     """
-    near = _kin(both.where("species_m is not null")).withColumn("k", F.struct("bucket", (~F.col("conspecific")).cast("int").alias("other"), "m"))
+    named = _kin(both.where("species_m is not null")).withColumn("other", (~F.col("conspecific")).cast("int"))
+    # pairs are measured for these counts alone, unless a run ends inside a block of equal distances
+    counts = store(named.groupBy("q", "species_m", "other", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))).withColumn("k", F.struct("bucket", "other", "m"))
     # the nearest of each species is enough to know where the run ends; neighbours are never sorted
-    per = near.groupBy("q", "species_m").agg(F.min("k").alias("k"))
+    per = counts.groupBy("q", "species_m").agg(F.min("k").alias("k"))
     first = per.groupBy("q").agg(F.min(F.struct("k", "species_m")).alias("f")).select("q", F.col("f.species_m").alias("first_species"), F.col("f.k.bucket").alias("first_bucket"))
     end = per.join(first, "q").where("species_m <> first_species").groupBy("q").agg(F.min("k").alias("end"))
-    ends = first.join(end, "q", "left")
-    runs = near.join(ends, "q").where((F.col("species_m") == F.col("first_species")) & (F.col("end").isNull() | (F.col("k") < F.col("end")))).groupBy("q").agg(F.count(F.lit(1)).alias("run"))
-    valid = both.where("species_q = species_m").groupBy(F.col("species_q").alias("first_species")).agg(F.count_distinct("q").alias("members"))
+    own = counts.join(first.join(end, "q", "left"), "q").where("species_m = first_species and (end is null or k < end)")
+    cut = F.coalesce((F.col("bucket") == F.col("end.bucket")) & (F.col("other") == F.col("end.other")), F.lit(False))
+    ends = store(own.select("q", "species_m", "bucket", "n", cut.alias("cut"), F.col("end.m").alias("until")))
+    runs = ends.where("not cut").select("q", "n")
+    inside = ends.where("cut and n > 1").select("q", "species_m", "bucket", "until")
+    if not inside.isEmpty():
+        runs = runs.unionByName(both.join(inside, ["q", "species_m", "bucket"]).where("m < until").groupBy("q").agg(F.count(F.lit(1)).alias("n")))
+    runs = runs.unionByName(ends.where("cut and n = 1").select("q", "n")).groupBy("q").agg(F.sum("n").alias("run"))
+    valid = counts.where("other = 0").groupBy(F.col("species_m").alias("first_species")).agg(F.count_distinct("q").alias("members"))
     out = sequences.where("species is not null").select(F.col("ord").alias("q"), "species").join(first, "q", "left").join(runs, "q", "left").join(valid, "first_species", "left")
     members = F.coalesce("members", F.lit(0))
     own = F.col("first_species") == F.col("species")
