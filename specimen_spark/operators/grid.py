@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lists import draw
-from .pairs import measured, tiled
+from .pairs import in_numpy, measured, side_by_side, tiled, tiles_met
 from .storage import numbered
 from ..functions.sequences import expand_ambiguity, with_planes, words_needed
 
@@ -155,14 +155,19 @@ def rename_taxa(grid: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFra
 def cell_distances(grid: DataFrame, method: str = "uncorrected", min_overlap: int = 0, lo: float = 0.0, hi: float = float("inf")) -> DataFrame:
     """(locus, taxon, other, overlap, dist) of the live cells of each locus, both directions, with lo <= dist <= hi.
 
-    Cells of a locus are dealt out over tiles, as one locus may hold all rows.
+    Cells of a locus are dealt out over tiles, as one locus may hold all rows; long ones are compared in numpy.
     """
     rows = grid.where("not cancelled")
     words = words_needed(rows)
-    r = tiled(with_planes(rows.select("locus", "taxon", "seq"), words).drop("seq"), ["locus"], "taxon", rows.count())
-    on = (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") < F.col("y.taxon"))
-    on &= (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi"))
-    out = measured(r.alias("x").join(r.alias("y"), on), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon", "y.taxon as other"]).where(F.col("dist").between(lo, hi))
+    cells = rows.select("locus", "taxon", "seq")
+    if in_numpy(words, method):
+        out = tiles_met(tiled(cells, ["locus"], "taxon", rows.count()), "locus", "taxon", words, method, min_overlap).withColumnsRenamed({"a": "taxon", "b": "other"})
+    else:
+        r = tiled(with_planes(cells, words).drop("seq"), ["locus"], "taxon", rows.count())
+        on = (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.locus") == F.col("y.locus")) & (F.col("x.taxon") < F.col("y.taxon"))
+        on &= (F.col("x.block") != F.col("y.block")) | (F.col("x.lo") == F.col("x.hi"))
+        out = measured(r.alias("x").join(r.alias("y"), on), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon", "y.taxon as other"])
+    out = out.where(F.col("dist").between(lo, hi))
     side = lambda a, b: F.struct("locus", F.col(a).alias("taxon"), F.col(b).alias("other"), "overlap", "dist")
     return out.select(F.explode(F.array(side("taxon", "other"), side("other", "taxon"))).alias("p")).select("p.*")
 
@@ -181,9 +186,16 @@ def influence_of_all(grid: DataFrame, method: str = "transversions", min_overlap
 def reference_distances(grid: DataFrame, taxon: str, method: str = "transversions", min_overlap: int = 1) -> DataFrame:
     """Per locus and taxon the distance to the reference taxon, with a status where there is none."""
     words = words_needed(grid)
-    rows = with_planes(grid.select("locus", "taxon", "seq", "cancelled"), words).drop("seq")
-    ref = rows.where((F.col("taxon") == taxon) & ~F.col("cancelled"))  # one row per locus
-    got = measured(rows.where("not cancelled").alias("x").join(ref.alias("y"), F.col("x.locus") == F.col("y.locus")), words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon"])
+    rows = grid.where("not cancelled").select("locus", "taxon", "seq")
+    by_row = in_numpy(words, method)
+    if not by_row:
+        rows = with_planes(rows, words).drop("seq")
+    ref = rows.where(F.col("taxon") == taxon)  # one row per locus
+    joined = rows.alias("x").join(ref.alias("y"), F.col("x.locus") == F.col("y.locus"))
+    if by_row:
+        got = side_by_side(joined.select("x.locus", "x.taxon", F.col("x.seq").alias("seq"), F.col("y.seq").alias("other_seq")), words, method, min_overlap)
+    else:
+        got = measured(joined, words, method, min_overlap, ["x.locus as locus", "x.taxon as taxon"])
     every = grid.select("taxon").distinct().crossJoin(loci_of(grid).select("locus"))
     have = grid.select("locus", "taxon", "cancelled")
     refs = grid.where((F.col("taxon") == taxon) & ~F.col("cancelled")).select("locus", F.lit(True).alias("has_ref"))

@@ -162,6 +162,39 @@ def _compare(x: _Planes, y: _Planes, method: str) -> tuple[np.ndarray, np.ndarra
         return _count(x.base & y.base), np.where((1 - 2 * p - q > 0) & (1 - 2 * q > 0), dist, np.nan)
 
 
+def in_numpy(words: int, method: str) -> bool:
+    """Whether sequences of so many words are compared tile by tile: long ones, by a method of this module."""
+    return words > COLUMN_WORDS and method in ("uncorrected", "k2p", "transversions")
+
+
+def _met(x: _Planes, y: _Planes, n: int, starts: list[int], method: str, min_overlap: int, kept: Callable[[int, slice], np.ndarray] | None = None, valid_only: bool = True) -> tuple[np.ndarray, ...]:
+    """Row k of x against the rows of y from starts[k] on: (k, row, overlap, dist), dist being nan where it isn't valid."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for k, start in enumerate(starts):
+        overlap, dist = _compare(x.row(k), y.row(slice(start, n)), method)
+        valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
+        keep = valid if valid_only else np.ones(n - start, bool)
+        if kept is not None:
+            keep = keep & kept(k, slice(start, n))
+        at = np.flatnonzero(keep)
+        out.append((np.full(len(at), k), start + at, overlap[at], np.where(valid, dist, np.nan)[at]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _starts(rows: pd.DataFrame) -> list[int]:
+    """Of a tile's rows in order of their blocks: where the partners of each row of the lower block begin."""
+    low = int((rows["block"] == rows["lo"]).sum())
+    itself = low and rows["lo"].iloc[0] == rows["hi"].iloc[0]
+    return [k + 1 if itself else low for k in range(low)]
+
+
+def measured_numpy(dist: np.ndarray, overlap: np.ndarray) -> dict[str, object]:
+    return {"overlap": overlap, "dist": dist, "bucket": pd.Series(np.floor(dist * SCALE)).astype("Int64")}
+
+
+MEASURED = "overlap int, dist double, bucket long"
+
+
 def _tile_pairs(tiles: DataFrame, keys: list[str], words: int, method: str, min_overlap: int, scope: str, valid_only: bool) -> DataFrame:
     """The pairs of each tile, measured in numpy."""
     names = ["species", "genus"]
@@ -169,31 +202,50 @@ def _tile_pairs(tiles: DataFrame, keys: list[str], words: int, method: str, min_
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["block", "ord"], ignore_index=True)
         planes, ord_, epithet = _Planes(rows["seq"].tolist(), words), rows["ord"].to_numpy(), rows["species_epithet"].to_numpy(dtype=object)
-        low, n, itself = int((rows["block"] == rows["lo"]).sum()), len(rows), rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for k in range(low):
-            # a block with itself: the rows behind; else the other block
-            start = k + 1 if itself else low
-            overlap, dist = _compare(planes.row(k), planes.row(slice(start, n)), method)
-            valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
-            keep = valid if valid_only else np.ones(n - start, bool)
-            if scope == "inter_congeneric":
-                keep = keep & (epithet[start:] != epithet[k]) & pd.notna(epithet[start:]) & pd.notna(epithet[k])
-            at = np.flatnonzero(keep)
-            out.append((np.full(len(at), k), start + at, overlap[at], np.where(valid, dist, np.nan)[at]))
-        x, y, overlap, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+        other = (lambda k, at: (epithet[at] != epithet[k]) & pd.notna(epithet[at]) & pd.notna(epithet[k])) if scope == "inter_congeneric" else None
+        x, y, overlap, dist = _met(planes, planes, len(rows), _starts(rows), method, min_overlap, other, valid_only)
         turned = ord_[x] > ord_[y]
         x, y = np.where(turned, y, x), np.where(turned, x, y)
         named = {n: rows[n].to_numpy(dtype=object) for n in names}
         made = {"a": ord_[x], "b": ord_[y]} | {f"{n}_{s}": pd.Series(named[n][at], dtype=object) for n in names for s, at in (("a", x), ("b", y))}
-        bucket = pd.Series(np.floor(dist * SCALE)).astype("Int64")
         title = rows["title"].fillna("").to_numpy(dtype=object)
-        return pd.DataFrame(made | {"twins": (title[x] == title[y]).astype(bool), "overlap": overlap, "dist": dist, "bucket": bucket})[[c.split()[0] for c in schema.split(", ")]]
+        return pd.DataFrame(made | {"twins": (title[x] == title[y]).astype(bool)} | measured_numpy(dist, overlap))[[c.split()[0] for c in schema.split(", ")]]
 
-    schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, twins boolean, overlap int, dist double, bucket long"
+    schema = "a long, b long, species_a string, species_b string, genus_a string, genus_b string, twins boolean, " + MEASURED
     return tiles.groupBy("lo", "hi", *keys).applyInPandas(compare, schema)
 
 
+def tiles_met(tiles: DataFrame, key: str, name: str, words: int, method: str, min_overlap: int) -> DataFrame:
+    """(key, a, b, overlap, dist, bucket): the valid pairs of each tile's rows (key, name, seq), of names a < b."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows[name].notna() & rows["seq"].notna()].sort_values(["block", name], ignore_index=True)
+        names, planes = rows[name].to_numpy(dtype=object), _Planes(rows["seq"].tolist(), words)
+        x, y, overlap, dist = _met(planes, planes, len(rows), _starts(rows), method, min_overlap, lambda k, at: names[at] != names[k])
+        x, y = np.where(names[x] > names[y], y, x), np.where(names[x] > names[y], x, y)
+        own = pd.Series(rows[key].iloc[0] if len(rows) else None, index=range(len(x)), dtype=object)
+        return pd.DataFrame({key: own, "a": pd.Series(names[x], dtype=object), "b": pd.Series(names[y], dtype=object)} | measured_numpy(dist, overlap))
+
+    return tiles.groupBy("lo", "hi", key).applyInPandas(compare, f"{key} string, a string, b string, {MEASURED}")
+
+
+def side_by_side(rows: DataFrame, words: int, method: str, min_overlap: int) -> DataFrame:
+    """Measures seq against other_seq of each row; both leave. A batch of rows at a time, so nothing is shuffled."""
+    kept = [f for f in rows.schema.fields if f.name not in ("seq", "other_seq")]
+    at_once = max(1, (1 << 22) // (64 * words))
+
+    def compare(batches):
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                part = batch.iloc[start : start + at_once].reset_index(drop=True)
+                x, y = (_Planes(part[c].fillna("").tolist(), words) for c in ("seq", "other_seq"))
+                overlap, dist = _compare(x, y, method)
+                valid = (overlap >= min_overlap) & (overlap > 0) & ~np.isnan(dist)
+                yield pd.DataFrame({f.name: part[f.name] for f in kept} | measured_numpy(np.where(valid, dist, np.nan), overlap))
+
+    return rows.mapInPandas(compare, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), MEASURED]))
+
+
 def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int = 300, scope: str = "all", blocks: int | None = None, valid_only: bool = True) -> DataFrame:
     """(a, b, species_a, species_b, genus_a, genus_b, twins, overlap, dist, bucket) of pairs a < b by `ord`.
 
@@ -210,11 +262,11 @@ def pair_distances(df: DataFrame, method: str = "uncorrected", min_overlap: int
         rows = rows.where(F.length(F.regexp_replace("seq", "[?_]", "")) >= min_overlap)
     count, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
     words = words_of(longest)
-    in_numpy = words > COLUMN_WORDS and method in ("uncorrected", "k2p", "transversions")
-    if not in_numpy:
+    by_tile = in_numpy(words, method)
+    if not by_tile:
         rows = with_planes(rows, words).drop("seq")
     tiles = tiled(rows, keys, "ord", count, blocks)
-    if in_numpy:
+    if by_tile:
         return _tile_pairs(tiles, keys, words, method, min_overlap, scope, valid_only)
     x, y = tiles.alias("x"), tiles.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ["lo", "hi", *keys]]
@@ -246,21 +298,46 @@ def overlap_report(df: DataFrame, blocks: int | None = None) -> DataFrame:
     return pair_distances(df, min_overlap=0, scope="intra", blocks=blocks, valid_only=False).select("a", "b", F.col("species_a").alias("species"), "overlap")
 
 
+def _met_tiles(q: DataFrame, m: DataFrame, words: int, method: str, min_overlap: int) -> DataFrame:
+    """The pairs of a tile's queries and references, measured in numpy; both sides have tq and tm."""
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:  # a side without rows comes without columns
+            return pd.DataFrame()
+        a, b = x["q"].to_numpy(), y["m"].to_numpy()
+        seqs = [df["seq"].fillna("").tolist() for df in (x, y)]
+        i, k, overlap, dist = _met(_Planes(seqs[0], words), _Planes(seqs[1], words), len(y), [0] * len(x), method, min_overlap, lambda r, at: b[at] != a[r])
+        made = {"q": a[i], "m": b[k]} | {f"{n}_{s}": pd.Series(df[n].to_numpy(dtype=object)[at], dtype=object) for n in ("species", "genus") for s, df, at in (("q", x, i), ("m", y, k))}
+        return pd.DataFrame(made | measured_numpy(dist, overlap))
+
+    # one table may be both sides: its columns get names, and so ids, of their own
+    named = lambda df, ord_: df.select("tq", "tm", F.col("ord").alias(ord_), *[F.col(c).alias(c) for c in ("seq", "species", "genus")])
+    return named(q, "q").groupBy("tq", "tm").cogroup(named(m, "m").groupBy("tq", "tm")).applyInPandas(compare, f"q long, m long, species_q string, species_m string, genus_q string, genus_m string, {MEASURED}")
+
+
+def _with_mismatches(out: DataFrame) -> DataFrame:
+    return out.withColumn("mismatches", F.round(F.col("dist") * F.col("overlap")).cast("int"))
+
+
 def query_distances(queries: DataFrame, reference: DataFrame, method: str = "uncorrected", min_overlap: int = 300) -> DataFrame:
     """Every query against every reference sequence: (q, m, overlap, dist, bucket, mismatches).
 
     Each query goes to every part of the reference, by tiles of a block of queries and one of references.
     """
     words = max(words_needed(queries), words_needed(reference))
-    q = with_planes(queries.select("ord", "seq", "species", "genus"), words).drop("seq")
-    m = with_planes(reference.select("ord", "seq", "species", "genus"), words).drop("seq")
+    q, m = (df.select("ord", "seq", "species", "genus") for df in (queries, reference))
+    by_tile = in_numpy(words, method)
+    if not by_tile:
+        q, m = with_planes(q, words).drop("seq"), with_planes(m, words).drop("seq")
     nq, nm = math.ceil(queries.count() / BLOCK_ROWS) or 1, blocks_for(reference)
     block = lambda n: F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
     q = q.withColumn("tq", block(nq)).withColumn("tm", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
     m = m.withColumn("tm", block(nm)).withColumn("tq", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    if by_tile:
+        return _with_mismatches(_met_tiles(q, m, words, method, min_overlap))
     joined = q.alias("x").join(m.alias("y"), (F.col("x.tq") == F.col("y.tq")) & (F.col("x.tm") == F.col("y.tm")) & (F.col("x.ord") != F.col("y.ord")))
     out = measured(joined, words, method, min_overlap, ["x.ord as q", "y.ord as m", "x.species as species_q", "y.species as species_m", "x.genus as genus_q", "y.genus as genus_m"])
-    return out.where("dist is not null").withColumn("mismatches", F.round(F.col("dist") * F.col("overlap")).cast("int"))
+    return _with_mismatches(out.where("dist is not null"))
 
 
 def times(pairs: DataFrame) -> Column:
