@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from test_tiles import OVERLAP, sequences, tidy
 
-from specimen_spark.operators import pairs
+from specimen_spark.operators import clusters, pairs, tiles
 
 
 @pytest.mark.parametrize("slice_", [10, 1 << 17])
@@ -14,3 +15,11 @@ def test_slices(monkeypatch, slice_):
     assert max(len(x) for x, *_ in got) <= slice_ + 40
     x, y, overlap, dist = (np.concatenate(c) for c in zip(*got, strict=True))
     assert len(set(zip(x.tolist(), y.tolist(), strict=True))) == 780 and set(overlap) == {640} and not dist.any()
+
+
+def test_matrix_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_ROWS", 7)
+    s = sequences(spark, 64)
+    found = clusters.clusters_of(s, 0.05, OVERLAP)
+    got = tidy(clusters.cluster_matrix_of(s, found, OVERLAP))
+    assert got == tidy(clusters.cluster_matrix(found, pairs.pair_distances(s, min_overlap=OVERLAP))) and got
