@@ -75,3 +75,29 @@ def test_clusters_equal_those_of_all_pairs(spark):
     assert sorted(map(tuple, clusters.clusters(df, links, 0.03).collect())) == sorted(map(tuple, every.collect()))
     empty = df.limit(0)
     assert near.near_pairs(empty, 0.03).count() == 0 and near.near_links(empty, 0.03).count() == 0
+
+
+def test_index_and_tiles_find_the_same(spark, monkeypatch):
+    rows = mutants(64, 150, 64, 12, 4) + [(5000, None, "ACGT" * 16, None, None, None), (5001, None, "ACGT" * 16, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    cells = df.selectExpr("concat('l', ord % 2) as locus", "concat('x', ord) as taxon", "seq", "false as cancelled")
+    best = ["q", "species_q", "best_bucket", "best_dist", "ties", "species_in_block", "has_conspecific", "verdict", "close_verdict"]
+    asked = {
+        "pairs": lambda: near.near_pairs(df, 0.03, 30), "cells": lambda: near.near_cells(cells, 0.03, 30), "best": lambda: near.near_best_match(df, 0.03, 30).select(*best),
+        "clusters": lambda: clusters.clusters(df, near.near_links(df, 0.03, 30), 0.03),
+    }
+    found = {}
+    for way, (few, share) in {"tiles": (1 << 27, 0), "dense": (0, 0), "index": (0, 1 << 20)}.items():
+        monkeypatch.setattr(near, "FEW", few)
+        monkeypatch.setattr(near, "SHARE", share)
+        for name, ask in asked.items():
+            got = ask()
+            found[way, name] = sorted((tuple(r) for r in got.select(*sorted(got.columns)).collect()), key=repr)
+            assert found[way, name] == found["tiles", name] and len(found[way, name]) > 5, (way, name)
+
+
+def test_close_pairs_are_not_shuffled(spark):
+    """What is near leaves its tile at once: the rows alone are dealt out, and nothing is joined or made distinct afterwards."""
+    df = spark.createDataFrame(mutants(7, 150, 64, 2, 4), SCHEMA)
+    plan = near.near_pairs(df, 0.03, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "Join" not in plan and "HashAggregate" not in plan
