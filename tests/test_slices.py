@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_tiles import OVERLAP, sequences, tidy
 
-from specimen_spark.operators import clusters, pairs, tiles
+from specimen_spark.operators import clusters, grid, pairs, ranking, tiles
 
 
 @pytest.mark.parametrize("slice_", [10, 1 << 17])
@@ -23,3 +23,38 @@ def test_matrix_of_clusters(spark, monkeypatch):
     found = clusters.clusters_of(s, 0.05, OVERLAP)
     got = tidy(clusters.cluster_matrix_of(s, found, OVERLAP))
     assert got == tidy(clusters.cluster_matrix(found, pairs.pair_distances(s, min_overlap=OVERLAP))) and got
+
+
+@pytest.mark.parametrize("length", [64, 300])
+def test_ranks_without_a_shuffle_of_pairs(spark, monkeypatch, length):
+    monkeypatch.setattr(tiles, "STRIP", 50)
+    s = sequences(spark, length)
+    got = ranking.rank_neighbours_of(s, OVERLAP)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    want = ranking.rank_neighbours(pairs.mirrored(pairs.pair_distances(s, min_overlap=OVERLAP))).select("q", "m", "rank", "dist")
+    assert tidy(got) == tidy(want) and got.count() > 1000
+
+
+def test_a_lower_block_meets_an_upper_one(spark):
+    """Rows of a tile come together no more often than there are pairs, but for those within a block."""
+    rows = spark.range(200).select(pairs.F.col("id").alias("ord"))
+    x, y, met = pairs.sides(pairs.tiled(rows, [], "ord", 200, 5), "ord", "k2p")
+    meet = x.join(y, (pairs.F.col("x.lo") == pairs.F.col("y.lo")) & (pairs.F.col("x.hi") == pairs.F.col("y.hi")))
+    assert meet.where(met).count() == 200 * 199 // 2 and meet.count() < 200 * 200 * 0.65
+    assert meet.where(met).selectExpr("least(x.ord, y.ord)", "greatest(x.ord, y.ord)").distinct().count() == 200 * 199 // 2
+
+
+def test_a_method_of_ones_own_may_have_a_direction(spark, monkeypatch):
+    monkeypatch.setitem(pairs.METHODS, "first", lambda words: (pairs.F.lit(64), pairs.F.col("x.ord") / 1000.0))
+    s = sequences(spark, 64, ragged=False)
+    got = pairs.pair_distances(s, "first", 1, blocks=3)
+    assert got.where("dist <> a / 1000.0").count() == 0 and got.count() > 100
+
+
+def test_close_cells_are_found_in_tiles(spark):
+    cells = sequences(spark, 64).selectExpr("concat('l', ord % 2) as locus", "if(ord = 7, null, concat('x', ord)) as taxon", "seq", "ord % 5 = 3 as cancelled")
+    cells = cells.unionByName(cells.where("taxon = 'x14'"))  # a cell twice doesn't meet itself
+    got = grid.find_distances(cells, 0.02, 0.1, None, 10)
+    assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()
+    assert tidy(got) == tidy(grid.cell_distances(cells, "uncorrected", 10, 0.02, 0.1)) and got.count() > 20
