@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specimen_spark.operators import intervals
+from specimen_spark.sources import flatfile
 
 
 def spans(seed, n, keys, reach, longest):
@@ -38,3 +39,15 @@ def test_many_intervals_of_one_key(spark):
     found = intervals.overlaps(df, ["k"], "id").count()
     # of id 500: all that begin within its reach, and the one before it
     assert found == (n - 1) + (n // 10 - 1) and time.time() - began < 60
+
+
+def test_a_bin_of_very_many_is_met_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "MEET", 16)
+    rows = [("f", 0, i, [(5 + i % 7, 11 + i % 3)] if i % 10 else [(1, 6), (5, 30)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "file string, locus_id long, feature_id long, location array<struct<from: long, to: long>>")
+    meet = lambda p, q: any(a <= d and c <= b for a, b in p[3] for c, d in q[3])
+    got = sorted(map(tuple, flatfile.features_intersect(df).collect()))
+    assert got == [("f", 0, p[2], q[2]) for p in rows for q in rows if p[2] < q[2] and meet(p, q)] and len(got) > 40_000
+    one = df.select("file", "feature_id", F.lit(5).cast("long").alias("_f"), F.lit(9).cast("long").alias("_t"))
+    x, y = intervals._dealt(one, one, ["file"])
+    assert x.groupBy("_p", "_q").count().agg(F.max("count")).first()[0] < 64 and x.alias("x").join(y.alias("y"), ["file", "_p", "_q"]).count() == 300 * 300
