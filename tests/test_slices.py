@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from test_tiles import OVERLAP, sequences, tidy
 
-from specimen_spark.operators import clusters, grid, pairs, ranking, tiles
+from specimen_spark.operators import clusters, grid, near, pairs, ranking, tiles
 
 
 @pytest.mark.parametrize("slice_", [10, 1 << 17])
@@ -58,3 +58,12 @@ def test_close_cells_are_found_in_tiles(spark):
     got = grid.find_distances(cells, 0.02, 0.1, None, 10)
     assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()
     assert tidy(got) == tidy(grid.cell_distances(cells, "uncorrected", 10, 0.02, 0.1)) and got.count() > 20
+
+
+@pytest.mark.parametrize("length", [64, 300])
+def test_distance_band(spark, length):
+    s = sequences(spark, length)
+    got = near.distance_band(s, 0.02, 0.2, OVERLAP)
+    assert tidy(got) == tidy(pairs.filter_distance(pairs.pair_distances(s, min_overlap=OVERLAP), 0.02, 0.2).select(*got.columns)) and got.count() > 100
+    top = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in top and "Join" not in top[: top.index("FlatMapGroupsInPandas")]
