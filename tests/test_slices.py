@@ -67,3 +67,20 @@ def test_distance_band(spark, length):
     assert tidy(got) == tidy(pairs.filter_distance(pairs.pair_distances(s, min_overlap=OVERLAP), 0.02, 0.2).select(*got.columns)) and got.count() > 100
     top = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in top and "Join" not in top[: top.index("FlatMapGroupsInPandas")]
+
+
+def test_ranks_of_several_lists_in_turn(spark, monkeypatch):
+    """Each list whole, and the same ranks of several lists one after the other."""
+    monkeypatch.setattr(tiles, "LISTS", 3)
+    monkeypatch.setattr(tiles, "RANKS", 20)
+    s = sequences(spark, 64, ragged=False).repartition(1)
+    rows = ranking.rank_neighbours_of(s, OVERLAP).select("q", "rank").withColumn("p", pairs.F.spark_partition_id()).collect()
+    runs = [[rows[0]]]
+    for x, y in zip(rows, rows[1:]):
+        runs[-1].append(y) if (x["p"], x["q"]) == (y["p"], y["q"]) and y["rank"] == x["rank"] + 1 else runs.append([y])
+    # but for a block's last list, where it is alone
+    assert sum(len(r) > 20 for r in runs) < len({r["q"] for r in rows}) / 3
+    lists = {}
+    for r in rows:
+        lists.setdefault(r["q"], []).append(r["rank"])
+    assert all(x == list(range(1, len(x) + 1)) for x in lists.values()) and len(rows) > 5000
