@@ -84,3 +84,14 @@ def test_ranks_of_several_lists_in_turn(spark, monkeypatch):
     for r in rows:
         lists.setdefault(r["q"], []).append(r["rank"])
     assert all(x == list(range(1, len(x) + 1)) for x in lists.values()) and len(rows) > 5000
+
+
+def test_close_cells_come_in_runs(spark, monkeypatch):
+    """Both directions of a pair are made in the tile, sorted by the cell, and not one after the other."""
+    rows = [("l", f"x{k:03}", "ACGTACGTACGTACG" + "ACGT"[k % 4]) for k in range(200)]
+    g = spark.createDataFrame(rows, "locus string, taxon string, seq string").withColumn("cancelled", pairs.F.lit(False))
+    got = grid.find_distances(g, 0.0, 0.1, None, 10)
+    assert "Generate" not in (top := got._jdf.queryExecution().executedPlan().toString())[: top.index("FlatMapGroupsInPandas")]
+    found = [(r["taxon"], r["other"], r["overlap"]) for r in got.collect()]
+    assert len(found) == len(set(found)) == 200 * 199 and {(y, x, n) for x, y, n in found} == set(found) and {n for *_, n in found} == {16}
+    assert sum(x[0] != y[0] for x, y in zip(found, found[1:])) < len(found) / 8
